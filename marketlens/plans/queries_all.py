@@ -74,3 +74,77 @@ def q_customer_360(c):
 @register("customer_zone")
 def q_customer_zone(c):
     return c.customer_zone
+
+
+# ------------------------------------------------------------------ reports
+from ..operators import reports as B  # noqa: E402
+
+for _name, _fn in {
+    "month_comparison": B.month_comparison,
+    "trailing_12_months": B.trailing_12_months,
+    "top_products_latest_month": B.top_products_latest_month,
+    "peak_month": B.peak_month,
+    "monthly_evolution": B.monthly_evolution,
+    "top_products": B.top_products,
+    "sales_by_store": B.sales_by_store,
+    "seasonality": B.seasonality,
+    "return_kpis": B.return_kpis,
+    "returns_monthly": B.returns_monthly,
+    "returns_by_reason": B.returns_by_reason,
+    "returns_by_product": B.returns_by_product,
+    "product_margin_rank": B.product_margin_rank,
+    "product_return_rate": B.product_return_rate,
+    "product_seasonality": B.product_seasonality,
+    "brands": B.brands,
+    "brand_returns": B.brand_returns,
+    "categories": B.categories,
+    "category_by_year": B.category_by_year,
+    "profit_monthly": B.profit_monthly,
+    "profit_by_category": B.profit_by_category,
+    "profit_yearly": B.profit_yearly,
+    "store_kpis": B.store_kpis,
+    "store_monthly": B.store_monthly,
+    "store_top_products": B.store_top_products,
+    "year_over_year": B.year_over_year,
+    "annual_growth": B.annual_growth,
+    "best_worst_months": B.best_worst_months,
+    "product_growth": B.product_growth,
+    "product_detail": B.product_detail,
+    "brand_detail": B.brand_detail,
+    "category_by_brand": B.category_by_brand,
+    "line_kpis": B.line_kpis,
+    "category_margin": B.category_margin,
+}.items():
+    register(_name)((lambda f: lambda c: f(c.wh))(_fn))
+
+
+@register("global_kpis")
+def q_global_kpis(c):
+    return B.global_kpis(c.wh, c.mart)
+
+
+@register("order_months")
+def q_order_months(c):
+    return B.order_months(c.src.sale)
+
+
+@register("top_products_by_units")
+def q_top_products_by_units(c):
+    return B.top_products_by_units(c.src.sale_item, c.src.product)
+
+
+@register("store_order_totals")
+def q_store_order_totals(c):
+    return B.store_order_totals(c.src.store, c.src.sale)
+
+
+@register("products_per_brand_category")
+def q_products_per_brand_category(c):
+    s = c.src
+    return B.products_per_brand_category(s.brand, s.category, s.central_product)
+
+
+@register("product_offers")
+def q_product_offers(c):
+    s = c.src
+    return B.product_offers(s.product, s.product_offer, s.offer)

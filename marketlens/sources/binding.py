@@ -107,6 +107,12 @@ class Sources:
             F.ceil(F.col("quantity") / 2).cast("long").alias("quantity"),
             "reason_id")
 
+    @cached_property
+    def product_offer(self) -> DataFrame:
+        """Product-offer pairs seen on the lines."""
+        return (self.sale_item.filter(F.col("offer_id").isNotNull())
+                .select("product_id", "offer_id").distinct())
+
     @cached_property
     def return_reason(self) -> DataFrame:
         return self.spark.createDataFrame(
