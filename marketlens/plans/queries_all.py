@@ -148,3 +148,61 @@ def q_products_per_brand_category(c):
 def q_product_offers(c):
     s = c.src
     return B.product_offers(s.product, s.product_offer, s.offer)
+
+
+# ------------------------------------------------------------------ quality
+from ..operators import quality as Q  # noqa: E402
+from ..operators import repairs as R  # noqa: E402
+from ..sources.binding import roles  # noqa: E402
+
+DESCRIBE_COLUMNS = ("quantity", "unit_price", "subtotal")
+
+
+def _t(c):
+    return roles(c.src)
+
+
+for _name, _fn in {
+    "table_row_counts": lambda c: Q.table_row_counts(_t(c)),
+    "rows_by_system": lambda c: Q.rows_by_system(_t(c)),
+    "null_profile": lambda c: Q.null_profile(_t(c)),
+    "null_summary": lambda c: Q.null_summary(Q.null_profile(_t(c))),
+    "exact_duplicates": lambda c: Q.exact_duplicates(_t(c)),
+    # customer first/last names are unique in the binding; product (name, category) repeats
+    "logical_duplicates": lambda c: Q.logical_duplicates(c.src.product, ("name", "category")),
+    "length_distribution": lambda c: Q.length_distribution(c.raw.customer, "c_name", 18),
+    "email_format": lambda c: Q.email_format(c.raw.pages, "url"),
+    "postal_format": lambda c: Q.postal_format(c.src.city_zone, "postal_code"),
+    "date_range": lambda c: Q.date_range(c.src.sale),
+    "price_ranges": lambda c: Q.price_ranges(c.src.product, c.src.central_product),
+    "line_ranges": lambda c: Q.line_ranges(c.src.sale_item),
+    "product_margins": lambda c: Q.product_margins(c.src.product, c.src.central_product),
+    "fk_orphans": lambda c: Q.fk_orphans(_t(c)),
+    "order_total_mismatch": lambda c: Q.order_total_mismatch(c.src.sale, c.src.sale_item),
+    "line_subtotal_mismatch": lambda c: Q.line_subtotal_mismatch(c.src.sale_item),
+    "margin_by_category": lambda c: Q.margin_by_category(c.src.product, c.src.central_product, c.src.category),
+    "returns_before_sale": lambda c: Q.returns_before_sale(c.src.return_item, c.src.sale_item, c.src.sale),
+    "sales_outside_offer": lambda c: Q.sales_outside_offer(c.src.sale_item, c.src.sale, c.src.offer),
+    "quality_score": lambda c: Q.quality_score(_t(c)),
+    "store_opening_check": lambda c: Q.store_opening_check(c.src.store, c.src.sale),
+    "quality_score_delta": lambda c: Q.quality_score_delta(_t(c), R.repaired_tables(_t(c))),
+    "issue_rollup": lambda c: Q.issue_rollup(Q.issue_list(_t(c))),
+    "issue_impact": lambda c: Q.issue_impact(c.src.sale_item, c.src.sale, c.src.product, c.src.central_product),
+    "range_battery": lambda c: Q.range_battery(c.src.product, c.src.central_product, c.src.sale_item, c.src.sale),
+    "certification": lambda c: Q.certification(_t(c)),
+    "catalog_overlap": lambda c: Q.catalog_overlap(c.src.product, c.src.central_product),
+    "describe": lambda c: Q.describe(c.src.sale_item, DESCRIBE_COLUMNS),
+    "price_points": lambda c: Q.price_points(c.src.sale_item),
+    "category_share": lambda c: Q.category_share(c.src.product),
+    "offer_usage": lambda c: Q.offer_usage(c.src.sale_item),
+    "customer_coverage": lambda c: Q.customer_coverage(c.src.customer, c.src.sale),
+    "return_share_of_lines": lambda c: Q.return_share_of_lines(c.src.return_item, c.src.sale_item),
+    # repairs
+    "repair_price": lambda c: R.repair_price(c.src.product, c.src.central_product).select("product_id", "price"),
+    "repair_line_subtotal": lambda c: R.repair_line_subtotal(c.src.sale_item).select("sale_item_id", "subtotal"),
+    "repair_order_total": lambda c: R.repair_order_total(
+        c.src.sale, R.repair_line_subtotal(c.src.sale_item)).select("sale_id", "total"),
+    "repair_snapshot": lambda c: R.repair_snapshot(_t(c)),
+    "repair_log": lambda c: R.repair_log(_t(c)),
+}.items():
+    register(_name)(_fn)

@@ -205,5 +205,14 @@ class Sources:
             F.col("n_name").alias("city"))
 
 
+ROLES = ("product", "central_product", "brand", "category", "sale", "sale_item", "offer",
+         "product_offer", "store", "customer", "city_zone", "return_item", "return_reason")
+
+
+def roles(src: Sources) -> dict[str, DataFrame]:
+    """The bound source roles by name (inventory and warehouse roles have no binding)."""
+    return {r: getattr(src, r) for r in ROLES}
+
+
 def bind(spark, sf_dir: str) -> Sources:
     return Sources(Tables(spark, sf_dir))
