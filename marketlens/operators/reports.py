@@ -570,3 +570,19 @@ def product_offers(product: DataFrame, product_offer: DataFrame, offer: DataFram
     o = F.broadcast(offer.select("offer_id", F.col("name").alias("offer_name"), "discount_percent"))
     return (product.select("product_id", F.col("name").alias("product_name"))
             .join(product_offer, "product_id", "inner").join(o, "offer_id", "inner"))
+
+
+# -- B06 ---------------------------------------------------------------------
+def findings(w: Warehouse, mart: DataFrame, labels: DataFrame) -> DataFrame:
+    """Key facts in one row: each part is a one-row result of another operator."""
+    from . import customers as C
+    p80 = C.pareto_80(mart).select(F.col("customers_pct").alias("pct_customers_for_80_cltv"))
+    peak = peak_month(w).select(F.col("month_name").alias("peak_month"))
+    topp = top_products_latest_month(w, 1).select(F.col("product").alias("top_product_latest_month"))
+    reason = returns_by_reason(w).filter(F.col("rank") == 1).select(F.col("reason").alias("top_return_reason"))
+    m = C.labelled(mart, labels)
+    ch = F.col("cluster_label") == "Champions"
+    champ = m.agg(round_div(F.count(F.when(ch, 1)) * 100, F.count(F.lit(1)), 1).alias("champions_customer_pct"),
+                  round_div(F.coalesce(F.sum(F.when(ch, F.col("cltv"))), F.lit(0)) * 100, F.sum("cltv"), 1)
+                  .alias("champions_cltv_pct"))
+    return p80.crossJoin(peak).crossJoin(topp).crossJoin(reason).crossJoin(champ)

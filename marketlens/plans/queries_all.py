@@ -206,3 +206,59 @@ for _name, _fn in {
     "repair_log": lambda c: R.repair_log(_t(c)),
 }.items():
     register(_name)(_fn)
+
+
+# ------------------------------------------------------------------ checks
+from ..operators import checks as V  # noqa: E402
+
+
+def _checks(c):
+    return V.all_checks(c.wh, c.src, c.src)
+
+
+for _name, _ids in V.GROUPS.items():
+    register(_name)((lambda ids: lambda c: V.check_rows([k for k in _checks(c) if k.id in ids]))(_ids))
+register("check_report")(lambda c: V.check_report(_checks(c)))
+
+
+# ------------------------------------------------------ customer analytics
+from ..operators import customers as C  # noqa: E402
+
+LOOKUP_TERM = "00000012"
+
+
+def _labels(c):
+    return C.tercile_labels(c.mart)
+
+
+for _name, _fn in {
+    "cltv_kpis": lambda c: C.cltv_kpis(c.mart),
+    "cltv_top_share": lambda c: C.cltv_top_share(c.mart),
+    "cltv_log_histogram": lambda c: C.cltv_log_histogram(c.mart),
+    "metric_histogram": lambda c: C.metric_histogram(c.mart),
+    "cltv_by_tenure": lambda c: C.cltv_by_tenure(c.mart),
+    "orders_band": lambda c: C.orders_band(c.mart),
+    "pareto_curve": lambda c: C.pareto_curve(c.mart),
+    "pareto_80": lambda c: C.pareto_80(c.mart),
+    "lorenz_curve": lambda c: C.lorenz_curve(c.mart),
+    "lorenz_top_80": lambda c: C.lorenz_top_80(c.mart),
+    "gini": lambda c: C.gini(c.mart),
+    "rfm_matrix": lambda c: C.rfm_matrix(c.mart),
+    "cohorts": lambda c: C.cohorts(c.mart),
+    "top_customers": lambda c: C.top_customers(c.mart, _labels(c)),
+    "cltv_by_zone": lambda c: C.cltv_by_zone(c.mart, c.customer_zone),
+    "metric_correlation": lambda c: C.metric_correlation(c.mart),
+    "high_return_profile": lambda c: C.high_return_profile(c.mart),
+    "return_rate_anomalies": lambda c: C.return_rate_anomalies(c.mart),
+    "metric_stats": lambda c: C.metric_stats(c.mart),
+    "customer_percentile": lambda c: C.customer_percentile(c.mart),
+    "customer_lookup": lambda c: C.customer_lookup(c.mart, name_term=LOOKUP_TERM),
+    "customer_vs_segment": lambda c: C.customer_vs_segment(c.mart, _labels(c)),
+    "health_score": lambda c: C.health_score(c.mart, _labels(c)),
+    "health_light": lambda c: C.health_light(c.wh.fact_sales, c.mart),
+    "cltv_scatter": lambda c: C.cltv_scatter(c.mart, _labels(c)),
+    "customer_export": lambda c: C.customer_export(c.mart, _labels(c)),
+    "executive_summary": lambda c: C.executive_summary(c.mart, _labels(c)),
+    "findings": lambda c: B.findings(c.wh, c.mart, _labels(c)),
+}.items():
+    register(_name)(_fn)
