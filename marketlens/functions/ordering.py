@@ -64,8 +64,17 @@ def global_order(df: DataFrame, value: str, tiebreak: str, *, descending: bool =
     unique for positions to be deterministic. Nulls in ``value`` sort first.
     """
     key = "__ord_v"
+    n = total_rows if total_rows is not None else df.count()
+    if n <= rows_per_bucket:
+        # Small input: one ordered task is bounded by rows_per_bucket.
+        w = Window.orderBy(F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_first(),
+                           F.col(tiebreak).asc())
+        out = df.withColumn(pos_col, F.row_number().over(w).cast("long"))
+        if running_of:
+            out = out.withColumn(running_col or f"running_{running_of}",
+                                 F.sum(running_of).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return out
     src = df.withColumn(key, (-F.col(value) if descending else F.col(value)).cast("double"))
-    n = total_rows if total_rows is not None else src.count()
     n_buckets = max(1, min(MAX_BUCKETS, math.ceil(n / max(1, rows_per_bucket))))
     edges = _edges(src.filter(F.col(key).isNotNull()), key, n_buckets)
     b = _bucket_expr(F.col(key), edges)

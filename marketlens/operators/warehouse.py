@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from decimal import Decimal
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,23 @@ UNKNOWN_POSTAL = "00000"
 
 
 def _unknown_row(spark, schema_ddl: str, values: tuple) -> DataFrame:
-    return spark.createDataFrame([values], schema_ddl)
+    """One literal row; built on ``range(1)`` so the planner knows it is tiny."""
+    fields = [f.strip().rsplit(" ", 1) for f in _split_ddl(schema_ddl)]
+    cols = [F.lit(v).cast(t).alias(n) for (n, t), v in zip(fields, values)]
+    return spark.range(1).select(*cols)
+
+
+def _split_ddl(ddl: str) -> list[str]:
+    out, depth, cur = [], 0, ""
+    for ch in ddl:
+        if ch == "," and depth == 0:
+            out.append(cur)
+            cur = ""
+            continue
+        depth += ch == "("
+        depth -= ch == ")"
+        cur += ch
+    return out + [cur]
 
 
 def _small_dim_keys(df: DataFrame, order_col: str, sk: str) -> DataFrame:
@@ -38,8 +55,14 @@ def _small_dim_keys(df: DataFrame, order_col: str, sk: str) -> DataFrame:
 
 # -- W11 -----------------------------------------------------------------
 def returns_by_line(return_item: DataFrame) -> DataFrame:
-    """Returned quantity per sale line (aggregated before the fact join)."""
-    return return_item.groupBy("sale_item_id").agg(F.sum("quantity").cast("long").alias("returned_qty"))
+    """Returned quantity per sale line (aggregated before the fact join).
+
+    When the return rows carry their order id, it is kept as a grouping key: the
+    lines are already hash-partitioned by order, so the aggregate and the fact join
+    can reuse that partitioning instead of shuffling the lines by line id.
+    """
+    keys = [k for k in ("sale_id", "sale_item_id") if k in return_item.columns]
+    return return_item.groupBy(*keys).agg(F.sum("quantity").cast("long").alias("returned_qty"))
 
 
 # -- W02 -----------------------------------------------------------------
@@ -155,38 +178,45 @@ def dim_return_reason(return_reason: DataFrame) -> DataFrame:
 
 
 # -- W10 -----------------------------------------------------------------
-def fact_sales(sale_item: DataFrame, sale: DataFrame, store: DataFrame, d_date: DataFrame,
+def fact_sales(sale_item: DataFrame, sale: DataFrame, d_date: DataFrame,
                d_customer: DataFrame, d_product: DataFrame, d_store: DataFrame,
                d_zone: DataFrame, d_offer: DataFrame, ret_by_line: DataFrame) -> DataFrame:
     """One row per sale line. Inner joins only on sale and date, so every line is kept;
-    unmatched dimension keys fall back to the unknown member (sk 1)."""
-    s = sale.select("sale_id", "customer_id", "store_id", date_key(F.col("sale_date")).alias("date_sk"))
-    lines = sale_item.join(s, "sale_id", "inner")
+    unmatched dimension keys fall back to the unknown member (sk 1).
+
+    Customer, store and zone are attributes of the order header, so they are resolved
+    on the headers (several times fewer rows than lines) before the header-line join;
+    the lines meet the headers and their returns on the order key they are already
+    partitioned by. Only the product and offer keys are resolved on the line side.
+    """
     dd = F.broadcast(d_date.select("date_sk"))
     dc = d_customer.filter(~F.col("is_unknown")).select(F.col("customer_nk").alias("customer_id"), "customer_sk")
+    dt = d_store.filter(~F.col("is_unknown")).select(F.col("store_nk").alias("store_id"), "store_sk", "postal_code")
+    dz = F.broadcast(d_zone.filter(~F.col("is_unknown")).select("postal_code", "zone_sk"))
+    heads = (sale.select("sale_id", "customer_id", "store_id", date_key(F.col("sale_date")).alias("date_sk"))
+             .join(dd, "date_sk", "inner")
+             .join(dc, "customer_id", "left")
+             .join(dt, "store_id", "left")
+             .join(dz, "postal_code", "left")
+             .select("sale_id", "date_sk",
+                     F.coalesce("customer_sk", F.lit(UNKNOWN_SK)).alias("customer_sk"),
+                     F.coalesce("store_sk", F.lit(UNKNOWN_SK)).alias("store_sk"),
+                     F.coalesce("zone_sk", F.lit(UNKNOWN_SK)).alias("zone_sk")))
     dp = d_product.filter(~F.col("is_unknown")).select(F.col("product_nk").alias("product_id"), "product_sk",
                                                        F.col("unit_cost").alias("_cost"))
-    dt = d_store.filter(~F.col("is_unknown")).select(F.col("store_nk").alias("store_id"), "store_sk")
-    st = store.select("store_id", "postal_code")
-    dz = F.broadcast(d_zone.filter(~F.col("is_unknown")).select("postal_code", "zone_sk"))
     do = F.broadcast(d_offer.filter(~F.col("is_no_offer")).select(F.col("offer_nk").alias("offer_id"), "offer_sk"))
-    j = (lines.join(dd, "date_sk", "inner")
-         .join(dc, "customer_id", "left")
+    rkeys = [k for k in ("sale_id", "sale_item_id") if k in ret_by_line.columns]
+    j = (sale_item.join(heads, "sale_id", "inner")
+         .join(ret_by_line, rkeys, "left")
          .join(dp, "product_id", "left")
-         .join(dt, "store_id", "left")
-         .join(st, "store_id", "left")
-         .join(dz, "postal_code", "left")
-         .join(do, "offer_id", "left")
-         .join(ret_by_line, "sale_item_id", "left"))
+         .join(do, "offer_id", "left"))
     q, sub, cost, up = F.col("quantity"), F.col("subtotal"), F.col("_cost"), F.col("unit_price")
     ret = F.coalesce(F.col("returned_qty"), F.lit(0)).cast("long")
     raw_margin = sub - q * cost
     return j.select(
-        "date_sk",
-        F.coalesce("customer_sk", F.lit(UNKNOWN_SK)).alias("customer_sk"),
+        "date_sk", "customer_sk",
         F.coalesce("product_sk", F.lit(UNKNOWN_SK)).alias("product_sk"),
-        F.coalesce("store_sk", F.lit(UNKNOWN_SK)).alias("store_sk"),
-        F.coalesce("zone_sk", F.lit(UNKNOWN_SK)).alias("zone_sk"),
+        "store_sk", "zone_sk",
         F.coalesce("offer_sk", F.lit(UNKNOWN_SK)).alias("offer_sk"),
         "sale_id", "sale_item_id",
         q.alias("quantity"), up.alias("unit_price"),
@@ -227,40 +257,49 @@ def fact_returns(return_item: DataFrame, f_sales: DataFrame, d_product: DataFram
 
 @dataclass
 class Warehouse:
-    """The star schema built lazily from bound sources (W13 materialises it)."""
+    """The star schema built lazily from bound sources (W13 materialises it).
+
+    With ``persist`` set, every table is kept (memory, then local disk) after its
+    first use, so several reports in one session share one build; lost blocks are
+    recomputed from lineage.
+    """
 
     src: Sources
     rows_per_bucket: int | None = None
+    persist: bool = False
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
 
     @cached_property
-    def dim_date(self): return dim_date(self.src.sale)
+    def dim_date(self): return self._keep(dim_date(self.src.sale))
     @cached_property
-    def dim_customer(self): return dim_customer(self.src.customer, self.rows_per_bucket)
+    def dim_customer(self): return self._keep(dim_customer(self.src.customer, self.rows_per_bucket))
     @cached_property
     def dim_product(self):
         s = self.src
-        return dim_product(s.product, s.central_product, s.category, s.brand,
-                           rows_per_bucket=self.rows_per_bucket)
+        return self._keep(dim_product(s.product, s.central_product, s.category, s.brand,
+                                      rows_per_bucket=self.rows_per_bucket))
     @cached_property
-    def dim_store(self): return dim_store(self.src.store, self.rows_per_bucket)
+    def dim_store(self): return self._keep(dim_store(self.src.store, self.rows_per_bucket))
     @cached_property
-    def dim_zone(self): return dim_zone(self.src.city_zone)
+    def dim_zone(self): return self._keep(dim_zone(self.src.city_zone))
     @cached_property
-    def dim_offer(self): return dim_offer(self.src.offer)
+    def dim_offer(self): return self._keep(dim_offer(self.src.offer))
     @cached_property
-    def dim_return_reason(self): return dim_return_reason(self.src.return_reason)
+    def dim_return_reason(self): return self._keep(dim_return_reason(self.src.return_reason))
     @cached_property
     def returns_by_line(self): return returns_by_line(self.src.return_item)
     @cached_property
     def fact_sales(self):
         s = self.src
-        return fact_sales(s.sale_item, s.sale, s.store, self.dim_date, self.dim_customer,
-                          self.dim_product, self.dim_store, self.dim_zone, self.dim_offer,
-                          self.returns_by_line)
+        return self._keep(fact_sales(s.sale_item, s.sale, self.dim_date, self.dim_customer,
+                                     self.dim_product, self.dim_store, self.dim_zone, self.dim_offer,
+                                     self.returns_by_line))
     @cached_property
     def fact_returns(self):
-        return fact_returns(self.src.return_item, self.fact_sales, self.dim_product,
-                            self.dim_return_reason, self.dim_date)
+        return self._keep(fact_returns(self.src.return_item, self.fact_sales, self.dim_product,
+                                       self.dim_return_reason, self.dim_date))
 
     @property
     def spark(self):

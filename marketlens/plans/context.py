@@ -13,17 +13,35 @@ from ..sources.tables import Tables
 
 
 class Context:
-    def __init__(self, spark: SparkSession, sf_dir: str, rows_per_bucket: int | None = None):
+    """Sources, warehouse and mart for one scale-factor folder.
+
+    ``Context.shared`` memoises one persisted context per (session, folder), so the
+    registered queries of one run share a single warehouse build.
+    """
+
+    _shared: dict = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str, rows_per_bucket: int | None = None,
+                 persist: bool = False):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.persist = persist
         self.raw = Tables(spark, sf_dir)
         self.src = Sources(self.raw)
-        self.wh = Warehouse(self.src, rows_per_bucket)
+        self.wh = Warehouse(self.src, rows_per_bucket, persist)
+
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> "Context":
+        key = (id(spark._jsparkSession), sf_dir)
+        if key not in cls._shared:
+            cls._shared[key] = cls(spark, sf_dir, persist=True)
+        return cls._shared[key]
 
     @cached_property
     def mart(self) -> DataFrame:
         w = self.wh
-        return M.customer_360(w.fact_sales, w.dim_date, w.dim_customer)
+        m = M.customer_360(w.fact_sales, w.dim_date, w.dim_customer)
+        return m.persist() if self.persist else m
 
     @cached_property
     def customer_zone(self) -> DataFrame:

@@ -21,7 +21,7 @@ def register(name: str):
 
 def as_query(fn: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return finalize(fn(Context(spark, sf_dir)))
+        return finalize(fn(Context.shared(spark, sf_dir)))
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run

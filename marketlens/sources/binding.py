@@ -59,14 +59,15 @@ class Sources:
     @cached_property
     def _lines(self) -> DataFrame:
         li = self.raw.lineitem.select(
-            "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+            F.col("l_orderkey").alias("sale_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
             "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
-        by_order = Window.partitionBy("l_orderkey")
+        # One hash exchange by order key; every derived role keeps that partitioning.
+        by_order = Window.partitionBy("sale_id")
         pos = F.row_number().over(by_order.orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
         return li.select(
-            F.col("l_orderkey").alias("sale_id"),
-            (F.col("l_orderkey") * LINES_PER_ORDER + pos).alias("sale_item_id"),
+            "sale_id",
+            (F.col("sale_id") * LINES_PER_ORDER + pos).alias("sale_item_id"),
             F.col("l_partkey").alias("product_id"),
             F.col("l_quantity").cast("long").alias("quantity"),
             F.col("l_extendedprice").cast(MONEY).alias("subtotal"),
@@ -101,8 +102,9 @@ class Sources:
         prio = self.raw.orders.select(
             F.col("o_orderkey").alias("sale_id"),
             F.substring("o_orderpriority", 1, 1).cast("long").alias("reason_id"))
+        # sale_id rides along so returns stay co-partitioned with their lines.
         return r.join(prio, "sale_id", "left").select(
-            F.col("sale_item_id").alias("return_id"), "sale_item_id",
+            F.col("sale_item_id").alias("return_id"), "sale_item_id", "sale_id",
             F.col("ship_date").alias("return_date"),
             F.ceil(F.col("quantity") / 2).cast("long").alias("quantity"),
             "reason_id")
