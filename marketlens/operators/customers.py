@@ -142,8 +142,9 @@ def orders_band(mart: DataFrame) -> DataFrame:
         cond = (o > lo) & (o <= hi)
         band = F.when(cond, label) if band is None else band.when(cond, label)
     per = valid(mart).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("customers"))
-    labels = mart.sparkSession.createDataFrame([(b[0], i + 1) for i, b in enumerate(ORDER_BANDS)],
-                                               "band string, band_order long")
+    labels = mart.sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(b[0]).alias("band"), F.lit(i + 1).cast("long").alias("band_order"))
+        for i, b in enumerate(ORDER_BANDS)])))
     return F.broadcast(labels).join(per, "band", "left").select(
         "band", "band_order", F.coalesce("customers", F.lit(0)).alias("customers"))
 

@@ -1,0 +1,197 @@
+"""K-Means with many restarts (and many K) fitted together.
+
+Every pass over the points serves all runs at once: each partition assigns its
+points to the nearest centre of every active run with numpy (``mapInPandas``) and
+emits only per-(run, cluster) partial sums; Spark sums those (map-side combined),
+and the driver receives at most sum(k) rows per pass. Seeding is k-means++ with
+the weighted draws done exactly and deterministically (A-Res keys from a hash of
+the point key, the run seed and the pass), one pass per centre index for all runs.
+Iterations stop per run when the squared centre shift is below ``tol`` times the
+mean feature variance (the usual relative tolerance), or at ``max_iter``.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+_M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
+ROWS_PER_TASK = 500_000
+DRIVER_REDUCE_MAX_TASKS = 64   # up to this many tasks, the <= sum(k) rows per task are summed on the driver
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """splitmix64 finaliser on uint64 arrays."""
+    with np.errstate(over="ignore"):
+        z = (x + np.uint64(0x9E3779B97F4A7C15)) & _M64
+        z = ((z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)) & _M64
+        z = ((z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)) & _M64
+        return z ^ (z >> np.uint64(31))
+
+
+def _u01(keys: np.ndarray, seed: int, salt: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = _mix(keys.astype(np.int64).view(np.uint64) ^ _mix(np.array([seed * 1_000_003 + salt], dtype=np.uint64)))
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+@dataclass
+class Run:
+    run: int
+    k: int
+    seed: int
+
+
+def _pass(points: DataFrame, key: str, cols, fn, schema: str) -> pd.DataFrame:
+    """One distributed pass; ``fn(keys, X) -> DataFrame`` per batch; results summed by Spark."""
+    x, y = cols
+
+    def per_partition(batches):
+        for pdf in batches:
+            if len(pdf):
+                out = fn(pdf[key].to_numpy(np.int64), pdf[[x, y]].to_numpy(np.float64))
+                if out is not None and len(out):
+                    yield out
+    return points.select(key, x, y).mapInPandas(per_partition, schema)
+
+
+def fit_many(points: DataFrame, runs: list[Run], key: str = "customer_sk", cols=("pc1", "pc2"),
+             max_iter: int = 300, tol: float = 1e-4) -> dict[int, tuple[np.ndarray, float]]:
+    """Fit every run; returns {run: (centres k x 2, inertia)}."""
+    spark = points.sparkSession
+    st = points.agg(F.var_pop(cols[0]).alias("v0"), F.var_pop(cols[1]).alias("v1"),
+                    F.count(F.lit(1)).alias("n")).first()
+    # Partitions sized to the data: each pass is one task per ROWS_PER_TASK points.
+    parts = max(1, -(-int(st["n"]) // ROWS_PER_TASK))
+    src = points.select(key, *cols)
+    src = src.coalesce(parts) if parts < src.rdd.getNumPartitions() else src
+    pts = src.persist(StorageLevel.MEMORY_AND_DISK)
+    iters = 0
+    try:
+        tol_abs = tol * float(np.mean([st["v0"] or 0.0, st["v1"] or 0.0]))
+        centres = {r.run: np.zeros((0, 2)) for r in runs}
+        kmax = max(r.k for r in runs)
+        # -- k-means++ seeding: pass j draws centre j of every run needing it.
+        for j in range(kmax):
+            active = [r for r in runs if r.k > j]
+            bc = spark.sparkContext.broadcast([(r.run, r.seed, centres[r.run]) for r in active])
+
+            def draw(keys, X, j=j, bc=bc):
+                rows = []
+                for run, seed, c in bc.value:
+                    u = _u01(keys, seed, j)
+                    if len(c) == 0:
+                        score = np.log(u)
+                    else:
+                        d2 = ((X[:, None, :] - c[None, :, :]) ** 2).sum(-1).min(1)
+                        with np.errstate(divide="ignore"):
+                            score = np.where(d2 > 0, np.log(u) / d2, -np.inf)
+                    i = int(np.argmax(score))
+                    rows.append((run, float(score[i]), int(keys[i]), float(X[i, 0]), float(X[i, 1])))
+                return pd.DataFrame(rows, columns=["run", "score", "k", "x", "y"])
+            cand = _pass(pts, key, cols, draw, "run long, score double, k long, x double, y double")
+            if parts <= DRIVER_REDUCE_MAX_TASKS:
+                c = pd.DataFrame([r.asDict() for r in cand.collect()])
+                c = c.sort_values(["run", "score", "k"], ascending=[True, False, False]).drop_duplicates("run")
+                best = [(int(r.run), float(r.x), float(r.y)) for r in c.itertuples()]
+            else:
+                best = [(r.run, r.c.x, r.c.y) for r in cand.groupBy("run").agg(
+                    F.max_by(F.struct("x", "y"), F.struct("score", F.col("k").alias("kk"))).alias("c")).collect()]
+            bc.unpersist()
+            for run, cx, cy in best:
+                centres[run] = np.vstack([centres[run], [cx, cy]])
+        # -- Lloyd iterations for all unconverged runs together.
+        active = {r.run for r in runs}
+        for _ in range(max_iter):
+            if not active:
+                break
+            iters += 1
+            bc = spark.sparkContext.broadcast([(run, centres[run]) for run in sorted(active)])
+            sums = _assign_sums(pts, key, cols, bc, parts <= DRIVER_REDUCE_MAX_TASKS)
+            bc.unpersist()
+            acc = {}
+            for r in sums:
+                acc.setdefault(r.run, {})[r.cluster] = (r.sx, r.sy, r.n)
+            for run in list(active):
+                old = centres[run]
+                new = old.copy()
+                for c, (sx, sy, n) in acc.get(run, {}).items():
+                    if n > 0:
+                        new[c] = (sx / n, sy / n)
+                centres[run] = new
+                if float(((new - old) ** 2).sum()) <= tol_abs:
+                    active.discard(run)
+        # -- final inertia with the final centres
+        bc = spark.sparkContext.broadcast([(r.run, centres[r.run]) for r in runs])
+        sse = {r.run: 0.0 for r in runs}
+        for r in _assign_sums(pts, key, cols, bc, parts <= DRIVER_REDUCE_MAX_TASKS):
+            sse[r.run] += float(r.sse)
+        bc.unpersist()
+    finally:
+        pts.unpersist()
+    fit_many.last_iterations = iters
+    return {r.run: (centres[r.run], sse[r.run]) for r in runs}
+
+
+def _assign_sums(pts: DataFrame, key: str, cols, bc, on_driver: bool) -> list:
+    """Per (run, cluster): coordinate sums, count and squared error under the given centres."""
+    def sums(keys, X):
+        out = []
+        for run, c in bc.value:
+            d2 = ((X[:, None, :] - c[None, :, :]) ** 2).sum(-1)
+            lab = d2.argmin(1)
+            k = len(c)
+            n = np.bincount(lab, minlength=k)
+            sx = np.bincount(lab, weights=X[:, 0], minlength=k)
+            sy = np.bincount(lab, weights=X[:, 1], minlength=k)
+            e = np.bincount(lab, weights=d2[np.arange(len(X)), lab], minlength=k)
+            out.extend((run, j, float(sx[j]), float(sy[j]), int(n[j]), float(e[j])) for j in range(k))
+        return pd.DataFrame(out, columns=["run", "cluster", "sx", "sy", "n", "sse"])
+    raw = _pass(pts, key, cols, sums, "run long, cluster long, sx double, sy double, n long, sse double")
+    if on_driver:
+        rows = pd.DataFrame([r.asDict() for r in raw.collect()],
+                            columns=["run", "cluster", "sx", "sy", "n", "sse"])
+        g = rows.groupby(["run", "cluster"], as_index=False).sum()
+        return list(g.itertuples(index=False))
+    return raw.groupBy("run", "cluster").agg(F.sum("sx").alias("sx"), F.sum("sy").alias("sy"),
+                                             F.sum("n").alias("n"), F.sum("sse").alias("sse")).collect()
+
+
+def best_per_k(points: DataFrame, ks, n_init: int = 10, seed0: int = 42, **kw) -> dict[int, tuple[np.ndarray, float]]:
+    """For each K, the run (of ``n_init`` seeds) with the lowest inertia."""
+    runs, rid = [], 0
+    for k in ks:
+        for i in range(n_init):
+            runs.append(Run(rid, int(k), seed0 + i))
+            rid += 1
+    fitted = fit_many(points, runs, **kw)
+    best = {}
+    for r in runs:
+        c, e = fitted[r.run]
+        if r.k not in best or e < best[r.k][1]:
+            best[r.k] = (c, e)
+    return best
+
+
+def assign(points: DataFrame, centres: dict[int, np.ndarray], key: str = "customer_sk",
+           cols=("pc1", "pc2")) -> DataFrame:
+    """Label every point for each K in ``centres`` (columns ``cluster_k<K>``)."""
+    items = sorted(centres.items())
+    bc = points.sparkSession.sparkContext.broadcast(items)
+    x, y = cols
+    names = [f"cluster_k{k}" for k, _ in items]
+
+    def per_partition(batches):
+        for pdf in batches:
+            X = pdf[[x, y]].to_numpy(np.float64)
+            out = pd.DataFrame({key: pdf[key].to_numpy(np.int64), x: X[:, 0], y: X[:, 1]})
+            for (k, c), nm in zip(bc.value, names):
+                out[nm] = ((X[:, None, :] - c[None, :, :]) ** 2).sum(-1).argmin(1).astype(np.int64)
+            yield out
+    schema = f"{key} long, {x} double, {y} double, " + ", ".join(f"{n} long" for n in names)
+    return points.select(key, x, y).mapInPandas(per_partition, schema)

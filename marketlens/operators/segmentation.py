@@ -2,8 +2,9 @@
 
 * S02 uses the population standard deviation from exact sums (Spark ML's scaler
   uses the sample one, F17); a constant feature standardises to 0.
-* S03/S04 use Spark ML (PCA, K-Means); the covariance and the Lloyd iterations
-  are distributed, only the 7x7 eigenproblem and the k centres live on the driver.
+* S03 uses Spark ML PCA (distributed covariance, 7x7 eigenproblem on the driver).
+* S04 fits all restarts (and, for S06, all K) together: one pass per Lloyd
+  iteration for every run, only the centres on the driver (``kmeans.py``).
 * S06 computes the Euclidean silhouette (F18) without pairing rows: every cluster
   is summarised into a bounded table of weighted cells (its distinct points when
   there are few, grid-cell centroids beyond), broadcast, and each partition of
@@ -18,13 +19,13 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
+from . import kmeans as KM
 from .customers import LABELS, valid
 
 # The seven clustering features.
@@ -81,18 +82,10 @@ def pca_2d(z: DataFrame, cols=None, k: int = 2):
 # -- S04 / S05 ---------------------------------------------------------------------
 def kmeans(points: DataFrame, k: int = 3, n_init: int = 10, cols=("pc1", "pc2"), max_iter: int = 300,
            tol: float = 1e-4, seed0: int = 42) -> DataFrame:
-    """K-Means with ``n_init`` seeds; the lowest training cost wins."""
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(points) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    best = None
-    for i in range(n_init):
-        m = KMeans(k=k, seed=seed0 + i, maxIter=max_iter, tol=tol, featuresCol="_v",
-                   predictionCol="cluster_raw").fit(vec)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    out = best[1].transform(vec).drop("_v")
-    return out.withColumn("cluster_raw", F.col("cluster_raw").cast("long"))
+    """K-Means with ``n_init`` k-means++ seeds fitted together; lowest inertia wins."""
+    best = KM.best_per_k(points, [k], n_init=n_init, seed0=seed0, cols=cols, max_iter=max_iter, tol=tol)
+    out = KM.assign(points, {k: best[k][0]}, cols=cols)
+    return out.withColumnRenamed(f"cluster_k{k}", "cluster_raw")
 
 
 def cluster_labels(assigned: DataFrame, mart: DataFrame, names=LABELS) -> DataFrame:
@@ -110,7 +103,7 @@ def cluster_labels(assigned: DataFrame, mart: DataFrame, names=LABELS) -> DataFr
 
 def segment(mart: DataFrame, k: int = 3, n_init: int = 10):
     """S01-S05 end to end: returns (labels, pca points, explained variance)."""
-    z = standardize(features(mart)).persist(StorageLevel.MEMORY_AND_DISK)
+    z = standardize(features(mart))
     pts, var = pca_2d(z)
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     assigned = kmeans(pts, k=k, n_init=n_init)
@@ -179,16 +172,21 @@ def silhouette(points: DataFrame, cluster: str = "cluster_raw", cols=("pc1", "pc
     return float(val), method
 
 
-def silhouette_sweep(points: DataFrame, ks=range(2, 9), n_init: int = 3) -> DataFrame:
-    """Mean silhouette of K-Means for each K; flags the best K."""
+def silhouette_sweep(points: DataFrame, ks=range(2, 9), n_init: int = 10) -> DataFrame:
+    """Mean silhouette of K-Means for each K (all K and seeds fitted together); flags the best K."""
+    best = KM.best_per_k(points, list(ks), n_init=n_init)
+    labelled = KM.assign(points, {k: c for k, (c, _) in best.items()}).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
-    for k in ks:
-        assigned = kmeans(points, k=k, n_init=n_init)
-        val, method = silhouette(assigned)
-        rows.append((int(k), val, method))
-    best = max(rows, key=lambda r: r[1])[0]
+    try:
+        for k in ks:
+            val, method = silhouette(labelled, cluster=f"cluster_k{k}")
+            rows.append((int(k), val, method, float(best[k][1])))
+    finally:
+        labelled.unpersist()
+    top = max(rows, key=lambda r: r[1])[0]
     return points.sparkSession.createDataFrame(
-        [(k, v, m, k == best) for k, v, m in rows], "k long, silhouette double, method string, is_best boolean")
+        [(k, v, m, e, k == top) for k, v, m, e in rows],
+        "k long, silhouette double, method string, inertia double, is_best boolean")
 
 
 # -- S07 .. S13 -----------------------------------------------------------------------

@@ -43,6 +43,15 @@ class Context:
         m = M.customer_360(w.fact_sales, w.dim_date, w.dim_customer)
         return m.persist() if self.persist else m
 
+    @cached_property
+    def segmentation(self):
+        """(labels, pca points, explained variance) from one K-Means run per context."""
+        from ..operators import segmentation as S
+        labels, pts, var = S.segment(self.mart)
+        if self.persist:
+            labels = labels.persist()
+        return labels, pts, var
+
     @cached_property
     def customer_zone(self) -> DataFrame:
         return M.customer_zone(self.wh.fact_sales, self.wh.dim_zone)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import time
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +85,13 @@ def _write(df: DataFrame, path: str, partition_by: str | None = None) -> None:
     w.parquet(path)
 
 
+def _write_all(jobs: list[tuple[DataFrame, str]], threads: int = 8) -> None:
+    """Independent writes submitted as concurrent Spark jobs (one thread each)."""
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        for f in [pool.submit(_write, df, path) for df, path in jobs]:
+            f.result()
+
+
 def build_warehouse(spark: SparkSession, sf_dir: str, out_dir: str | None = None, *,
                     n_init: int = 10, expected_counts: dict | None = None,
                     rows_per_bucket: int | None = None) -> dict:
@@ -96,17 +104,14 @@ def build_warehouse(spark: SparkSession, sf_dir: str, out_dir: str | None = None
     timings, t0 = {}, time.time()
     source = Sources(Tables(spark, sf_dir))
     stg = os.path.join(out_dir, "stg")
-    for role in ROLES:
-        _write(getattr(source, role), os.path.join(stg, role))
+    _write_all([(getattr(source, role), os.path.join(stg, role)) for role in ROLES])
     staged = Staged(spark, stg)
     timings["stage"] = time.time() - t0
 
     t = time.time()
     wh = Warehouse(staged, rows_per_bucket)
     dwh = os.path.join(out_dir, "dwh")
-    for name in WAREHOUSE_TABLES:
-        if name.startswith("dim_"):
-            _write(getattr(wh, name), os.path.join(dwh, name))
+    _write_all([(getattr(wh, n), os.path.join(dwh, n)) for n in WAREHOUSE_TABLES if n.startswith("dim_")])
     timings["dimensions"] = time.time() - t
 
     # Facts are built against the written dimensions (no recomputation of keys).

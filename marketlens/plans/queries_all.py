@@ -281,17 +281,17 @@ def _xy(c):
 for _name, _fn in {
     "features": lambda c: S.features(c.mart),
     "standardize": _z,
-    "pca_2d": lambda c: S.pca_2d(_z(c))[0],
-    "pca_variance": lambda c: S.pca_2d(_z(c))[1],
-    "kmeans": lambda c: S.kmeans(S.pca_2d(_z(c))[0]),
-    "cluster_labels": lambda c: S.segment(c.mart)[0],
-    "silhouette_sweep": lambda c: S.silhouette_sweep(S.pca_2d(_z(c))[0]),
-    "assign_clusters": lambda c: M.assign_clusters(c.mart, S.segment(c.mart)[0]),
+    "pca_2d": lambda c: c.segmentation[1],
+    "pca_variance": lambda c: c.segmentation[2],
+    "kmeans": lambda c: S.kmeans(c.segmentation[1]),
+    "cluster_labels": lambda c: c.segmentation[0],
+    "silhouette_sweep": lambda c: S.silhouette_sweep(c.segmentation[1]),
+    "assign_clusters": lambda c: M.assign_clusters(c.mart, c.segmentation[0]),
     "cluster_distribution": lambda c: S.cluster_distribution(c.mart, _labels(c)),
     "cluster_profile": lambda c: S.cluster_profile(c.mart, _labels(c)),
     "cluster_profile_norm": lambda c: S.cluster_profile_norm(c.mart, _labels(c)),
     "cluster_centroids": lambda c: S.cluster_centroids(_xy(c), _labels(c)),
-    "pca_sample": lambda c: S.pca_sample(S.pca_2d(_z(c))[0], _labels(c)),
+    "pca_sample": lambda c: S.pca_sample(c.segmentation[1], _labels(c)),
     "cluster_cltv_range": lambda c: S.cluster_cltv_range(c.mart, _labels(c)),
     "segment_behaviour": lambda c: S.segment_behaviour(c.mart, _labels(c)),
 }.items():

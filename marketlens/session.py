@@ -18,8 +18,15 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Keep little history of finished executions in the driver.
+    "spark.sql.ui.retainedExecutions": "50",
+    "spark.ui.retainedJobs": "200",
+    "spark.ui.retainedStages": "200",
 }
 
+# Local runs only: the driver JVM is the whole cluster.
+LOCAL_CONF = {"spark.driver.memory": "12g"}
+
 
 def get_session(master: str | None = None, app: str = "marketlens",
                 shuffle_partitions: int | None = None,
@@ -33,6 +40,8 @@ def get_session(master: str | None = None, app: str = "marketlens",
     if master:
         builder = builder.master(master)
     conf = dict(DEFAULT_CONF)
+    if master and master.startswith("local"):
+        conf.update(LOCAL_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})

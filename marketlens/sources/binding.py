@@ -117,9 +117,9 @@ class Sources:
 
     @cached_property
     def return_reason(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            [(i, r, True) for i, r in RETURN_REASONS],
-            "reason_id long, reason string, active boolean")
+        rows = F.array(*[F.struct(F.lit(i).cast("long").alias("reason_id"), F.lit(r).alias("reason"),
+                                  F.lit(True).alias("active")) for i, r in RETURN_REASONS])
+        return self.spark.range(1).select(F.inline(rows))
 
     @cached_property
     def offer(self) -> DataFrame:
