@@ -49,8 +49,10 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     scratch = tempfile.mkdtemp(prefix="marketlens-bench-")
     spark = get_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                        extra={"spark.checkpoint.dir": os.path.join(scratch, "ckpt"),
-                               "spark.driver.memory": "16g"})
+                        extra={"spark.driver.memory": "16g"})
+    # A checkpoint folder configured for the session wins; the scratch one is the fallback.
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
     queries = {}
     t = time.time()
     res = build_warehouse(spark, sf_dir, os.path.join(scratch, "wh"))

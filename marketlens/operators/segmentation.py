@@ -5,11 +5,12 @@
 * S03 uses Spark ML PCA (distributed covariance, 7x7 eigenproblem on the driver).
 * S04 fits all restarts (and, for S06, all K) together: one pass per Lloyd
   iteration for every run, only the centres on the driver (``kmeans.py``).
-* S06 computes the Euclidean silhouette (F18) without pairing rows: every cluster
-  is summarised into a bounded table of weighted cells (its distinct points when
-  there are few, grid-cell centroids beyond), broadcast, and each partition of
-  points measures its distances to those cells with numpy in ``mapInPandas``.
-  The result states which method was used.
+* S06 computes the exact Euclidean silhouette (F18) without emitting pairs: identical
+  points merge into weighted points; when few, they are broadcast and each
+  partition measures its distances with numpy in ``mapInPandas``; beyond that the
+  points are hashed into bounded tiles and every (query tile, reference tile) pair
+  is one ``cogroup`` group whose per-cluster sums a ``groupBy`` adds up. The work
+  is quadratic by definition of the metric, but no task holds more than two tiles.
 """
 
 from __future__ import annotations
@@ -32,8 +33,7 @@ from .customers import LABELS, valid
 FEATURES = ("cltv", "net_revenue", "aov", "monthly_frequency", "recency_days", "return_rate", "tenure_days")
 PROFILE_FEATURES = FEATURES + ("num_orders", "margin_pct")
 
-EXACT_SILHOUETTE_POINTS = 20_000     # distinct points per run for the exact method
-GRID_CELLS_PER_CLUSTER = 4_096       # grid summary size per cluster beyond that
+EXACT_SILHOUETTE_POINTS = 20_000     # distinct points broadcast at once; also the tile size
 
 
 # -- S01 / S02 --------------------------------------------------------------------
@@ -111,65 +111,144 @@ def segment(mart: DataFrame, k: int = 3, n_init: int = 10):
 
 
 # -- S06 ----------------------------------------------------------------------------
-def _cell_table(points: DataFrame, cluster: str, cols, exact_limit: int, grid_cells: int):
-    """Bounded per-cluster summary: (cluster, x, y, weight). Exact distinct points when
-    few enough, otherwise grid cells carrying their point count and centroid."""
-    x, y = cols
-    distinct = points.groupBy(cluster, x, y).agg(F.count(F.lit(1)).alias("w"))
-    n_distinct = distinct.count()
-    if n_distinct <= exact_limit:
-        return distinct.toPandas(), "exact"
-    g = max(2, int(math.sqrt(grid_cells)))
-    rng = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
-    dx = (rng["x1"] - rng["x0"]) / g or 1.0
-    dy = (rng["y1"] - rng["y0"]) / g or 1.0
-    cells = points.groupBy(
-        cluster, F.least(F.floor((F.col(x) - rng["x0"]) / dx), F.lit(g - 1)).alias("_gx"),
-        F.least(F.floor((F.col(y) - rng["y0"]) / dy), F.lit(g - 1)).alias("_gy")).agg(
-        F.count(F.lit(1)).alias("w"), F.avg(x).alias(x), F.avg(y).alias(y))
-    return cells.select(cluster, x, y, "w").toPandas(), f"grid-{g}x{g}"
-
+def _distance_sums(px, py, rx, ry, rw, starts, q_chunk: int = 2048, r_chunk: int = 4096):
+    """Weighted Euclidean distance sums from each query point to each cluster.
 
-def silhouette(points: DataFrame, cluster: str = "cluster_raw", cols=("pc1", "pc2"),
-               exact_limit: int = EXACT_SILHOUETTE_POINTS, grid_cells: int = GRID_CELLS_PER_CLUSTER):
-    """Mean Euclidean silhouette; returns (value, method)."""
-    cells, method = _cell_table(points, cluster, cols, exact_limit, grid_cells)
-    labels = np.sort(cells[cluster].unique())
-    sizes = cells.groupby(cluster)["w"].sum().reindex(labels).to_numpy(dtype=float)
-    cx, cy = cells[cols[0]].to_numpy(float), cells[cols[1]].to_numpy(float)
-    cw = cells["w"].to_numpy(float)
-    cl = np.searchsorted(labels, cells[cluster].to_numpy())
-    bc = points.sparkSession.sparkContext.broadcast((labels, sizes, cx, cy, cw, cl))
+    The reference points are sorted by cluster; ``starts`` holds the k+1 slice bounds.
+    Work is chunked so the temporary matrix stays near q_chunk x r_chunk doubles.
+    """
+    k = len(starts) - 1
+    out = np.zeros((len(px), k))
+    for q0 in range(0, len(px), q_chunk):
+        qx, qy = px[q0:q0 + q_chunk, None], py[q0:q0 + q_chunk, None]
+        for j in range(k):
+            for r0 in range(starts[j], starts[j + 1], r_chunk):
+                r1 = min(r0 + r_chunk, starts[j + 1])
+                d = np.sqrt((qx - rx[None, r0:r1]) ** 2 + (qy - ry[None, r0:r1]) ** 2)
+                out[q0:q0 + q_chunk, j] += d @ rw[r0:r1]
+    return out
+
+
+def _sorted_reference(cl, x, y, w, k):
+    order = np.argsort(cl, kind="stable")
+    starts = np.searchsorted(cl[order], np.arange(k + 1))
+    return x[order], y[order], w[order], starts
+
+
+def _silhouette_from_sums(sums, own, size):
+    """Per-point silhouette from its distance sums to every cluster (own point included, at 0)."""
+    n, k = sums.shape
+    idx = np.arange(n)
+    n_own = size[own]
+    a = np.where(n_own > 1, sums[idx, own] / np.maximum(n_own - 1, 1), 0.0)
+    other = sums / size[None, :]
+    other[idx, own] = np.inf
+    b = other.min(axis=1) if k > 1 else np.zeros(n)
+    m = np.maximum(a, b)
+    return np.where((n_own > 1) & (k > 1) & (m > 0), (b - a) / np.where(m > 0, m, 1.0), 0.0)
+
+
+def _silhouette_broadcast(points, distinct, cluster, cols, labels, sizes):
+    """Few distinct points: the weighted distinct points of every cluster (bounded by
+    ``exact_limit``) are broadcast and each partition measures against all of them."""
     x, y = cols
+    cells = distinct.toPandas()
+    cl = np.searchsorted(labels, cells[cluster].to_numpy())
+    rx, ry, rw, starts = _sorted_reference(cl, cells[x].to_numpy(float), cells[y].to_numpy(float),
+                                           cells["w"].to_numpy(float), len(labels))
+    bc = points.sparkSession.sparkContext.broadcast((labels, sizes, rx, ry, rw, starts))
 
     def per_partition(batches):
-        lab, size, ccx, ccy, ccw, ccl = bc.value
-        k = len(lab)
+        lab, size, bx, by, bw, st = bc.value
         for pdf in batches:
             if pdf.empty:
                 continue
-            px, py = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
+            sums = _distance_sums(pdf[x].to_numpy(float), pdf[y].to_numpy(float), bx, by, bw, st)
             own = np.searchsorted(lab, pdf[cluster].to_numpy())
-            sums = np.zeros((len(pdf), k))
-            for start in range(0, len(ccx), 2048):
-                sl = slice(start, start + 2048)
-                d = np.sqrt((px[:, None] - ccx[None, sl]) ** 2 + (py[:, None] - ccy[None, sl]) ** 2) * ccw[None, sl]
-                for j in range(k):
-                    mask = ccl[sl] == j
-                    if mask.any():
-                        sums[:, j] += d[:, mask].sum(axis=1)
-            n_own = size[own]
-            a = np.where(n_own > 1, sums[np.arange(len(pdf)), own] / np.maximum(n_own - 1, 1), 0.0)
-            other = sums / size[None, :]
-            other[np.arange(len(pdf)), own] = np.inf
-            b = other.min(axis=1) if k > 1 else np.zeros(len(pdf))
-            s = np.where((n_own > 1) & (k > 1), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-            yield pd.DataFrame({"s": s})
+            yield pd.DataFrame({"s": _silhouette_from_sums(sums, own, size)})
 
     val = (points.select(cluster, x, y).mapInPandas(per_partition, "s double")
            .agg(F.avg("s").alias("v")).first()["v"])
     bc.unpersist()
-    return float(val), method
+    return float(val)
+
+
+def _silhouette_tiled(distinct, cluster, cols, labels, sizes, tiles: int):
+    """Many distinct points: exact all-cluster distance sums in bounded groups.
+
+    Distinct weighted points are hashed into ``tiles`` tiles. Group (q, r) holds the
+    query points of tile q and the reference points of tile r, so no group exceeds
+    two tiles whatever the data size; every point meets every reference tile once.
+    Partial sums per (point, cluster) are added up by a ``groupBy``; the silhouette
+    of a distinct point counts ``w`` times in the mean.
+    """
+    x, y = cols
+    k = len(labels)
+    tile = F.pmod(F.xxhash64(F.col(cluster), F.col(x), F.col(y)), F.lit(tiles)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    q = distinct.select(tile.alias("_qt"), every.alias("_rt"), cluster, x, y, "w")
+    r = distinct.select(every.alias("_qt"), tile.alias("_rt"), F.col(cluster).alias("_rc"),
+                        F.col(x).alias("_rx"), F.col(y).alias("_ry"), F.col("w").alias("_rw"))
+    lab = np.asarray(labels)
+    dcols = [f"_d{j}" for j in range(k)]
+
+    def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if qp.empty:
+            return pd.DataFrame({c: [] for c in [cluster, x, y, "w", *dcols]})
+        if rp.empty:
+            sums = np.zeros((len(qp), k))
+        else:
+            cl = np.searchsorted(lab, rp["_rc"].to_numpy())
+            rx, ry, rw, st = _sorted_reference(cl, rp["_rx"].to_numpy(float), rp["_ry"].to_numpy(float),
+                                               rp["_rw"].to_numpy(float), k)
+            sums = _distance_sums(qp[x].to_numpy(float), qp[y].to_numpy(float), rx, ry, rw, st)
+        out = qp[[cluster, x, y, "w"]].reset_index(drop=True)
+        for j in range(k):
+            out[dcols[j]] = sums[:, j]
+        return out
+
+    schema = (f"{cluster} {distinct.schema[cluster].dataType.simpleString()}, {x} double, {y} double, "
+              "w long, " + ", ".join(f"{c} double" for c in dcols))
+    parts = (q.groupBy("_qt", "_rt").cogroup(r.groupBy("_qt", "_rt"))
+             .applyInPandas(kernel, schema))
+    per = parts.groupBy(cluster, x, y, "w").agg(*[F.sum(c).alias(c) for c in dcols])
+    own = (F.array_position(F.array(*[F.lit(v) for v in labels.tolist()]), F.col(cluster)) - 1).cast("int")
+    n_own = F.element_at(F.array(*[F.lit(float(v)) for v in sizes]), own + 1)
+    a_sum = F.coalesce(*[F.when(own == j, F.col(dcols[j])) for j in range(k)])
+    a = F.when(n_own > 1, a_sum / F.greatest(n_own - 1, F.lit(1.0))).otherwise(0.0)
+    b = (F.least(*[F.when(own != j, F.col(dcols[j]) / float(sizes[j])) for j in range(k)])
+         if k > 1 else F.lit(0.0))
+    m = F.greatest(a, b)
+    sil = F.when((n_own > 1) & F.lit(k > 1) & (m > 0), (b - a) / m).otherwise(0.0)
+    row = per.select((sil * F.col("w")).alias("sw"), "w").agg(
+        (F.sum("sw") / F.sum("w")).alias("v")).first()
+    return float(row["v"])
+
+
+def silhouette(points: DataFrame, cluster: str = "cluster_raw", cols=("pc1", "pc2"),
+               exact_limit: int = EXACT_SILHOUETTE_POINTS):
+    """Mean Euclidean silhouette over all points, exact; returns (value, method).
+
+    Identical points of a cluster are merged into one weighted point (their
+    silhouettes are equal). Up to ``exact_limit`` distinct points the weighted
+    points are broadcast ("exact"); beyond, the tiled job bounds every group at
+    two tiles of that size ("exact-tiled-T").
+    """
+    x, y = cols
+    distinct = points.groupBy(cluster, x, y).agg(F.count(F.lit(1)).alias("w"))
+    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        per = distinct.groupBy(cluster).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("nd")).collect()
+        per = sorted(per, key=lambda r: r[cluster])
+        labels = np.array([r[cluster] for r in per])
+        sizes = np.array([float(r["n"]) for r in per])
+        n_distinct = sum(int(r["nd"]) for r in per)
+        if n_distinct <= exact_limit:
+            return _silhouette_broadcast(points, distinct, cluster, cols, labels, sizes), "exact"
+        tiles = math.ceil(n_distinct / exact_limit)
+        return _silhouette_tiled(distinct, cluster, cols, labels, sizes, tiles), f"exact-tiled-{tiles}"
+    finally:
+        distinct.unpersist()
 
 
 def silhouette_sweep(points: DataFrame, ks=range(2, 9), n_init: int = 10) -> DataFrame:

@@ -166,6 +166,7 @@ def report_bundle(ctx, out_dir: str, sections: dict) -> dict:
     rows = {}
     for name, fn in sections.items():
         path = os.path.join(out_dir, name)
-        fn(ctx).write.mode("overwrite").json(path)
-        rows[name] = ctx.spark.read.json(path).count() if os.path.exists(path) else 0
+        df = fn(ctx)
+        df.write.mode("overwrite").json(path)
+        rows[name] = ctx.spark.read.schema(df.schema).json(path).count()
     return rows

@@ -31,8 +31,23 @@ def test_silhouette_exact_matches_brute_force(spark):
     val, method = S.silhouette(df)
     assert method == "exact"
     assert abs(val - _brute_silhouette(x, lab)) < 1e-9
-    approx, m2 = S.silhouette(df, exact_limit=10, grid_cells=400)
-    assert m2.startswith("grid") and abs(approx - val) < 0.05
+    tiled, m2 = S.silhouette(df, exact_limit=16)
+    assert m2 == "exact-tiled-10"
+    assert abs(tiled - val) < 1e-9
+
+
+def test_silhouette_tiled_with_duplicates_and_singletons(spark):
+    rng = np.random.default_rng(11)
+    x = np.vstack([np.round(rng.normal(0, 1, (70, 2)), 1), np.round(rng.normal(4, 1, (50, 2)), 1),
+                   [[9.0, 9.0]]])                     # rounded: repeated points; last: a singleton cluster
+    lab = np.repeat([2, 5, 7], [70, 50, 1])
+    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, lab))],
+                               "customer_sk long, pc1 double, pc2 double, cluster_raw long")
+    brute = _brute_silhouette(x, lab)
+    for limit in (1000, 7, 40):
+        val, method = S.silhouette(df, exact_limit=limit)
+        assert method.startswith("exact")
+        assert abs(val - brute) < 1e-9, (limit, method)
 
 
 def test_standardize_population_std(spark):
