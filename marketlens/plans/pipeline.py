@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import time
 from concurrent.futures import ThreadPoolExecutor
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -158,15 +158,29 @@ def build_warehouse(spark: SparkSession, sf_dir: str, out_dir: str | None = None
             "checks": {"total": summary["total"], "passed": summary["passed"], "failed": summary["failed"]}}
 
 
-def report_bundle(ctx, out_dir: str, sections: dict) -> dict:
+def _count_rows(df: DataFrame, **labels) -> DataFrame:
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        *[F.lit(v).alias(k) for k, v in labels.items()], "row_count")
+
+
+def warehouse_summary(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Row count of every table ``build_warehouse`` wrote, counted from the files."""
+    layers = (("stg", ROLES), ("dwh", WAREHOUSE_TABLES), ("marts", ("customer_360",)))
+    parts = [_count_rows(spark.read.parquet(os.path.join(out_dir, layer, n)), layer=layer, table_name=n)
+             for layer, names in layers for n in names]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report_bundle(ctx, out_dir: str, sections: dict) -> DataFrame:
     """Every report section written as one JSON dataset under ``out_dir``.
 
-    ``sections`` maps a section name to a callable(ctx) -> DataFrame.
+    ``sections`` maps a section name to a callable(ctx) -> DataFrame. Returns the
+    rows per section, counted from what was written.
     """
-    rows = {}
+    parts = []
     for name, fn in sections.items():
         path = os.path.join(out_dir, name)
         df = fn(ctx)
         df.write.mode("overwrite").json(path)
-        rows[name] = ctx.spark.read.schema(df.schema).json(path).count()
-    return rows
+        parts.append(_count_rows(ctx.spark.read.schema(df.schema).json(path), section=name))
+    return reduce(DataFrame.unionByName, parts)

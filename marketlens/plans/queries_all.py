@@ -296,3 +296,55 @@ for _name, _fn in {
     "segment_behaviour": lambda c: S.segment_behaviour(c.mart, _labels(c)),
 }.items():
     register(_name)(_fn)
+
+
+# ------------------------------------------------------- keys and pipelines
+import hashlib  # noqa: E402
+
+from ..session import scratch_path  # noqa: E402
+from . import pipeline as P  # noqa: E402
+from .registry import REGISTRY  # noqa: E402
+
+
+@register("surrogate_keys")
+def q_surrogate_keys(c):
+    """W09 key map of the keyed dimensions: dense in natural-key order, unknown member = 1."""
+    w = c.wh
+    parts = [d.select(F.lit(name).alias("dimension"), F.col(f"{name}_nk").cast("long").alias("natural_key"),
+                      F.col(f"{name}_sk").cast("long").alias("surrogate_key"))
+             for name, d in (("customer", w.dim_customer), ("product", w.dim_product), ("store", w.dim_store))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _run_dir(c, what: str) -> str:
+    return scratch_path(c.spark, f"{what}-{hashlib.sha1(c.sf_dir.encode()).hexdigest()[:12]}")
+
+
+@register("build_warehouse")
+def q_build_warehouse(c):
+    """W13 end to end (stage, dimensions, facts, checks, mart, clusters), then the
+    row count of every written table."""
+    res = P.build_warehouse(c.spark, c.sf_dir, _run_dir(c, "warehouse"))
+    return P.warehouse_summary(c.spark, res["out_dir"])
+
+
+# Report sections of the bundle (the export's business and customer sections).
+BUNDLE_SECTIONS = (
+    "global_kpis", "month_comparison", "trailing_12_months", "top_products_latest_month", "peak_month",
+    "findings", "monthly_evolution", "top_products", "sales_by_store", "seasonality", "return_kpis",
+    "returns_monthly", "returns_by_reason", "returns_by_product", "product_margin_rank",
+    "product_return_rate", "product_seasonality", "brands", "brand_returns", "categories",
+    "category_by_year", "profit_monthly", "profit_by_category", "profit_yearly", "store_kpis",
+    "store_monthly", "store_top_products", "year_over_year", "annual_growth", "best_worst_months",
+    "product_growth", "product_detail", "brand_detail", "category_by_brand",
+    "cltv_kpis", "cltv_top_share", "cltv_log_histogram", "cltv_by_tenure", "orders_band", "pareto_curve",
+    "pareto_80", "rfm_matrix", "cohorts", "top_customers", "customer_export", "health_light",
+    "cluster_distribution", "cluster_profile", "cluster_profile_norm")
+
+
+@register("report_bundle")
+def q_report_bundle(c):
+    """Every section written as JSON; rows per section counted from the output."""
+    from ..functions.output import finalize
+    sections = {k: (lambda fn: lambda ctx: finalize(fn(ctx)))(REGISTRY[k]) for k in BUNDLE_SECTIONS}
+    return P.report_bundle(c, _run_dir(c, "report-bundle"), sections)

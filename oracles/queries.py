@@ -69,3 +69,36 @@ SELECT customer_sk, zone_sk, district, area_type, orientation, lines FROM (
         GROUP BY customer_sk, zone_sk) p
   JOIN dim_zone z ON z.zone_sk = p.zone_sk) t
 WHERE rn = 1""")
+
+oracle("surrogate_keys", """
+SELECT 'customer' AS dimension, -1::BIGINT AS natural_key, 1::BIGINT AS surrogate_key UNION ALL
+SELECT 'customer', customer_id, ROW_NUMBER() OVER (ORDER BY customer_id) + 1 FROM customer_src UNION ALL
+SELECT 'product', -1, 1 UNION ALL
+SELECT 'product', product_id, ROW_NUMBER() OVER (ORDER BY product_id) + 1 FROM product UNION ALL
+SELECT 'store', -1, 1 UNION ALL
+SELECT 'store', store_id, ROW_NUMBER() OVER (ORDER BY store_id) + 1 FROM store""")
+
+oracle("build_warehouse", """
+SELECT 'stg' AS layer, 'product' AS table_name, COUNT(*) AS row_count FROM product UNION ALL
+SELECT 'stg', 'central_product', COUNT(*) FROM central_product UNION ALL
+SELECT 'stg', 'brand', COUNT(*) FROM brand UNION ALL
+SELECT 'stg', 'category', COUNT(*) FROM category UNION ALL
+SELECT 'stg', 'sale', COUNT(*) FROM sale UNION ALL
+SELECT 'stg', 'sale_item', COUNT(*) FROM sale_item UNION ALL
+SELECT 'stg', 'offer', COUNT(*) FROM offer UNION ALL
+SELECT 'stg', 'product_offer', COUNT(*) FROM product_offer UNION ALL
+SELECT 'stg', 'store', COUNT(*) FROM store UNION ALL
+SELECT 'stg', 'customer', COUNT(*) FROM customer_src UNION ALL
+SELECT 'stg', 'city_zone', COUNT(*) FROM city_zone UNION ALL
+SELECT 'stg', 'return_item', COUNT(*) FROM return_item UNION ALL
+SELECT 'stg', 'return_reason', COUNT(*) FROM return_reason UNION ALL
+SELECT 'dwh', 'dim_date', COUNT(*) FROM dim_date UNION ALL
+SELECT 'dwh', 'dim_customer', COUNT(*) FROM dim_customer UNION ALL
+SELECT 'dwh', 'dim_product', COUNT(*) FROM dim_product UNION ALL
+SELECT 'dwh', 'dim_store', COUNT(*) FROM dim_store UNION ALL
+SELECT 'dwh', 'dim_zone', COUNT(*) FROM dim_zone UNION ALL
+SELECT 'dwh', 'dim_offer', COUNT(*) FROM dim_offer UNION ALL
+SELECT 'dwh', 'dim_return_reason', COUNT(*) FROM dim_return_reason UNION ALL
+SELECT 'dwh', 'fact_sales', COUNT(*) FROM fact_sales UNION ALL
+SELECT 'dwh', 'fact_returns', COUNT(*) FROM fact_returns UNION ALL
+SELECT 'marts', 'customer_360', COUNT(*) FROM customer_360""")

@@ -40,7 +40,8 @@ def test_report_bundle(spark, built):
     out = tempfile.mkdtemp(prefix="marketlens-test-json-")
     rows = report_bundle(ctx, out, {"kpis": lambda c: B.global_kpis(c.wh, c.mart),
                                     "monthly": lambda c: B.monthly_evolution(c.wh)})
-    assert rows["kpis"] == 1 and rows["monthly"] > 0
+    got = {r.section: r.row_count for r in rows.collect()}
+    assert got["kpis"] == 1 and got["monthly"] > 0
 
 
 def test_registry_has_oracle_or_is_declared_rows_only():
@@ -50,3 +51,11 @@ def test_registry_has_oracle_or_is_declared_rows_only():
                  "assign_clusters", "pca_sample"}
     assert set(o) <= set(q)
     assert set(q) - set(o) == rows_only
+
+
+def test_warehouse_summary_counts_written_tables(spark, built):
+    from marketlens.plans.pipeline import warehouse_summary
+    got = {(r.layer, r.table_name): r.row_count for r in warehouse_summary(spark, built["out_dir"]).collect()}
+    assert len(got) == 23
+    assert got[("dwh", "fact_sales")] == got[("stg", "sale_item")]
+    assert got[("dwh", "dim_customer")] == got[("stg", "customer")] + 1
