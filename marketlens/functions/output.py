@@ -23,3 +23,14 @@ def finalize(df: DataFrame) -> DataFrame:
             c = c.cast("timestamp")
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+def attach(df: DataFrame, *one_row: DataFrame) -> DataFrame:
+    """Add the columns of one-row results (global aggregates) to every row of ``df``.
+
+    Each column becomes a scalar subquery: computed once, merged with the other
+    subqueries over the same plan, and read as a constant; no join, no pairs.
+    Use as ``df.transform(attach, totals)``.
+    """
+    cols = [r.select(F.col(f"`{c}`")).scalar().alias(c) for r in one_row for c in r.columns]
+    return df.select("*", *cols)

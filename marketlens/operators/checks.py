@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.output import attach
 from ..sources.binding import Sources
 from .warehouse import Warehouse
 
@@ -43,7 +44,7 @@ def staging_checks(stage: Sources, source: Sources, expected: dict | None = None
         exp = (expected or {}).get(t)
         value = _count(getattr(stage, t))
         if exp is None:
-            value = value.crossJoin(getattr(source, t).agg(F.count(F.lit(1)).cast("double").alias("_exp")))
+            value = value.transform(attach, getattr(source, t).agg(F.count(F.lit(1)).cast("double").alias("_exp")))
             exp = 0.0
         out.append(Check(f"V{i:02d}", f"staged {t} rows equal the expected count", value, float(exp), "eq"))
     return out
@@ -69,17 +70,17 @@ def warehouse_checks(w: Warehouse, src: Sources) -> list[Check]:
 
     checks = [
         Check("V05", "dim_customer = customers + 1 unknown",
-              _count(w.dim_customer).crossJoin(ref_count(s.customer, 1)), 0, "eq"),
+              _count(w.dim_customer).transform(attach, ref_count(s.customer, 1)), 0, "eq"),
         Check("V06", "dim_product = products + 1 unknown",
-              _count(w.dim_product).crossJoin(ref_count(s.product, 1)), 0, "eq"),
+              _count(w.dim_product).transform(attach, ref_count(s.product, 1)), 0, "eq"),
         Check("V07", "dim_store = stores + 1 unknown",
-              _count(w.dim_store).crossJoin(ref_count(s.store, 1)), 0, "eq"),
+              _count(w.dim_store).transform(attach, ref_count(s.store, 1)), 0, "eq"),
         Check("V08", "every sale date is in dim_date",
               s.sale.select(F.col("sale_date").alias("date")).distinct()
               .join(w.dim_date.select("date"), "date", "left_anti").transform(_count), 0, "zero"),
         Check("V09", "exactly one no-offer member", _count(w.dim_offer.filter("is_no_offer")), 1, "eq"),
         Check("V10", "exactly one unknown return reason", _count(w.dim_return_reason.filter("is_unknown")), 1, "eq"),
-        Check("V11", "fact_sales rows = sale lines", stat("rows").crossJoin(ref_count(s.sale_item)), 0, "eq"),
+        Check("V11", "fact_sales rows = sale lines", stat("rows").transform(attach, ref_count(s.sale_item)), 0, "eq"),
         Check("V12", "fact_returns has rows", _count(w.fact_returns), 0, "gt"),
         Check("V13", "no orphan customer_sk in fact_sales", _orphans(f, w.dim_customer, "customer_sk"), 0, "zero"),
         Check("V14", "no orphan product_sk in fact_sales", _orphans(f, w.dim_product, "product_sk"), 0, "zero"),
@@ -91,7 +92,7 @@ def warehouse_checks(w: Warehouse, src: Sources) -> list[Check]:
         Check("V20", "no negative product margin (known products)",
               _count(w.dim_product.filter((F.col("margin_pct") < 0) & ~F.col("is_unknown"))), 0, "zero"),
         Check("V21", "fact gross total reconciles with staged subtotals (abs diff < 1)",
-              fs.select("gross_sum").crossJoin(s.sale_item.agg(F.sum("subtotal").alias("b")))
+              fs.select("gross_sum").transform(attach, s.sale_item.agg(F.sum("subtotal").alias("b")))
               .select(F.abs(F.col("gross_sum") - F.col("b")).cast("double").alias("value")), 1, "lt"),
     ]
     return checks
@@ -117,7 +118,7 @@ def check_report(checks: list[Check]) -> DataFrame:
     tot = rows.agg(F.count(F.lit(1)).alias("total"),
                    F.count(F.when(F.col("ok"), 1)).alias("passed"),
                    F.count(F.when(~F.col("ok"), 1)).alias("failed"))
-    return rows.crossJoin(F.broadcast(tot))
+    return rows.transform(attach, tot)
 
 
 GROUPS = {

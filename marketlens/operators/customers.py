@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
+from ..functions.output import attach
 from ..functions.ordering import global_order
 
 LABELS = ("Champions", "Base", "Churned")
@@ -43,7 +44,7 @@ def tercile_labels(mart: DataFrame) -> DataFrame:
     m = valid(mart).select("customer_sk", "cltv")
     o = global_order(m, "cltv", "customer_sk", descending=True, pos_col="_r")
     n = m.agg(F.count(F.lit(1)).alias("_n"))
-    t = o.crossJoin(F.broadcast(n)).withColumn("cluster_id", (tercile_of(F.col("_r"), F.col("_n")) - 1).cast("long"))
+    t = o.transform(attach, n).withColumn("cluster_id", (tercile_of(F.col("_r"), F.col("_n")) - 1).cast("long"))
     return t.select("customer_sk", "cluster_id",
                     F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("cluster_id") + 1).cast("int"))
                     .alias("cluster_label"))
@@ -67,7 +68,7 @@ def cltv_top_share(mart: DataFrame, shares=(10, 20)) -> DataFrame:
     m = valid(mart).select("customer_sk", "cltv")
     o = global_order(m, "cltv", "customer_sk", descending=True, pos_col="pos")
     n = _n(m)
-    j = o.crossJoin(F.broadcast(n))
+    j = o.transform(attach, n)
     aggs = []
     for p in shares:
         k = F.greatest(F.lit(1), F.call_function("div", F.col("_n") * p, F.lit(100)))
@@ -83,7 +84,7 @@ def cltv_log_histogram(mart: DataFrame, bins: int = 19) -> DataFrame:
     width = (F.col("hi") - F.col("lo"))
     idx = F.when(width > 0, F.floor((F.log10("x") - F.col("lo")) / width * bins)).otherwise(F.lit(0))
     idx = F.least(F.greatest(idx, F.lit(0)), F.lit(bins - 1)).cast("long")     # F16: clamp the extremes
-    counts = pos.crossJoin(F.broadcast(rng)).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("customers"))
+    counts = pos.transform(attach, rng).groupBy(idx.alias("bin")).agg(F.count(F.lit(1)).alias("customers"))
     grid = rng.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     edge = lambda i: F.round(F.pow(F.lit(10.0), F.col("lo") + (F.col("hi") - F.col("lo")) * i / bins), 2)
     return grid.join(counts, "bin", "left").select(
@@ -103,13 +104,13 @@ def metric_histogram(mart: DataFrame, specs=HISTOGRAMS) -> DataFrame:
         x = m.filter(F.col(metric).isNotNull()).select(F.col(metric).alias("x"))
         if scope == "below_p95":
             p95 = x.agg(F.percentile(F.col("x").cast("double"), 0.95).alias("_p95"))
-            x = x.crossJoin(F.broadcast(p95)).filter(F.col("x").cast("double") <= F.col("_p95")).select("x")
+            x = x.transform(attach, p95).filter(F.col("x").cast("double") <= F.col("_p95")).select("x")
         st = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), ratio(F.sum("x"), F.count("x")).alias("mean"),
                    F.percentile(F.col("x").cast("double"), 0.5).alias("median"))
         w = (F.col("hi") - F.col("lo")).cast("double")
         idx = F.when(w > 0, F.floor((F.col("x") - F.col("lo")).cast("double") / w * bins)).otherwise(F.lit(0))
         idx = F.least(idx, F.lit(bins - 1)).cast("long")
-        cnt = x.crossJoin(F.broadcast(st.select("lo", "hi"))).groupBy(idx.alias("bin")).agg(
+        cnt = x.transform(attach, st.select("lo", "hi")).groupBy(idx.alias("bin")).agg(
             F.count(F.lit(1)).alias("customers"))
         grid = st.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
         edge = lambda i: F.round(F.col("lo").cast("double") + w * i / bins, 2)
@@ -154,7 +155,7 @@ def _ordered(mart: DataFrame, descending: bool) -> DataFrame:
     m = valid(mart).select("customer_sk", "cltv")
     o = global_order(m, "cltv", "customer_sk", descending=descending, pos_col="pos",
                      running_col="cum_cltv", running_of="cltv")
-    return o.crossJoin(F.broadcast(_n(m)))
+    return o.transform(attach, _n(m))
 
 
 def pareto_curve(mart: DataFrame, points: int = 100) -> DataFrame:
@@ -212,7 +213,7 @@ def rfm_matrix(mart: DataFrame) -> DataFrame:
                   F.percentile(F.col("recency_days").cast("double"), 2.0 / 3).alias("_q2"),
                   F.count(F.lit(1)).alias("_n"))
     o = global_order(m, "monthly_frequency", "customer_sk", pos_col="_fr")
-    j = o.crossJoin(F.broadcast(edges))
+    j = o.transform(attach, edges)
     r = F.col("recency_days")
     rt = F.when(r <= F.col("_q1"), 1).when(r <= F.col("_q2"), 2).otherwise(3)
     ft = tercile_of(F.col("_fr"), F.col("_n"))
@@ -238,7 +239,7 @@ def top_customers(mart: DataFrame, labels: DataFrame, n: int = 20, segment: str
     if segment is not None:
         m = m.filter(F.col("cluster_label") == segment)
     order = [F.col("cltv").desc(), F.col("customer_sk")]
-    top = m.orderBy(*order).limit(n).crossJoin(F.broadcast(tot))
+    top = m.orderBy(*order).limit(n).transform(attach, tot)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
     return top.select("rank", "customer_sk", "name", "cltv", "net_revenue", "aov", "monthly_frequency",
                       "recency_days", "num_orders", "cluster_label",
@@ -341,7 +342,7 @@ def customer_percentile(mart: DataFrame, metric: str = "cltv") -> DataFrame:
     o = global_order(per.withColumn("_k", F.lit(0)), "v", "_k", pos_col="_p", running_col="_cum", running_of="_c")
     below = o.select("v", (F.col("_cum") - F.col("_c")).alias("_below"))
     n = m.agg(F.count(F.lit(1)).alias("_n"))
-    return m.join(below, "v").crossJoin(F.broadcast(n)).select(
+    return m.join(below, "v").transform(attach, n).select(
         "customer_sk", F.col("v").alias(metric),
         round_div(F.col("_below") * 100, F.col("_n"), 1).alias("pct_below"))
 
@@ -365,7 +366,7 @@ def customer_vs_segment(mart: DataFrame, labels: DataFrame, metrics=SEGMENT_METR
     rng = m.agg(*[F.min(c).cast("double").alias(f"_lo_{c}") for c in metrics],
                 *[F.max(c).cast("double").alias(f"_hi_{c}") for c in metrics])
     seg = m.groupBy("cluster_label").agg(*[ratio(F.sum(c), F.count(c)).alias(f"_mean_{c}") for c in metrics])
-    j = m.join(F.broadcast(seg), "cluster_label", "left").crossJoin(F.broadcast(rng))
+    j = m.join(F.broadcast(seg), "cluster_label", "left").transform(attach, rng)
 
     def norm(v, c):
         return (v - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + F.lit(1e-9))
@@ -396,7 +397,7 @@ def health_light(f_sales: DataFrame, mart: DataFrame) -> DataFrame:
     fs = f_sales.agg((ratio(F.sum("returned_qty"), F.sum("quantity")) * 100).alias("return_rate"),
                      ratio(F.sum("margin_pct"), F.count("margin_pct")).alias("avg_margin_pct"))
     rc = valid(mart).agg(ratio(F.sum("recency_days"), F.count("recency_days")).alias("avg_recency_days"))
-    j = fs.crossJoin(rc)
+    j = fs.transform(attach, rc)
     rr, mg, rec = F.col("return_rate"), F.col("avg_margin_pct"), F.col("avg_recency_days")
     pts = (F.when(rr < 5, 2).when(rr < 15, 1).otherwise(0) + F.when(mg > 40, 2).when(mg > 25, 1).otherwise(0)
            + F.when(rec < 90, 2).when(rec < 180, 1).otherwise(0))
@@ -441,4 +442,4 @@ def executive_summary(mart: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum(F.col("gross_revenue") - F.col("net_revenue")).cast(MONEY).alias("lost_revenue"))
     out = a.select("*", round_div(F.coalesce(F.col("_champ_cltv"), F.lit(0)) * 100, F.col("total_cltv"), 1)
                    .alias("champions_cltv_share_pct")).drop("_champ_cltv")
-    return out.crossJoin(gini(mart).select("gini")).crossJoin(lorenz_top_80(mart).select("top_pct_for_80"))
+    return out.transform(attach, gini(mart).select("gini")).transform(attach, lorenz_top_80(mart).select("top_pct_for_80"))

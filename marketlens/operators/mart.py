@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, round_div
+from ..functions.output import attach
 from .warehouse import UNKNOWN_SK
 
 CLTV_COLUMNS = ["customer_sk", "customer_nk", "name", "num_orders", "num_lines",
@@ -49,7 +50,7 @@ def customer_360(f_sales: DataFrame, d_date: DataFrame, d_customer: DataFrame,
         ref = f_sales.sparkSession.range(1).select(F.lit(as_of).cast("date").alias("_as_of"))
     dc = d_customer.select("customer_sk", F.col("customer_nk"),
                            F.concat(F.col("first_name"), F.lit(" "), F.col("last_name")).alias("name"))
-    m = v.join(dc, "customer_sk", "inner").crossJoin(F.broadcast(ref))
+    m = v.join(dc, "customer_sk", "inner").transform(attach, ref)
     tenure = F.datediff("last_purchase", "first_purchase")
     gross, net, orders = F.col("gross_revenue"), F.col("net_revenue"), F.col("num_orders")
     units, returned = F.col("units_bought"), F.col("units_returned")

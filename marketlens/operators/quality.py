@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
+from ..functions.output import attach
 
 # Source systems and the tables they own.
 SYSTEMS = {
@@ -92,7 +93,7 @@ def _counts(tables: dict[str, DataFrame]) -> DataFrame:
 def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     c = _counts(tables)
     tot = c.agg(F.sum("rows").alias("_all"))
-    return c.crossJoin(F.broadcast(tot)).select(
+    return c.transform(attach, tot).select(
         "table_name", "rows", (ratio(F.col("rows"), F.col("_all")) * 100).alias("pct_of_total"))
 
 
@@ -133,7 +134,7 @@ def exact_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
     for t, df in tables.items():
         tot = df.agg(F.count(F.lit(1)).alias("total"))
         uniq = df.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-        parts.append(tot.crossJoin(uniq).select(F.lit(t).alias("table_name"), "total", "distinct_rows"))
+        parts.append(tot.transform(attach, uniq).select(F.lit(t).alias("table_name"), "total", "distinct_rows"))
     out = _union(parts).withColumn("duplicates", F.col("total") - F.col("distinct_rows"))
     return out.withColumn("pct_duplicates", F.coalesce(ratio(F.col("duplicates"), F.col("total")) * 100,
                                                        F.lit(0.0)))
@@ -144,7 +145,7 @@ def logical_duplicates(df: DataFrame, keys=("first_name", "last_name")) -> DataF
     groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("occurrences")).filter(F.col("occurrences") > 1)
     affected = df.join(groups.select(*keys), list(keys), "left_semi").agg(
         F.count(F.lit(1)).alias("affected_rows"))
-    return groups.crossJoin(F.broadcast(affected))
+    return groups.transform(attach, affected)
 
 
 # -- Q09 / Q10 / Q11 ---------------------------------------------------------------
@@ -152,7 +153,7 @@ def length_distribution(df: DataFrame, column: str, expected: int) -> DataFrame:
     v = df.filter(F.col(column).isNotNull()).select(F.length(column).alias("length"))
     per = v.groupBy("length").agg(F.count(F.lit(1)).alias("rows"))
     tot = v.agg(F.count(F.lit(1)).alias("_all"))
-    return per.crossJoin(F.broadcast(tot)).select(
+    return per.transform(attach, tot).select(
         "length", "rows", (ratio(F.col("rows"), F.col("_all")) * 100).alias("pct"),
         (F.col("length") == expected).alias("ok"))
 
@@ -310,7 +311,7 @@ def quality_score_delta(before: dict[str, DataFrame], after: dict[str, DataFrame
     a = quality_score(after).select("table_name", F.col("score").alias("score_after"))
     j = b.join(a, "table_name", "full")
     means = j.agg(F.avg("score_before").alias("mean_before"), F.avg("score_after").alias("mean_after"))
-    return j.withColumn("delta", F.col("score_after") - F.col("score_before")).crossJoin(F.broadcast(means))
+    return j.withColumn("delta", F.col("score_after") - F.col("score_before")).transform(attach, means)
 
 
 # -- Q23 ------------------------------------------------------------------------------------
@@ -387,7 +388,7 @@ def range_battery(product: DataFrame, central_product: DataFrame, sale_item: Dat
     pr = price_ranges(product, central_product)
     lr = line_ranges(sale_item)
     ot = order_total_mismatch(sale, sale_item).agg(F.count(F.lit(1)).alias("order_totals_inconsistent"))
-    j = pr.crossJoin(lr).crossJoin(ot)
+    j = pr.transform(attach, lr).transform(attach, ot)
     names = [("product price <= 0", "price_nonpositive"), ("product cost <= 0", "cost_nonpositive"),
              ("price < cost", "price_below_cost"), ("negative margins", "negative_margins"),
              ("line quantity <= 0", "quantity_nonpositive"), ("unit price <= 0", "unit_price_nonpositive"),
@@ -420,7 +421,7 @@ def certification(tables: dict[str, DataFrame]) -> DataFrame:
                                 ("products without cost", noc), ("returns without sale", ors)]]
     out = _union(rows).withColumn("ok", F.col("cases") == 0)
     all_ok = out.agg(F.min(F.col("ok").cast("int")).cast("boolean").alias("all_ok"))
-    return out.crossJoin(F.broadcast(all_ok))
+    return out.transform(attach, all_ok)
 
 
 # -- Q29 .. Q36 ------------------------------------------------------------------------------
@@ -429,7 +430,7 @@ def catalog_overlap(a: DataFrame, b: DataFrame, key: str = "product_id") -> Data
     only_a = ka.join(kb, key, "left_anti").agg(F.count(F.lit(1)).alias("only_a"))
     only_b = kb.join(ka, key, "left_anti").agg(F.count(F.lit(1)).alias("only_b"))
     both = ka.join(kb, key, "inner").agg(F.count(F.lit(1)).alias("in_both"))
-    return only_a.crossJoin(only_b).crossJoin(both)
+    return only_a.transform(attach, only_b).transform(attach, both)
 
 
 def describe(df: DataFrame, columns) -> DataFrame:
@@ -462,7 +463,7 @@ def price_points(sale_item: DataFrame) -> DataFrame:
 def category_share(product: DataFrame, column: str = "category") -> DataFrame:
     per = product.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
     tot = product.agg(F.count(F.lit(1)).alias("_all"))
-    return per.crossJoin(F.broadcast(tot)).select(
+    return per.transform(attach, tot).select(
         column, "rows", (ratio(F.col("rows"), F.col("_all")) * 100).alias("pct"))
 
 
@@ -482,13 +483,13 @@ def customer_coverage(customer: DataFrame, sale: DataFrame) -> DataFrame:
     total = ids.agg(F.count(F.lit(1)).alias("total_customers"))
     orphans = buyers.join(ids, "customer_id", "left_anti").agg(F.count(F.lit(1)).alias("orphan_customer_ids"))
     without = ids.join(buyers, "customer_id", "left_anti").agg(F.count(F.lit(1)).alias("customers_without_sales"))
-    return with_sales.crossJoin(total).crossJoin(orphans).crossJoin(without)
+    return with_sales.transform(attach, total).transform(attach, orphans).transform(attach, without)
 
 
 def return_share_of_lines(return_item: DataFrame, sale_item: DataFrame) -> DataFrame:
     r = return_item.agg(F.count(F.lit(1)).alias("returns"))
     li = sale_item.agg(F.count(F.lit(1)).alias("lines"))
-    return r.crossJoin(li).withColumn("pct", ratio(F.col("returns"), F.col("lines")) * 100)
+    return r.transform(attach, li).withColumn("pct", ratio(F.col("returns"), F.col("lines")) * 100)
 
 
 # -- repairs helper shared with R01 --------------------------------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import MONTH_NAMES, month_abbr, month_label, month_name
 from ..functions.exact import MONEY, ratio, round_div
+from ..functions.output import attach
 from .warehouse import UNKNOWN_SK, Warehouse
 
 MONTHS = list(range(1, 13))
@@ -86,7 +87,7 @@ def global_kpis(w: Warehouse, mart: DataFrame) -> DataFrame:
     cust = mart.filter(F.col("cltv").isNotNull()).agg(
         F.count(F.lit(1)).alias("num_customers"),
         round_div(F.sum("recency_days"), F.count("recency_days"), 1).alias("avg_recency_days"))
-    return sales.crossJoin(rets).crossJoin(cust)
+    return sales.transform(attach, rets).transform(attach, cust)
 
 
 def pct_change(a, b):
@@ -326,7 +327,7 @@ def categories(w: Warehouse) -> DataFrame:
 def _with_years_grid(keys: DataFrame, years_src: DataFrame, key: str) -> DataFrame:
     """keys x all years with sales (years: one row holding a bounded array)."""
     yrs = years_src.agg(F.sort_array(F.collect_set("year")).alias("years"))
-    return keys.crossJoin(F.broadcast(yrs)).select(key, F.explode("years").alias("year"))
+    return keys.transform(attach, yrs).select(key, F.explode("years").alias("year"))
 
 
 def category_by_year(w: Warehouse, n: int = 6) -> DataFrame:
@@ -400,7 +401,7 @@ def store_monthly(w: Warehouse) -> DataFrame:
     per = f.groupBy("store", "ym").agg(F.sum("net_amount").cast(MONEY).alias("net_revenue"))
     months = f.agg(F.sort_array(F.collect_set("ym")).alias("yms"))   # bounded: months with sales
     stores = f.select("store").distinct()
-    grid = stores.crossJoin(F.broadcast(months)).select("store", F.explode("yms").alias("ym"))
+    grid = stores.transform(attach, months).select("store", F.explode("yms").alias("ym"))
     out = grid.join(per, ["store", "ym"], "left")
     y, m = _div(F.col("ym"), 100).cast("int"), (F.col("ym") % 100).cast("int")
     return out.select("store", y.alias("year"), m.alias("month"), month_label(y, m).alias("label"),
@@ -452,7 +453,7 @@ def best_worst_months(w: Warehouse, n: int = 10) -> DataFrame:
 def product_growth(w: Warehouse, n: int = 10) -> DataFrame:
     f = with_period(_sales_products(w))
     last = f.agg(F.max("year").alias("last_year"))
-    j = f.crossJoin(F.broadcast(last))
+    j = f.transform(attach, last)
     z = F.lit(0).cast(MONEY)
     base = j.groupBy("product").agg(
         F.sum(F.when(F.col("year") == F.col("last_year") - 1, F.col("net_amount")).otherwise(z)).cast(MONEY).alias("prev_net"),
@@ -542,7 +543,7 @@ def top_products_by_units(sale_item: DataFrame, product: DataFrame, n: int = 10)
     total = sale_item.agg(F.sum("quantity").alias("all_units"))
     j = per.join(product.select("product_id", "name"), "product_id", "inner")
     order = [F.col("units").desc(), F.col("product_id")]
-    top = j.orderBy(*order).limit(n).crossJoin(F.broadcast(total))
+    top = j.orderBy(*order).limit(n).transform(attach, total)
     return _rank(top.select("product_id", "name", "units", "revenue",
                             round_div(F.col("units") * 100, F.col("all_units"), 2).alias("units_pct")), *order)
 
@@ -585,4 +586,4 @@ def findings(w: Warehouse, mart: DataFrame, labels: DataFrame) -> DataFrame:
     champ = m.agg(round_div(F.count(F.when(ch, 1)) * 100, F.count(F.lit(1)), 1).alias("champions_customer_pct"),
                   round_div(F.coalesce(F.sum(F.when(ch, F.col("cltv"))), F.lit(0)) * 100, F.sum("cltv"), 1)
                   .alias("champions_cltv_pct"))
-    return p80.crossJoin(peak).crossJoin(topp).crossJoin(reason).crossJoin(champ)
+    return p80.transform(attach, peak).transform(attach, topp).transform(attach, reason).transform(attach, champ)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
+from ..functions.output import attach
 from . import kmeans as KM
 from .customers import LABELS, valid
 
@@ -55,7 +56,7 @@ def standardize(feats: DataFrame, cols=FEATURES) -> DataFrame:
         var = F.col(f"_q_{c}").cast("double") / n - mean * mean
         std = F.sqrt(F.greatest(var, F.lit(0.0)))
         out.append(F.when(std > 0, (F.col(c).cast("double") - mean) / std).otherwise(F.lit(0.0)).alias(f"z_{c}"))
-    return feats.crossJoin(F.broadcast(st)).select("customer_sk", *out)
+    return feats.transform(attach, st).select("customer_sk", *out)
 
 
 # -- S03 ---------------------------------------------------------------------------
@@ -281,7 +282,7 @@ def cluster_distribution(mart: DataFrame, labels: DataFrame) -> DataFrame:
         ratio(F.sum("cltv"), F.count("cltv")).alias("mean_cltv"),
         ratio(F.sum("aov"), F.count("aov")).alias("mean_aov"),
         ratio(F.sum("return_rate"), F.count("return_rate")).alias("mean_return_rate"))
-    return per.crossJoin(F.broadcast(tot)).select(
+    return per.transform(attach, tot).select(
         "cluster_id", "cluster_label", "customers",
         round_div(F.col("customers") * 100, F.col("_n"), 1).alias("pct_customers"),
         "total_cltv", round_div(F.col("total_cltv") * 100, F.col("_t"), 1).alias("pct_cltv"),
@@ -333,5 +334,5 @@ def segment_behaviour(mart: DataFrame, labels: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers"),
         *[ratio(F.sum(c), F.count(c)).alias(f"mean_{c}") for c in
           ("cltv", "recency_days", "tenure_days", "num_orders", "aov", "return_rate")])
-    return per.crossJoin(F.broadcast(tot)).withColumn(
+    return per.transform(attach, tot).withColumn(
         "pct_customers", ratio(F.col("customers"), F.col("_n")) * 100).drop("_n")
