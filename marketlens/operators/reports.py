@@ -125,15 +125,16 @@ def month_comparison(w: Warehouse) -> DataFrame:
 
 # -- B03 ---------------------------------------------------------------------
 def trailing_12_months(w: Warehouse) -> DataFrame:
-    lm = _latest_month(w.fact_sales).select(_ym(F.add_months("d", -11)).alias("min_ym"))
-    f = with_period(w.fact_sales).withColumn("ym", F.col("year") * 100 + F.col("month"))
-    sales = (f.join(F.broadcast(lm), F.col("ym") >= F.col("min_ym"))
-             .groupBy("year", "month", "sale_id").agg(F.sum("net_amount").alias("n"))
+    # First day key (yyyymm00) of the window, a scalar subquery: the facts are
+    # filtered on their own date key, no join.
+    cut = (_latest_month(w.fact_sales)
+           .select((_ym(F.add_months("d", -11)) * 100).alias("cut")).scalar())
+    f = with_period(w.fact_sales.filter(F.col("date_sk") >= cut))
+    sales = (f.groupBy("year", "month", "sale_id").agg(F.sum("net_amount").alias("n"))
              .groupBy("year", "month").agg(F.sum("n").cast(MONEY).alias("net_revenue"),
                                            F.count(F.lit(1)).alias("num_orders")))
-    r = with_period(w.fact_returns).withColumn("ym", F.col("year") * 100 + F.col("month"))
-    rets = (r.join(F.broadcast(lm), F.col("ym") >= F.col("min_ym"))
-            .groupBy("year", "month").agg(F.count(F.lit(1)).alias("num_returns")))
+    r = with_period(w.fact_returns.filter(F.col("date_sk") >= cut))
+    rets = r.groupBy("year", "month").agg(F.count(F.lit(1)).alias("num_returns"))
     out = sales.join(rets, ["year", "month"], "left").fillna(0, ["num_returns"])
     return out.select(
         "year", "month", month_label(F.col("year"), F.col("month")).alias("label"),
