@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
+from ..functions.joins import broadcast_if_small
 from ..functions.output import attach
 
 # Source systems and the tables they own.
@@ -279,7 +280,7 @@ def returns_before_sale(return_item: DataFrame, sale_item: DataFrame, sale: Data
 
 
 def sales_outside_offer(sale_item: DataFrame, sale: DataFrame, offer: DataFrame) -> DataFrame:
-    o = F.broadcast(offer.select("offer_id", "start_date", "end_date"))
+    o = broadcast_if_small(offer.select("offer_id", "start_date", "end_date"))
     j = (sale_item.filter(F.col("offer_id").isNotNull()).select("sale_id", "offer_id")
          .join(sale.select("sale_id", "sale_date"), "sale_id").join(o, "offer_id"))
     d = F.col("sale_date")

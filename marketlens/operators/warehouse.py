@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import date_key, day_name, iso_dow, month_name
 from ..functions.exact import MONEY, round_div
+from ..functions.joins import broadcast_if_small
 from ..functions.ordering import dense_keys
 from ..sources.binding import Sources
 
@@ -189,10 +190,10 @@ def fact_sales(sale_item: DataFrame, sale: DataFrame, d_date: DataFrame,
     the lines meet the headers and their returns on the order key they are already
     partitioned by. Only the product and offer keys are resolved on the line side.
     """
-    dd = F.broadcast(d_date.select("date_sk"))
+    dd = broadcast_if_small(d_date.select("date_sk"))
     dc = d_customer.filter(~F.col("is_unknown")).select(F.col("customer_nk").alias("customer_id"), "customer_sk")
     dt = d_store.filter(~F.col("is_unknown")).select(F.col("store_nk").alias("store_id"), "store_sk", "postal_code")
-    dz = F.broadcast(d_zone.filter(~F.col("is_unknown")).select("postal_code", "zone_sk"))
+    dz = broadcast_if_small(d_zone.filter(~F.col("is_unknown")).select("postal_code", "zone_sk"))
     heads = (sale.select("sale_id", "customer_id", "store_id", date_key(F.col("sale_date")).alias("date_sk"))
              .join(dd, "date_sk", "inner")
              .join(dc, "customer_id", "left")
@@ -204,7 +205,8 @@ def fact_sales(sale_item: DataFrame, sale: DataFrame, d_date: DataFrame,
                      F.coalesce("zone_sk", F.lit(UNKNOWN_SK)).alias("zone_sk")))
     dp = d_product.filter(~F.col("is_unknown")).select(F.col("product_nk").alias("product_id"), "product_sk",
                                                        F.col("unit_cost").alias("_cost"))
-    do = F.broadcast(d_offer.filter(~F.col("is_no_offer")).select(F.col("offer_nk").alias("offer_id"), "offer_sk"))
+    do = broadcast_if_small(d_offer.filter(~F.col("is_no_offer"))
+                            .select(F.col("offer_nk").alias("offer_id"), "offer_sk"))
     rkeys = [k for k in ("sale_id", "sale_item_id") if k in ret_by_line.columns]
     j = (sale_item.join(heads, "sale_id", "inner")
          .join(ret_by_line, rkeys, "left")
@@ -235,8 +237,9 @@ def fact_returns(return_item: DataFrame, f_sales: DataFrame, d_product: DataFram
     """One row per return; returns dated outside the date dimension are dropped."""
     fv = f_sales.select("sale_item_id", "customer_sk", "product_sk", "store_sk", "unit_price")
     dp = d_product.select("product_sk", F.col("unit_cost").alias("_cost"))
-    dm = F.broadcast(d_reason.filter(~F.col("is_unknown")).select(F.col("reason_nk").alias("reason_id"), "reason_sk"))
-    dd = F.broadcast(d_date.select("date_sk"))
+    dm = broadcast_if_small(d_reason.filter(~F.col("is_unknown"))
+                            .select(F.col("reason_nk").alias("reason_id"), "reason_sk"))
+    dd = broadcast_if_small(d_date.select("date_sk"))
     r = return_item.withColumn("date_sk", date_key(F.col("return_date")))
     j = (r.join(fv, "sale_item_id", "left")
          .join(dp, "product_sk", "left")

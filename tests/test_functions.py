@@ -71,3 +71,15 @@ def test_dense_keys(spark):
     df = spark.createDataFrame([(k,) for k in [40, 7, 13, 1000, 2]], "nk long")
     out = {r.nk: r.sk for r in dense_keys(df, "nk", "sk", rows_per_bucket=2).collect()}
     assert out == {2: 2, 7: 3, 13: 4, 40: 5, 1000: 6}
+
+
+def test_broadcast_if_small_checks_size(spark):
+    from marketlens.functions.joins import broadcast_if_small
+    big = spark.range(50).withColumnRenamed("id", "k")
+    facts = spark.range(200).select((F.col("id") % 50).alias("k"))
+    hinted = facts.join(broadcast_if_small(big, max_rows=100), "k")
+    plain = facts.join(broadcast_if_small(big, max_rows=10), "k")
+    hint_plan = hinted._jdf.queryExecution().optimizedPlan().toString()
+    plain_plan = plain._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in hint_plan.lower() and "broadcast" not in plain_plan.lower()
+    assert hinted.count() == plain.count() == 200
