@@ -73,3 +73,19 @@ def test_kmeans_and_labels_properties(spark):
         .avg("cltv").orderBy("cluster_id").collect()
     assert [r.cluster_label for r in lab] == ["Champions", "Base", "Churned"]
     assert lab[0][2] > lab[1][2] > lab[2][2]
+
+
+def test_best_of_restarts_is_no_worse_than_any_seed(spark):
+    from marketlens.operators import kmeans as KM
+    rng = np.random.default_rng(3)
+    pts = np.vstack([rng.normal(c, 0.8, (50, 2)) for c in ((0, 0), (3, 0), (0, 3), (3, 3))])
+    df = spark.createDataFrame([(i + 2, float(a), float(b)) for i, (a, b) in enumerate(pts)],
+                               "customer_sk long, pc1 double, pc2 double")
+    runs = [KM.Run(i, 3, 42 + i) for i in range(6)]
+    fitted = KM.fit_many(df, runs)
+    best = KM.best_per_k(df, [3], n_init=6)[3]
+    assert best[1] == min(e for _, e in fitted.values())
+    # Inertia equals the squared distances to the final centres, recomputed by brute force.
+    c = best[0]
+    d2 = ((pts[:, None, :] - c[None, :, :]) ** 2).sum(-1).min(1).sum()
+    assert abs(d2 - best[1]) < 1e-6 * max(1.0, d2)
