@@ -58,8 +58,20 @@ def _rank(df: DataFrame, *order) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def _from_year(f: DataFrame, first_year) -> DataFrame:
+    """Facts from ``first_year`` on, when the table carries its ``year`` partition
+    column (the built warehouse): the bound, a scalar subquery, prunes whole year
+    folders at run time. Tables without it are returned unchanged (callers filter
+    on the date key as well)."""
+    return f.filter(F.col("year") >= first_year) if "year" in f.columns else f
+
+
 def _latest_month(f: DataFrame) -> DataFrame:
-    """One row: the latest (year, month) pair with sales (F2) and its neighbours."""
+    """One row: the latest (year, month) pair with sales (F2) and its neighbours.
+    On a year-partitioned table only the last year's folder is read (its number
+    comes from the partition listing)."""
+    if "year" in f.columns:
+        f = f.filter(F.col("year") == f.agg(F.max("year")).scalar())
     p = with_period(f).agg(F.max(F.col("year") * 100 + F.col("month")).alias("ym"))
     first = F.make_date(_div(F.col("ym"), 100), F.col("ym") % 100, F.lit(1))
     return p.select(F.col("ym"), first.alias("d"))
@@ -98,7 +110,8 @@ def pct_change(a, b):
 
 # -- B02 ---------------------------------------------------------------------
 def month_comparison(w: Warehouse) -> DataFrame:
-    f = with_period(w.fact_sales)
+    first_ym = _latest_month(w.fact_sales).select(_ym(F.add_months("d", -12)).alias("m")).scalar()
+    f = with_period(_from_year(w.fact_sales, _div(first_ym, 100)))
     monthly = (f.groupBy("year", "month", "sale_id").agg(F.sum("net_amount").alias("n"))
                .groupBy("year", "month").agg(F.sum("n").cast(MONEY).alias("net"),
                                              F.count(F.lit(1)).alias("orders"))
@@ -130,7 +143,7 @@ def trailing_12_months(w: Warehouse) -> DataFrame:
     # filtered on their own date key, no join.
     cut = (_latest_month(w.fact_sales)
            .select((_ym(F.add_months("d", -11)) * 100).alias("cut")).scalar())
-    f = with_period(w.fact_sales.filter(F.col("date_sk") >= cut))
+    f = with_period(_from_year(w.fact_sales, _div(cut, 10000)).filter(F.col("date_sk") >= cut))
     sales = (f.groupBy("year", "month", "sale_id").agg(F.sum("net_amount").alias("n"))
              .groupBy("year", "month").agg(F.sum("n").cast(MONEY).alias("net_revenue"),
                                            F.count(F.lit(1)).alias("num_orders")))
@@ -147,7 +160,8 @@ def trailing_12_months(w: Warehouse) -> DataFrame:
 def top_products_latest_month(w: Warehouse, n: int = 3) -> DataFrame:
     lm = _latest_month(w.fact_sales).select(
         _div(F.col("ym"), 100).cast("int").alias("year"), (F.col("ym") % 100).cast("int").alias("month"))
-    f = with_period(w.fact_sales).join(F.broadcast(lm), ["year", "month"], "inner")
+    f = with_period(_from_year(w.fact_sales, lm.select("year").scalar())).join(
+        F.broadcast(lm), ["year", "month"], "inner")
     agg = (f.join(_products(w), "product_sk", "inner").groupBy("product")
            .agg(F.sum("net_amount").cast(MONEY).alias("net_revenue")))
     top = agg.orderBy(F.col("net_revenue").desc(), F.col("product").asc_nulls_last()).limit(n)
@@ -453,7 +467,10 @@ def best_worst_months(w: Warehouse, n: int = 10) -> DataFrame:
 
 
 def product_growth(w: Warehouse, n: int = 10) -> DataFrame:
-    f = with_period(_sales_products(w))
+    fs = w.fact_sales
+    if "year" in fs.columns:   # the two last years' folders only
+        fs = _from_year(fs, fs.agg(F.max("year") - 1).scalar())
+    f = with_period(fs.join(_products(w), "product_sk", "inner"))
     last = f.agg(F.max("year").alias("last_year"))
     j = f.transform(attach, last)
     z = F.lit(0).cast(MONEY)
