@@ -19,9 +19,10 @@ def register(name: str):
     return deco
 
 
-# Plans over cached warehouse tables print every cached plan again; an unbounded
-# plan description (built for each SQL execution) can fill a small driver heap.
-MAX_PLAN_STRING = 1_000_000
+# Plans over cached warehouse tables print every cached plan again, and Spark keeps
+# the description of each SQL execution (up to spark.sql.ui.retainedExecutions):
+# unbounded, they can fill a small driver heap.
+MAX_PLAN_STRING = 100_000
 
 
 def as_query(fn: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -19,7 +19,7 @@ DEFAULT_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Plan descriptions over cached tables repeat the cached plans: keep them bounded.
-    "spark.sql.maxPlanStringLength": "1000000",
+    "spark.sql.maxPlanStringLength": "100000",
     # Keep little history of finished executions in the driver.
     "spark.sql.ui.retainedExecutions": "50",
     "spark.ui.retainedJobs": "200",
