@@ -11,7 +11,7 @@ customer        customer
 store           supplier + nation    postal code = zero-padded nation key
 city_zone       nation + region      nation 24 is left out (stores in an unknown zone)
 return_item     lineitem + orders    lines flagged 'R'; half the quantity, rounded up
-return_reason   fixed rows           reasons 1..4 (5 left out: unknown reason)
+return_reason   orders + fixed names codes in use with a name, 1..4 (5 left out: unknown reason)
 
 Lineitem is hash-partitioned once by order key; sale, sale_item and
 return_item all derive from that one exchange.
@@ -117,9 +117,14 @@ class Sources:
 
     @cached_property
     def return_reason(self) -> DataFrame:
-        rows = F.array(*[F.struct(F.lit(i).cast("long").alias("reason_id"), F.lit(r).alias("reason"),
-                                  F.lit(True).alias("active")) for i, r in RETURN_REASONS])
-        return self.spark.range(1).select(F.inline(rows))
+        """Reason codes in use (leading digit of the order priority) that have a name."""
+        names = F.create_map(*[x for i, r in RETURN_REASONS for x in (F.lit(i).cast("long"), F.lit(r))])
+        used = (self.raw.orders
+                .select(F.substring("o_orderpriority", 1, 1).cast("long").alias("reason_id"))
+                .distinct())
+        return (used.select("reason_id", F.element_at(names, F.col("reason_id")).alias("reason"),
+                            F.lit(True).alias("active"))
+                .filter(F.col("reason").isNotNull()))
 
     @cached_property
     def offer(self) -> DataFrame:
