@@ -44,7 +44,8 @@ def staging_checks(stage: Sources, source: Sources, expected: dict | None = None
         exp = (expected or {}).get(t)
         value = _count(getattr(stage, t))
         if exp is None:
-            value = value.transform(attach, getattr(source, t).agg(F.count(F.lit(1)).cast("double").alias("_exp")))
+            source_count = getattr(source, t).agg(F.count(F.lit(1)).cast("double").alias("_exp"))
+            value = value.transform(attach, source_count)
             exp = 0.0
         out.append(Check(f"V{i:02d}", f"staged {t} rows equal the expected count", value, float(exp), "eq"))
     return out

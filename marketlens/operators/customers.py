@@ -442,4 +442,5 @@ def executive_summary(mart: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum(F.col("gross_revenue") - F.col("net_revenue")).cast(MONEY).alias("lost_revenue"))
     out = a.select("*", round_div(F.coalesce(F.col("_champ_cltv"), F.lit(0)) * 100, F.col("total_cltv"), 1)
                    .alias("champions_cltv_share_pct")).drop("_champ_cltv")
-    return out.transform(attach, gini(mart).select("gini")).transform(attach, lorenz_top_80(mart).select("top_pct_for_80"))
+    return out.transform(attach, gini(mart).select("gini"),
+                         lorenz_top_80(mart).select("top_pct_for_80"))

@@ -389,7 +389,7 @@ def range_battery(product: DataFrame, central_product: DataFrame, sale_item: Dat
     pr = price_ranges(product, central_product)
     lr = line_ranges(sale_item)
     ot = order_total_mismatch(sale, sale_item).agg(F.count(F.lit(1)).alias("order_totals_inconsistent"))
-    j = pr.transform(attach, lr).transform(attach, ot)
+    j = pr.transform(attach, lr, ot)
     names = [("product price <= 0", "price_nonpositive"), ("product cost <= 0", "cost_nonpositive"),
              ("price < cost", "price_below_cost"), ("negative margins", "negative_margins"),
              ("line quantity <= 0", "quantity_nonpositive"), ("unit price <= 0", "unit_price_nonpositive"),
@@ -431,7 +431,7 @@ def catalog_overlap(a: DataFrame, b: DataFrame, key: str = "product_id") -> Data
     only_a = ka.join(kb, key, "left_anti").agg(F.count(F.lit(1)).alias("only_a"))
     only_b = kb.join(ka, key, "left_anti").agg(F.count(F.lit(1)).alias("only_b"))
     both = ka.join(kb, key, "inner").agg(F.count(F.lit(1)).alias("in_both"))
-    return only_a.transform(attach, only_b).transform(attach, both)
+    return only_a.transform(attach, only_b, both)
 
 
 def describe(df: DataFrame, columns) -> DataFrame:
@@ -484,7 +484,7 @@ def customer_coverage(customer: DataFrame, sale: DataFrame) -> DataFrame:
     total = ids.agg(F.count(F.lit(1)).alias("total_customers"))
     orphans = buyers.join(ids, "customer_id", "left_anti").agg(F.count(F.lit(1)).alias("orphan_customer_ids"))
     without = ids.join(buyers, "customer_id", "left_anti").agg(F.count(F.lit(1)).alias("customers_without_sales"))
-    return with_sales.transform(attach, total).transform(attach, orphans).transform(attach, without)
+    return with_sales.transform(attach, total, orphans, without)
 
 
 def return_share_of_lines(return_item: DataFrame, sale_item: DataFrame) -> DataFrame:

@@ -100,7 +100,7 @@ def global_kpis(w: Warehouse, mart: DataFrame) -> DataFrame:
     cust = mart.filter(F.col("cltv").isNotNull()).agg(
         F.count(F.lit(1)).alias("num_customers"),
         round_div(F.sum("recency_days"), F.count("recency_days"), 1).alias("avg_recency_days"))
-    return sales.transform(attach, rets).transform(attach, cust)
+    return sales.transform(attach, rets, cust)
 
 
 def pct_change(a, b):
@@ -605,4 +605,4 @@ def findings(w: Warehouse, mart: DataFrame, labels: DataFrame) -> DataFrame:
     champ = m.agg(round_div(F.count(F.when(ch, 1)) * 100, F.count(F.lit(1)), 1).alias("champions_customer_pct"),
                   round_div(F.coalesce(F.sum(F.when(ch, F.col("cltv"))), F.lit(0)) * 100, F.sum("cltv"), 1)
                   .alias("champions_cltv_pct"))
-    return p80.transform(attach, peak).transform(attach, topp).transform(attach, reason).transform(attach, champ)
+    return p80.transform(attach, peak, topp, reason, champ)
