@@ -59,3 +59,14 @@ def test_warehouse_summary_counts_written_tables(spark, built):
     assert len(got) == 23
     assert got[("dwh", "fact_sales")] == got[("stg", "sale_item")]
     assert got[("dwh", "dim_customer")] == got[("stg", "customer")] + 1
+
+
+def test_window_reports_prune_year_partitions(spark, built):
+    from marketlens.plans.context import Context
+    wh = BuiltContext(spark, built["out_dir"]).wh
+    assert "year" in wh.fact_sales.columns
+    plan = B.trailing_12_months(wh)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan
+    got = sorted(tuple(r) for r in B.trailing_12_months(wh).collect())
+    ref = sorted(tuple(r) for r in B.trailing_12_months(Context(spark, SF001).wh).collect())
+    assert got == ref
