@@ -19,7 +19,10 @@ from __future__ import annotations
 
 import bisect
 import math
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +36,10 @@ from .textbatch import Remembered
 
 CAPACITY = 4096
 SHARD_ROWS = 50_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+LATIN_END = 0x250
+# Latin letters (checked further by isalpha), then ASCII punctuation without the apostrophe.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
 SLICE = 1 << 16
 _CACHES: dict[str, "WordCache"] = {}
 
@@ -42,17 +48,39 @@ class WordCache:
     """Ids of whitespace-separated words by the tokenizers library, remembered per word.
 
     The tokenizer must never look across ASCII white space (its pre-tokenizer drops
-    it); then the ids of a text are the ids of its words, one after the other.
+    it); then the ids of a text are the ids of its words, one after the other. Where
+    ``plain`` holds, a word of Latin letters and trailing ASCII punctuation is known to
+    pre-tokenize into those two parts, lower-cased, so the library's model gets them
+    directly; all other words go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_file(path)
         self.known = Remembered(CACHE_WORDS)
+        self.parts = Remembered(CACHE_WORDS)
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.surface = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, LATIN_END) if chr(c).isalpha()}
+        self.plain = all(self._whole([w])[0] == b"".join(self._part(x) for x in _PLAIN.fullmatch(w).groups() if x)
+                         for w in ("Thé", "ÀÉÎÕÜßñ***", "don", "x,.;", "Œuvre_", "ſtÿ)", "ŁÓDŹ!!", "ǅo|", "llve-"))
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _part(self, part: str) -> bytes:
+        low = part.lower()
+        return array("I", [t.id for t in self.library.model.tokenize(low if low.isascii() else low.translate(self.surface))]).tobytes()
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        found = [_PLAIN.fullmatch(w) if self.plain else None for w in words]
+        found = [m and (m[1].lower(), m[2]) if m and m[1].isalpha() and (m[1].isascii() or m[1].lower().isalpha()) else None for m in found]
+        parts = [x for m in found if m for x in m if x]
+        known = dict(zip(parts, self.parts.get_all(parts, lambda new: [self._part(x) for x in new]), strict=True))
+        rest = [w for w, m in zip(words, found, strict=True) if m is None]
+        whole = dict(zip(rest, self._whole(rest), strict=True))
+        return [whole[w] if m is None else known[m[0]] + known.get(m[1], b"") for w, m in zip(words, found, strict=True)]
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of the text."""
