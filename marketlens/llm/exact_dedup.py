@@ -1,10 +1,12 @@
 """Exact dedup by progressive refinement: length, then prefix hash, then full hash.
 
 Only rows whose length is shared go on to the prefix hash, and only rows whose
-(length, prefix hash) is shared have their whole text hashed. Each step is a scan
-with a semi-join; texts themselves are never shuffled. Copies are counted with
-map-side aggregation, so a group holding a third of all rows costs one partial row
-per task. DataFrame functions only.
+(length, prefix hash) is shared have their whole text hashed. Each step is a scan that
+counts with map-side aggregation, so a group holding a third of all rows costs one
+partial row per task, and hands the next a bitmap of the shared values (fixed size;
+it lets few others through, which the next step sorts out). Only texts of rows in a
+group cross the network, and only where the rows themselves are wanted. DataFrame
+functions only.
 
 Null text counts as empty. Rows repeating both text and id share one decision;
 ``deduplicate`` keeps one of them. A null id stays only if its whole group has null
@@ -20,35 +22,64 @@ from .common import materialize, sha256_text
 
 PREFIX_CHARS = 256
 SALTS = 16
+FILTER_BITS = 1 << 20
 
 
 def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of two or more equal texts: (digest, keep_id, group_size, keep_rows).
+def _slot(*cols: Column) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
 
-    ``keep_rows`` counts the rows that carry the kept id.
+
+def _may_be_in(shared: DataFrame):
+    """Column condition, true for every row whose columns are a row of ``shared`` (and for few others).
+
+    A bitmap of FILTER_BITS bits (128 KB) at any data size, held as a constant of the plan. Where it
+    fills up at very large sizes, more rows go on to the next step; the groups stay exact.
     """
+    slot = _slot(*[F.col(c) for c in shared.columns])
+    words = {r["w"]: r["m"] for r in shared.select(slot.alias("s"))
+             .groupBy(F.expr("cast(s div 64 as int)").alias("w"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m")).collect()}
+    bits = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(FILTER_BITS // 64))), ",").cast("array<bigint>")
+
+    def test(*cols: Column) -> Column:
+        s = _slot(*cols)
+        return F.getbit(F.get(bits, F.floor(s / 64).cast("int")), (s % 64).cast("int")) == 1
+
+    return test
+
+
+def _suspects(docs: DataFrame, text_col: str) -> Column:
+    """True for every row that shares length and prefix hash with another, and for few others."""
     norm = normalized(F.col(text_col))
-    length = F.length(norm)
-    rows = docs.select(F.col(id_col).alias("id"), norm.alias("norm"), length.alias("len"))
-    prefix = F.xxhash64(F.substring("norm", 1, PREFIX_CHARS))
-    shared_len = docs.select(length.alias("len")).groupBy("len").agg(F.count("*").alias("c")) \
-        .where("c > 1").select("len")
-    level1 = rows.join(shared_len, "len", "left_semi").withColumn("prefix", prefix)
-    shared_prefix = level1.groupBy("len", "prefix").agg(F.count("*").alias("c")) \
-        .where("c > 1").select("len", "prefix")
-    level2 = level1.join(shared_prefix, ["len", "prefix"], "left_semi")
-    return level2.groupBy(sha256_text(F.col("norm")).alias("digest"), F.col("id")) \
-        .agg(F.count("*").alias("c")) \
+    length, prefix = F.length(norm), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))
+    one = docs.select(length.alias("len")).groupBy("len").agg(F.count("*").alias("c")).where("c > 1").select("len")
+    shares_length = _may_be_in(one)(length)
+    two = docs.where(shares_length).select(length.alias("len"), prefix.alias("prefix")) \
+        .groupBy("len", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("len", "prefix")
+    return shares_length & _may_be_in(two)(length, prefix)
+
+
+def _groups(docs: DataFrame, suspect: Column, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(suspect).select(F.col(id_col).alias("id"), sha256_text(normalized(F.col(text_col))).alias("digest")) \
+        .groupBy("digest", "id").agg(F.count("*").alias("c")) \
         .groupBy("digest") \
         .agg(F.min("id").alias("keep_id"), F.sum("c").alias("group_size"),
              F.coalesce(F.min_by(F.col("c"), F.col("id")), F.max("c")).alias("keep_rows")) \
         .where("group_size > 1")
 
 
+def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Groups of two or more equal texts: (digest, keep_id, group_size, keep_rows).
+
+    ``keep_rows`` counts the rows that carry the kept id.
+    """
+    return _groups(docs, _suspects(docs, text_col), id_col, text_col)
+
+
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's decision: id, keep_id, group_size, kept, text_sha256, keep_rows."""
     groups = copy_groups(docs, id_col, text_col).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -64,20 +95,25 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept.
 
-    The groups are written once; texts cross the network at most once, to meet them.
+    The groups are written once; only rows that may be in one cross the network to meet them.
     The second branch runs only where rows repeat both id and text.
     """
-    groups = materialize(copy_groups(docs, id_col, text_col), "copy-groups")
+    suspect = _suspects(docs, text_col)
+    groups = materialize(_groups(docs, suspect, id_col, text_col), "copy-groups")
+    digest = sha256_text(normalized(F.col(text_col)))
+    # A null digest stands for a row that no other can equal; its text is not hashed whole.
+    marked = docs.withColumn("__d", F.when(suspect, digest))
+    grouped = F.coalesce(_may_be_in(groups.select("digest"))(F.col("__d")) & F.col("__d").isNotNull(), F.lit(False))
     salted = groups.select(
         F.col("digest").alias("__dg"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    mine = docs.withColumn("__d", sha256_text(normalized(F.col(text_col)))) \
-        .withColumn("__s", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int"))
-    j = mine.join(salted, (F.col("__d") == F.col("__dg")) & (F.col("__s") == F.col("__salt")), "left") \
+    met = marked.where(grouped).withColumn("__s", F.pmod(F.xxhash64(F.col(id_col)), F.lit(SALTS)).cast("int")) \
+        .join(salted, (F.col("__d") == F.col("__dg")) & (F.col("__s") == F.col("__salt")), "left") \
         .where(F.col("__dg").isNull() | F.col(id_col).eqNullSafe(F.col("__keep")))
     out = list(docs.columns)
+    alone = marked.where(~grouped).select(*out)
     if groups.where("keep_rows > 1").isEmpty():
-        return j.select(*out)
+        return alone.unionByName(met.select(*out))
     single = F.coalesce(F.col("__rows"), F.lit(1)) == 1
-    repeated = j.where(~single).dropDuplicates([id_col, "__d"])
-    return j.where(single).select(*out).unionByName(repeated.select(*out))
+    repeated = met.where(~single).dropDuplicates([id_col, "__d"])
+    return alone.unionByName(met.where(single).select(*out)).unionByName(repeated.select(*out))

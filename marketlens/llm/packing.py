@@ -36,11 +36,11 @@ from .textbatch import Remembered
 
 CAPACITY = 4096
 SHARD_ROWS = 50_000
-CACHE_WORDS = 250_000
+CACHE_WORDS, CACHE_PARTS = 60_000, 120_000
 LATIN_END = 0x250
 # Latin letters (checked further by isalpha), then ASCII punctuation without the apostrophe.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u024F]+)([!-&(-/:-@\[-`{-~]*)")
-SLICE = 1 << 16
+SLICE = 1 << 14
 _CACHES: dict[str, "WordCache"] = {}
 
 
@@ -60,7 +60,7 @@ class WordCache:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.library = Tokenizer.from_file(path)
         self.known = Remembered(CACHE_WORDS)
-        self.parts = Remembered(CACHE_WORDS)
+        self.parts = Remembered(CACHE_PARTS)
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.surface = {c: as_bytes.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, LATIN_END) if chr(c).isalpha()}
         self.plain = all(self._whole([w])[0] == b"".join(self._part(x) for x in _PLAIN.fullmatch(w).groups() if x)

@@ -85,7 +85,7 @@ def _fit_shard(frame: pd.DataFrame) -> pd.DataFrame:
         key = np.unique(doc * np.int64(DIMS) + f)
         doc, f = key // DIMS, key % DIMS
         cut = np.searchsorted(doc, np.arange(len(offs)))
-        examples += [(np.append(f[cut[i]:cut[i + 1]], DIMS), value[i]) for i in range(len(offs) - 1)]
+        examples += [(np.append(f[cut[i]:cut[i + 1]], DIMS).astype(np.int32), value[i]) for i in range(len(offs) - 1)]
     w = ftrl(examples, frame["__y"].to_numpy(float))
     at = np.flatnonzero(w)
     return pd.DataFrame({"bucket": at.astype(np.int32), "w": w[at], "rows": len(frame)})
