@@ -3,7 +3,7 @@
 Only rows whose length is shared go on to the prefix hash, and only rows whose
 (length, prefix hash) is shared have their whole text hashed. Each step is a scan that
 counts with map-side aggregation, so a group holding a third of all rows costs one
-partial row per task, and hands the next a bitmap of the shared values (fixed size;
+partial row per task, and hands the next a table of the shared values' slots (fixed size;
 it lets few others through, which the next step sorts out). Only texts of rows in a
 group cross the network, and only where the rows themselves are wanted. DataFrame
 functions only.
@@ -22,7 +22,7 @@ from .common import materialize, sha256_text
 
 PREFIX_CHARS = 256
 SALTS = 16
-FILTER_BITS = 1 << 20
+FILTER_SLOTS = 1 << 18
 
 
 def normalized(text: Column) -> Column:
@@ -30,24 +30,22 @@ def normalized(text: Column) -> Column:
 
 
 def _slot(*cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_SLOTS))
 
 
 def _may_be_in(shared: DataFrame):
     """Column condition, true for every row whose columns are a row of ``shared`` (and for few others).
 
-    A bitmap of FILTER_BITS bits (128 KB) at any data size, held as a constant of the plan. Where it
-    fills up at very large sizes, more rows go on to the next step; the groups stay exact.
+    One byte for each of FILTER_SLOTS slots (256 KB) at any data size, held as a constant of the
+    plan. Where it fills up at very large sizes, more rows go on to the next step; the groups stay exact.
     """
-    slot = _slot(*[F.col(c) for c in shared.columns])
-    words = {r["w"]: r["m"] for r in shared.select(slot.alias("s"))
-             .groupBy(F.expr("cast(s div 64 as int)").alias("w"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m")).collect()}
-    bits = F.split(F.lit(",".join(str(words.get(i, 0)) for i in range(FILTER_BITS // 64))), ",").cast("array<bigint>")
+    table = bytearray(FILTER_SLOTS)
+    for r in shared.select(_slot(*[F.col(c) for c in shared.columns]).alias("s")).distinct().collect():
+        table[r["s"]] = 1
+    full = F.lit(bytes(table))
 
     def test(*cols: Column) -> Column:
-        s = _slot(*cols)
-        return F.getbit(F.get(bits, F.floor(s / 64).cast("int")), (s % 64).cast("int")) == 1
+        return F.substring(full, (_slot(*cols) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
 
     return test
 
