@@ -125,7 +125,7 @@ def metric_histogram(mart: DataFrame, specs=HISTOGRAMS) -> DataFrame:
 def cltv_by_tenure(mart: DataFrame) -> DataFrame:
     t = F.col("tenure_days")
     band = (F.when((t > 0) & (t <= 365), "0-1 years").when((t > 365) & (t <= 730), "1-2 years")
-            .when((t > 730) & (t <= 1095), "2-3 years").when((t > 1095) & (t <= 99999), "3+ years"))
+            .when((t > 730) & (t <= 1095), "2-3 years").when(t > 1095, "3+ years"))
     return (valid(mart).withColumn("band", band).filter(F.col("band").isNotNull()).groupBy("band")
             .agg(ratio(F.sum("cltv"), F.count("cltv")).alias("mean_cltv"),
                  F.percentile(F.col("cltv").cast("double"), 0.5).alias("median_cltv"),
@@ -133,14 +133,14 @@ def cltv_by_tenure(mart: DataFrame) -> DataFrame:
 
 
 ORDER_BANDS = (("1 order", 0, 1), ("2 orders", 1, 2), ("3-5 orders", 2, 5), ("6-10 orders", 5, 10),
-               ("more than 10", 10, 9999))
+               ("more than 10", 10, None))
 
 
 def orders_band(mart: DataFrame) -> DataFrame:
     o = F.col("num_orders")
     band = None
     for label, lo, hi in ORDER_BANDS:
-        cond = (o > lo) & (o <= hi)
+        cond = (o > lo) if hi is None else (o > lo) & (o <= hi)  # the last band is open
         band = F.when(cond, label) if band is None else band.when(cond, label)
     per = valid(mart).groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("customers"))
     labels = mart.sparkSession.range(1).select(F.inline(F.array(*[

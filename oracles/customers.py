@@ -82,13 +82,13 @@ SELECT band, CAST(SUM(cltv) AS DOUBLE) / COUNT(cltv) AS mean_cltv, quantile_cont
 FROM (SELECT cltv, CASE WHEN tenure_days > 0 AND tenure_days <= 365 THEN '0-1 years'
                         WHEN tenure_days > 365 AND tenure_days <= 730 THEN '1-2 years'
                         WHEN tenure_days > 730 AND tenure_days <= 1095 THEN '2-3 years'
-                        WHEN tenure_days > 1095 AND tenure_days <= 99999 THEN '3+ years' END AS band FROM {V} v) x
+                        WHEN tenure_days > 1095 THEN '3+ years' END AS band FROM {V} v) x
 WHERE band IS NOT NULL GROUP BY band""")
 oracle("orders_band", f"""
 SELECT b.band, b.band_order, COUNT(v.customer_sk) AS customers
 FROM (VALUES ('1 order', 1, 0, 1), ('2 orders', 2, 1, 2), ('3-5 orders', 3, 2, 5), ('6-10 orders', 4, 5, 10),
-             ('more than 10', 5, 10, 9999)) b(band, band_order, lo, hi)
-LEFT JOIN {V} v ON v.num_orders > b.lo AND v.num_orders <= b.hi
+             ('more than 10', 5, 10, NULL)) b(band, band_order, lo, hi)
+LEFT JOIN {V} v ON v.num_orders > b.lo AND (b.hi IS NULL OR v.num_orders <= b.hi)
 GROUP BY b.band, b.band_order""")
 oracle("pareto_curve", """
 SELECT pos, CAST(pos AS DOUBLE) / CAST(n AS DOUBLE) * 100 AS customers_pct,

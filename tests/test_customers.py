@@ -81,3 +81,10 @@ def test_exact_duplicates_and_logical(spark):
     assert (d.total, d.distinct_rows, d.duplicates) == (4, 3, 1)
     lg = Q.logical_duplicates(t).collect()
     assert len(lg) == 1 and lg[0].occurrences == 3 and lg[0].affected_rows == 3
+
+
+def test_open_bands_keep_every_customer(spark):
+    m = _mart(spark, [1, 2, 3]).withColumn("num_orders", F.lit(20_000).cast("long")).withColumn("tenure_days", F.lit(120_000))
+    bands = {r.band: r.customers for r in C.orders_band(m).collect()}
+    assert bands["more than 10"] == 3
+    assert [(r.band, r.customers) for r in C.cltv_by_tenure(m).collect()] == [("3+ years", 3)]
