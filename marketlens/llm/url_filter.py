@@ -3,8 +3,8 @@
 The model is trained on a small labelled URL table (at most ``TRAIN_ROWS`` distinct
 host/path pairs, chosen by hash order). Features are the character n-grams of the
 host and of the path, hashed into ``DIMS`` buckets each side; presence counts once.
-The weights are ``DIMS`` numbers whatever the data size, so they travel as one
-constant of the plan. DataFrame functions and Spark ML only.
+The model is ``DIMS`` weights whatever the data size. DataFrame functions and Spark ML
+only (``NGram``, ``HashingTF``, ``LogisticRegression`` on sparse vectors).
 
 A null URL, or one without ``://``, has an empty host and path. With no labelled row
 at all every score is 0.5; with one class only, every score is that class. Repeated
@@ -13,8 +13,10 @@ rows are judged alike; extra columns are ignored; an empty table gives no row.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml import PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF, NGram, SQLTransformer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,46 +51,42 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return (rule, verdict) if rule is not None else (none, none)
 
 
-def buckets(host: Column, path: Column) -> Column:
-    """Distinct hashed n-gram buckets: hosts in the lower half, paths in the upper half."""
-    half = DIMS // 2
+def features(df: DataFrame, out: str = "__x") -> DataFrame:
+    """``df`` with the hashed n-grams of ``host`` (lower half) and ``path`` (upper half) as one sparse 0/1 vector."""
+    steps, halves = [], []
+    for side in ("host", "path"):
+        df = df.withColumn(f"__{side}_chars", F.split(F.concat(F.lit("^"), side, F.lit("$")), ""))
+        grams = [f"__{side}_{n}grams" for n in GRAM]
+        steps += [NGram(n=n, inputCol=f"__{side}_chars", outputCol=g) for n, g in zip(GRAM, grams, strict=True)]
+        steps += [SQLTransformer(statement=f"SELECT *, concat({', '.join(grams)}) AS __{side}_grams FROM __THIS__"),
+                  HashingTF(numFeatures=DIMS // 2, binary=True, inputCol=f"__{side}_grams", outputCol=f"__{side}_x")]
+        halves.append(f"__{side}_x")
+    steps.append(VectorAssembler(inputCols=halves, outputCol=out))
+    made = PipelineModel(steps).transform(df)
+    return made.drop(*[c for c in made.columns if c.startswith(("__host_", "__path_"))])
 
-    def grams(text: Column, base: int) -> Column:
-        framed = F.concat(F.lit("^"), text, F.lit("$"))
-        parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(framed) - (n - 1))),
-                             lambda i, n=n: (F.pmod(F.xxhash64(F.substr(framed, i, F.lit(n))), F.lit(half)) + base).cast("int"))
-                 for n in GRAM]
-        return F.concat(*parts)
 
-    return F.array_distinct(F.concat(grams(host, 0), grams(path, half)))
-
-
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[float], float]:
-    """(weights, bias) of P(block) from columns host, path, blocked (0/1)."""
+def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> LogisticRegressionModel | float:
+    """Model of P(block) from columns host, path, blocked (0/1); a constant where there are not two classes."""
     sample = labelled.where("host is not null and path is not null and blocked is not null") \
         .groupBy("host", "path").agg(F.max("blocked").cast("double").alias("blocked")) \
         .orderBy(F.xxhash64("host", "path"), "host", "path").limit(rows)
-    dense = F.transform(F.sequence(F.lit(0), F.lit(DIMS - 1)),
-                        lambda i: F.array_contains(F.col("b"), i.cast("int")).cast("double"))
-    data = sample.withColumn("b", buckets(F.col("host"), F.col("path"))) \
-        .select("blocked", array_to_vector(dense).alias("x")).persist()
+    data = features(sample).select("blocked", "__x").persist()
     try:
         classes = [r[0] for r in data.select("blocked").distinct().collect()]
         if len(classes) < 2:
-            return [0.0] * DIMS, {0.0: -30.0, 1.0: 30.0}[classes[0]] if classes else 0.0
-        fit = LogisticRegression(featuresCol="x", labelCol="blocked", regParam=1e-3, maxIter=40, standardization=False).fit(data)
-        return [float(w) for w in fit.coefficients], float(fit.intercept)
+            return classes[0] if classes else 0.5
+        return LogisticRegression(featuresCol="__x", labelCol="blocked", probabilityCol="__p", rawPredictionCol="",
+                                  predictionCol="", regParam=1e-3, maxIter=40, standardization=False).fit(data)
     finally:
         data.unpersist()
 
 
-def score(host: Column, path: Column, weights: list[float], bias: float) -> Column:
-    """P(block): sigmoid of the summed weights of the URL's buckets."""
-    # One binary constant of 12 characters a weight: read by position, never parsed whole.
-    table = F.lit("".join(f"{0.0 if abs(w) < 1e-90 else w:+.5e}" for w in weights).encode())
-    z = F.aggregate(buckets(host, path), F.lit(float(bias)),
-                    lambda a, b: a + F.substring(table, b * 12 + 1, F.lit(12)).cast("string").cast("double"))
-    return 1 / (1 + F.exp(-z))
+def score(df: DataFrame, model: LogisticRegressionModel | float, out: str = "score") -> DataFrame:
+    """``df`` (host, path) with P(block) of every row."""
+    if isinstance(model, float):
+        return df.withColumn(out, F.lit(model))
+    return model.transform(features(df)).withColumn(out, vector_to_array("__p")[1]).drop("__x", "__p")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame | None = None,
@@ -102,9 +100,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], labelled: DataFrame |
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     if labelled is None:
         labelled = parts.select("host", "path", (verdict == "block").cast("int").alias("blocked"))
-    weights, bias = train(labelled)
-    p = score(F.col("host"), F.col("path"), weights, bias)
-    return parts.withColumn("score", p) \
+    return score(parts, train(labelled)) \
         .select(id_col, "host", "path", rule.alias("rule"),
                 F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"),
                 F.col("score"))
