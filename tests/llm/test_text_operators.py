@@ -119,3 +119,21 @@ def test_passages_are_cut_from_later_documents(spark):
     for i in range(1, 6):
         assert passage not in got[i].text and got[i].removed_words == 55 and got[i].component_id == 0
     assert substring_dedup.clean(df.limit(0)).count() == 0
+
+
+def test_passages_are_found_beside_an_earlier_unlike_document(spark):
+    rnd = random.Random(11)
+    new = lambda n: " ".join(f"v{rnd.randrange(10**6)}" for _ in range(n))
+    rows, passages = [], []
+    for i in range(30):
+        words = new(50).split()
+        passages.append(" ".join(words))
+        part = " ".join(words[:39])
+        # The least document holds 39 of the 50 words, and in a later block the whole passage for odd i.
+        rows.append((3 * i, f"{new(30)} {part} {new(1300)} {passages[i] if i % 2 else ''} {new(30)}"))
+        rows += [(3 * i + k, f"{new(40)} {passages[i]} {new(40)}") for k in (1, 2)]
+    got = {r.doc_id: r.text for r in substring_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, passage in enumerate(passages):
+        assert got[3 * i] == rows[3 * i][1]
+        assert (passage in got[3 * i + 1]) == (i % 2 == 0)
+        assert passage not in got[3 * i + 2]
