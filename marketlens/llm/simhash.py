@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -103,12 +103,16 @@ def fingerprint_batch(text: pa.Array, words: int = SHINGLE) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+def _fingerprint(words: int):
     @F.arrow_udf("long")
     def fp(text: pa.Array) -> pa.Array:
         return pa.array(fingerprint_batch(text, words))
 
-    return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
+    return fp
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), _fingerprint(words)(F.col(text_col)).alias("fp"))
 
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
@@ -184,36 +188,45 @@ def linked_fingerprints(classes: DataFrame, radius: int = RADIUS, bucket_rows: i
     return dealt.mapInArrow(lambda it: bucket_edges(it, radius), "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (least id reachable)."""
-    fps = materialize(fingerprints(docs, id_col, text_col, words), "simhash")
+def _components(docs: DataFrame, id_col: str, text_col: str, radius: int, words: int, *more: str) -> DataFrame:
+    """(id, fp, the columns ``more``, component, component_id) per row of ``docs``."""
+    fp = _fingerprint(words)(F.col(text_col)).alias("fp")
+    fps = materialize(docs.select(F.col(id_col).alias("id"), fp, *more), "simhash")
     classes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least_id")), "simhash-classes")
     comp = connected_components(linked_fingerprints(classes, radius), "simhash")
     named = classes.join(comp, classes.fp == comp.node, "left") \
         .select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp") \
+    return fps.join(named.join(least, "component").select("fp", "component", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``: id, fingerprint (16 hex digits), component_id (least id reachable)."""
+    return _components(docs, id_col, text_col, radius, words) \
         .select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """``docs`` without the rows whose component holds a smaller id; all columns kept.
+    """One row of every component of linked texts; all columns kept.
 
-    Rows that repeat the kept id with a linked text go too, but one; which one is kept follows
-    the text's hash. Only rows' ids and text hashes are joined against the dropped ones.
+    The row with the least id stays; among rows that repeat that id (or in a component of null ids only),
+    the one with the least text hash, and one of those with equal texts. Decided per (id, text hash), so a
+    repeated or null id loses its linked texts only.
     """
-    found = near_duplicates(docs.select(id_col, F.col(text_col)), id_col, text_col, radius, words)
-    drop = found.where(~F.col("id").eqNullSafe(F.col("component_id"))).select("id").distinct()
-    kept = docs.join(drop.withColumnRenamed("id", "__drop"), F.col(id_col).eqNullSafe(F.col("__drop")), "left_anti")
-    again = found.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return kept
-    many = again.select(F.col("id").alias("__again"))
-    once = kept.join(many, F.col(id_col).eqNullSafe(F.col("__again")), "left_anti")
-    rest = kept.join(many, F.col(id_col).eqNullSafe(F.col("__again")), "left_semi") \
-        .withColumn("__n", F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col))))) \
-        .where("__n = 1").drop("__n")
+    keyed = docs.withColumn("__t", F.xxhash64(F.col(text_col)))
+    found = materialize(_components(keyed, id_col, text_col, radius, words, "__t"), "simhash-found")
+    best = found.where(F.col("id").eqNullSafe(F.col("component_id"))) \
+        .groupBy("component").agg(F.min("__t").alias("__t"), F.min("component_id").alias("id"))
+    stay = best.select(F.col("id").alias("__id"), F.col("__t").alias("__h"))
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__t") == F.col("__h"))
+    kept = keyed.join(stay, same, "left_semi")
+    # Rows equal in id and text: few, and one of each stays.
+    twice = found.groupBy("id", "__t").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("__id"), F.col("__t").alias("__h"))
+    if twice.isEmpty():
+        return kept.drop("__t")
+    names = [c for c in docs.columns]
+    once = kept.join(twice, same, "left_anti").select(*names)
+    rest = kept.join(twice, same, "left_semi").groupBy(id_col, "__t").agg(F.first(F.struct(*names)).alias("__row")).select("__row.*")
     return once.unionByName(rest)

@@ -96,3 +96,14 @@ def test_nearest_recall_and_unusable_vectors(spark):
         assert np.allclose(g.sort_values("rank").score, s[g.sort_values("rank")["id"]])
     assert hit >= 0.9 * 20 * 75
     assert ann.nearest(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_deduplicate_decides_by_text_not_by_id(spark):
+    rnd = random.Random(3)
+    text = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(6)]
+    rows = [(5, text[0], "a"), (7, text[0], "b"), (7, text[1], "c"), (None, text[0], "d"), (None, text[2], "e"), (None, text[3], "f"),
+            (None, text[3], "g"), (8, text[4], "h"), (8, text[5], "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = sorted(r.kept for r in simhash.deduplicate(df).collect())
+    assert got in (["a", "c", "e", "f", "h", "i"], ["a", "c", "e", "g", "h", "i"])
+    assert simhash.deduplicate(df.limit(0)).columns == df.columns
