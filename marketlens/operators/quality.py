@@ -273,8 +273,9 @@ def margin_by_category(product: DataFrame, central_product: DataFrame, category:
 
 
 def returns_before_sale(return_item: DataFrame, sale_item: DataFrame, sale: DataFrame) -> DataFrame:
-    j = (return_item.select("sale_item_id", "return_date")
-         .join(sale_item.select("sale_item_id", "sale_id"), "sale_item_id")
+    line = [k for k in ("sale_id", "sale_item_id") if k in return_item.columns]
+    j = (return_item.select(*line, "return_date")
+         .join(sale_item.select("sale_item_id", "sale_id"), line)
          .join(sale.select("sale_id", "sale_date"), "sale_id"))
     return j.agg(F.count(F.when(F.col("return_date") < F.col("sale_date"), 1)).alias("cases"))
 

@@ -234,14 +234,18 @@ def fact_sales(sale_item: DataFrame, sale: DataFrame, d_date: DataFrame,
 # -- W12 -----------------------------------------------------------------
 def fact_returns(return_item: DataFrame, f_sales: DataFrame, d_product: DataFrame,
                  d_reason: DataFrame, d_date: DataFrame) -> DataFrame:
-    """One row per return; returns dated outside the date dimension are dropped."""
-    fv = f_sales.select("sale_item_id", "customer_sk", "product_sk", "store_sk", "unit_price")
+    """One row per return; returns dated outside the date dimension are dropped.
+
+    A line is known by (sale_id, sale_item_id): line ids of neighbouring orders can meet.
+    """
+    line = [k for k in ("sale_id", "sale_item_id") if k in return_item.columns]
+    fv = f_sales.select(*line, "customer_sk", "product_sk", "store_sk", "unit_price")
     dp = d_product.select("product_sk", F.col("unit_cost").alias("_cost"))
     dm = broadcast_if_small(d_reason.filter(~F.col("is_unknown"))
                             .select(F.col("reason_nk").alias("reason_id"), "reason_sk"))
     dd = broadcast_if_small(d_date.select("date_sk"))
     r = return_item.withColumn("date_sk", date_key(F.col("return_date")))
-    j = (r.join(fv, "sale_item_id", "left")
+    j = (r.join(fv, line, "left")
          .join(dp, "product_sk", "left")
          .join(dm, "reason_id", "left")
          .join(dd, "date_sk", "inner"))

@@ -75,3 +75,20 @@ def test_dim_date_iso_fields(spark):
     r = rows[dt.date(2024, 12, 30)]
     assert (r.week, r.day_of_week, r.day_name, r.is_weekend, r.date_sk) == (1, 1, "Monday", False, 20241230)  # K30
     assert rows[dt.date(2024, 12, 28)].is_weekend and rows[dt.date(2024, 12, 28)].month_name == "December"
+
+
+def test_returns_of_a_long_order_keep_their_own_line(spark):
+    # Order 7 has 1,500 lines: its line 1,001 shares the id 8,001 with line 1 of order 8.
+    from marketlens.operators import quality as Q
+    day = dt.date(2024, 5, 1)
+    fact = [(7, 7000 + k, 70) for k in range(1, 1501)] + [(8, 8001, 80)]
+    f = spark.createDataFrame([(s, i, c, c, 1, D("2.00")) for s, i, c in fact], "sale_id long, sale_item_id long, "
+                              "customer_sk long, product_sk long, store_sk long, unit_price decimal(18,2)")
+    ri = spark.createDataFrame([(1, 7, 8001, day, 1, 1), (2, 8, 8001, day, 1, 1)], "return_id long, sale_id long, "
+                               "sale_item_id long, return_date date, quantity long, reason_id long")
+    product = spark.createDataFrame([(70, D("1.00")), (80, D("1.00"))], "product_sk long, unit_cost decimal(18,2)")
+    reason = spark.createDataFrame([(2, 1, False)], "reason_sk long, reason_nk long, is_unknown boolean")
+    got = W.fact_returns(ri, f, product, reason, _dates(spark, [day])).collect()
+    assert sorted((r.return_id, r.customer_sk) for r in got) == [(1, 70), (2, 80)]
+    sale = spark.createDataFrame([(7, day), (8, day + dt.timedelta(days=1))], "sale_id long, sale_date date")
+    assert Q.returns_before_sale(ri, f.select("sale_item_id", "sale_id"), sale).first().cases == 1
