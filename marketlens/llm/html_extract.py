@@ -2,7 +2,7 @@
 
 Every element subtree gets a hash of its markup and text. Spark counts, per host, on
 how many differing articles each subtree recurs; subtrees on at least ``MIN_PAGES``
-of them and on at least ``MIN_SHARE`` of the host's articles are the site's template
+of them, whatever the size of the host, are the site's template
 and are deleted with everything inside. Copies of one article count once, and prose
 inside <article> or <main> (headings, paragraphs, lists, quotes, tables ...) is never
 counted as template, so articles copied or quoted across a site stay whole. Elements
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MIN_PAGES = 10
-MIN_SHARE = 0.2
 SALTS = 16
 
 FURNITURE = frozenset("nav header footer aside form script style noscript template iframe svg button select "
@@ -206,16 +205,14 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
                         parse(F.col(html_col)).alias("p"))
 
 
-def templates(hashed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(hashed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, hash) of the subtrees that recur on many differing articles of their host."""
     pairs = hashed.select("host", "body", F.explode("subtrees").alias("hash")).distinct()
-    counts = pairs.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    hosts = hashed.select("host", "body").distinct().groupBy("host").agg(F.count("*").alias("of"))
-    return counts.join(hosts, "host").where(F.col("n") >= F.col("of") * min_share).select("host", "hash")
+    return pairs.groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+            min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per page: id, url, text, n_chars."""
     # Written once: hashes of every page, and blocks of undecided ones. Rows are told apart by a
     # number given here, so repeated pages stay apart.
@@ -224,7 +221,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                                  F.col("p.pending").alias("pending"), F.expr("uuid()").alias("row")), "html-hashes")
     done = parsed(pages, id_col, url_col, html_col).where("p.text is not null") \
         .select("page_id", "url", F.col("p.text").alias("text"))
-    known = templates(hashed, min_pages, min_share) \
+    known = templates(hashed, min_pages) \
         .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     open_ = hashed.where("pending is not null")
     present = open_.select("row", "host", F.explode("subtrees").alias("hash")) \

@@ -137,3 +137,12 @@ def test_passages_are_found_beside_an_earlier_unlike_document(spark):
         assert got[3 * i] == rows[3 * i][1]
         assert (passage in got[3 * i + 1]) == (i % 2 == 0)
         assert passage not in got[3 * i + 2]
+
+
+def test_section_notice_goes_on_a_large_host(spark):
+    # 100 pages in 10 sections: each section's notice is on a tenth of the host's pages.
+    rows = [(i, f"http://h.com/s{i % 10}/{i}", f"<body><div><b>Notice of section {i % 10}</b></div><div>Own text {i}</div></body>")
+            for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert got == {i: f"Own text {i}" for i in range(100)}
