@@ -146,3 +146,19 @@ def test_section_notice_goes_on_a_large_host(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
     assert got == {i: f"Own text {i}" for i in range(100)}
+
+
+def test_bands_find_near_copies_at_the_threshold():
+    rnd = random.Random(5)
+    new = lambda n: [f"v{rnd.randrange(10**6)}" for _ in range(n)]
+
+    def keys(words):
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return set(substring_dedup.band_keys(data, np.array([0, len(data)]))[0].tolist())
+
+    found = 0
+    for _ in range(200):
+        passage = new(50)
+        near = [*passage[:25], "changed", *passage[26:]]  # 41 of 51 shingles shared
+        found += bool(keys(new(60) + passage + new(60)) & keys(new(60) + near + new(60)))
+    assert found >= 196
