@@ -45,8 +45,9 @@ def test_report_bundle(spark, built):
 
 
 def test_registry_has_oracle_or_is_declared_rows_only():
-    import __spark_entry__ as E
-    q, o = E.queries(), E.oracle_sql()
+    from marketlens.plans.registry import queries
+    from oracles.all import ORACLES
+    q, o = queries(), ORACLES
     rows_only = {"cltv_scatter", "pca_2d", "pca_variance", "kmeans", "cluster_labels", "silhouette_sweep",
                  "assign_clusters", "pca_sample"}
     assert set(o) <= set(q)
