@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
+from ..functions.quantiles import constant, quantiles, quantiles_by, quantiles_of
 from ..functions.output import attach
 from ..functions.ordering import global_order
 
@@ -59,7 +60,7 @@ def cltv_kpis(mart: DataFrame) -> DataFrame:
     c = F.col("cltv")
     return valid(mart).agg(
         F.sum(c).cast(MONEY).alias("total_cltv"), ratio(F.sum(c), F.count(c)).alias("mean_cltv"),
-        F.percentile(c.cast("double"), 0.5).alias("median_cltv"), F.max(c).alias("max_cltv"),
+        constant(quantiles(valid(mart), c, [0.5])[0]).alias("median_cltv"), F.max(c).alias("max_cltv"),
         F.min(F.when(c > 0, c)).alias("min_positive_cltv"))
 
 
@@ -99,14 +100,15 @@ HISTOGRAMS = (("cltv", "full", 60), ("cltv", "below_p95", 50), ("aov", "full", 5
 def metric_histogram(mart: DataFrame, specs=HISTOGRAMS) -> DataFrame:
     """Equal-width histograms (full range or values <= p95) with mean and median."""
     m = valid(mart)
+    metrics = {metric: metric for metric, _, _ in specs}
+    p95 = quantiles_of(m, metrics, [0.95])
+    upper = {metric: F.when(F.col(metric).cast("double") <= constant(p95[metric][0]), F.col(metric)) for metric in metrics}
+    medians = {"full": quantiles_of(m, metrics, [0.5]), "below_p95": quantiles_of(m, upper, [0.5])}
     parts = []
     for metric, scope, bins in specs:
-        x = m.filter(F.col(metric).isNotNull()).select(F.col(metric).alias("x"))
-        if scope == "below_p95":
-            p95 = x.agg(F.percentile(F.col("x").cast("double"), 0.95).alias("_p95"))
-            x = x.transform(attach, p95).filter(F.col("x").cast("double") <= F.col("_p95")).select("x")
-        st = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), ratio(F.sum("x"), F.count("x")).alias("mean"),
-                   F.percentile(F.col("x").cast("double"), 0.5).alias("median"))
+        x = m.select((upper[metric] if scope == "below_p95" else F.col(metric)).alias("x")).filter("x is not null")
+        st = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), ratio(F.sum("x"), F.count("x")).alias("mean")) \
+            .withColumn("median", constant(medians[scope][metric][0]))
         w = (F.col("hi") - F.col("lo")).cast("double")
         idx = F.when(w > 0, F.floor((F.col("x") - F.col("lo")).cast("double") / w * bins)).otherwise(F.lit(0))
         idx = F.least(idx, F.lit(bins - 1)).cast("long")
@@ -126,10 +128,12 @@ def cltv_by_tenure(mart: DataFrame) -> DataFrame:
     t = F.col("tenure_days")
     band = (F.when((t > 0) & (t <= 365), "0-1 years").when((t > 365) & (t <= 730), "1-2 years")
             .when((t > 730) & (t <= 1095), "2-3 years").when(t > 1095, "3+ years"))
-    return (valid(mart).withColumn("band", band).filter(F.col("band").isNotNull()).groupBy("band")
-            .agg(ratio(F.sum("cltv"), F.count("cltv")).alias("mean_cltv"),
-                 F.percentile(F.col("cltv").cast("double"), 0.5).alias("median_cltv"),
-                 F.count(F.lit(1)).alias("customers")))
+    m = valid(mart).withColumn("band", band).filter(F.col("band").isNotNull())
+    median = F.lit(None).cast("double")
+    for (name,), (value,) in quantiles_by(m, "cltv", [0.5], ["band"]).items():
+        median = F.when(F.col("band") == name, constant(value)).otherwise(median)
+    return m.groupBy("band").agg(ratio(F.sum("cltv"), F.count("cltv")).alias("mean_cltv"), F.count(F.lit(1)).alias("customers")) \
+        .withColumn("median_cltv", median)
 
 
 ORDER_BANDS = (("1 order", 0, 1), ("2 orders", 1, 2), ("3-5 orders", 2, 5), ("6-10 orders", 5, 10),
@@ -209,13 +213,12 @@ def _pick(labels, i):
 
 def rfm_matrix(mart: DataFrame) -> DataFrame:
     m = valid(mart).select("customer_sk", "cltv", "recency_days", "monthly_frequency")
-    edges = m.agg(F.percentile(F.col("recency_days").cast("double"), 1.0 / 3).alias("_q1"),
-                  F.percentile(F.col("recency_days").cast("double"), 2.0 / 3).alias("_q2"),
-                  F.count(F.lit(1)).alias("_n"))
+    q1, q2 = map(constant, quantiles(m, "recency_days", [1.0 / 3, 2.0 / 3]))
+    edges = m.agg(F.count(F.lit(1)).alias("_n"))
     o = global_order(m, "monthly_frequency", "customer_sk", pos_col="_fr")
     j = o.transform(attach, edges)
     r = F.col("recency_days")
-    rt = F.when(r <= F.col("_q1"), 1).when(r <= F.col("_q2"), 2).otherwise(3)
+    rt = F.when(r <= q1, 1).when(r <= q2, 2).otherwise(3)
     ft = tercile_of(F.col("_fr"), F.col("_n"))
     return j.groupBy(_pick(R_LABELS, rt).alias("recency"), _pick(F_LABELS, ft).alias("frequency")).agg(
         round_div(F.sum("cltv"), F.count("cltv"), 2).alias("mean_cltv"), F.count(F.lit(1)).alias("customers"))
@@ -323,12 +326,13 @@ STAT_METRICS = ("cltv", "aov", "return_rate")
 
 def metric_stats(mart: DataFrame, metrics=STAT_METRICS) -> DataFrame:
     m = valid(mart)
+    medians = quantiles_of(m, {c: c for c in metrics}, [0.5])
     parts = []
     for c in metrics:
         x = F.col(c)
         n = F.count(x)
         std = F.sqrt((n * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double") / (n * (n - 1)).cast("double"))
-        parts.append(m.agg(ratio(F.sum(x), n).alias("mean"), F.percentile(x.cast("double"), 0.5).alias("median"),
+        parts.append(m.agg(ratio(F.sum(x), n).alias("mean"), constant(medians[c][0]).alias("median"),
                            F.when(n > 1, std).alias("std"), F.min(x).cast("double").alias("min"),
                            F.max(x).cast("double").alias("max")).select(F.lit(c).alias("metric"), "*"))
     return _union(parts)
@@ -435,7 +439,7 @@ def executive_summary(mart: DataFrame, labels: DataFrame) -> DataFrame:
         F.sum("cltv").cast(MONEY).alias("total_cltv"),
         F.sum(F.when(lab == "Champions", F.col("cltv"))).alias("_champ_cltv"),
         ratio(F.sum("cltv"), F.count("cltv")).alias("mean_cltv"),
-        F.percentile(F.col("cltv").cast("double"), 0.5).alias("median_cltv"),
+        constant(quantiles(m, "cltv", [0.5])[0]).alias("median_cltv"),
         ratio(F.sum("aov"), F.count("aov")).alias("mean_aov"),
         (ratio(F.sum("units_returned"), F.sum("units_bought")) * 100).alias("return_rate"),
         F.count(F.when(F.col("return_rate") > 50, 1)).alias("high_return_customers"),

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, round_div
-from ..functions.joins import broadcast_if_small
 from ..functions.output import attach
 from .warehouse import UNKNOWN_SK
 
@@ -23,7 +22,7 @@ CLTV_COLUMNS = ["customer_sk", "customer_nk", "name", "num_orders", "num_lines",
 
 
 def _sale_date(d_date: DataFrame) -> DataFrame:
-    return broadcast_if_small(d_date.select("date_sk", "date"))
+    return d_date.select("date_sk", "date")
 
 
 def customer_360(f_sales: DataFrame, d_date: DataFrame, d_customer: DataFrame,
@@ -88,6 +87,6 @@ def customer_zone(f_sales: DataFrame, d_zone: DataFrame) -> DataFrame:
     per = f.groupBy("customer_sk", "zone_sk").agg(F.count(F.lit(1)).alias("lines"))
     w = Window.partitionBy("customer_sk").orderBy(F.col("lines").desc(), F.col("zone_sk"))
     top = per.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
-    z = broadcast_if_small(d_zone.select("zone_sk", "area_type", "orientation", "district"))
+    z = d_zone.select("zone_sk", "area_type", "orientation", "district")
     return top.join(z, "zone_sk", "left").select(
         "customer_sk", "zone_sk", "district", "area_type", "orientation", "lines")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
-from ..functions.joins import broadcast_if_small
+from ..functions.quantiles import constant, quantiles_of
 from ..functions.output import attach
 
 # Source systems and the tables they own.
@@ -273,15 +273,14 @@ def margin_by_category(product: DataFrame, central_product: DataFrame, category:
 
 
 def returns_before_sale(return_item: DataFrame, sale_item: DataFrame, sale: DataFrame) -> DataFrame:
-    line = [k for k in ("sale_id", "sale_item_id") if k in return_item.columns]
-    j = (return_item.select(*line, "return_date")
-         .join(sale_item.select("sale_item_id", "sale_id"), line)
+    j = (return_item.select("sale_id", "sale_item_id", "return_date")
+         .join(sale_item.select("sale_id", "sale_item_id"), ["sale_id", "sale_item_id"])
          .join(sale.select("sale_id", "sale_date"), "sale_id"))
     return j.agg(F.count(F.when(F.col("return_date") < F.col("sale_date"), 1)).alias("cases"))
 
 
 def sales_outside_offer(sale_item: DataFrame, sale: DataFrame, offer: DataFrame) -> DataFrame:
-    o = broadcast_if_small(offer.select("offer_id", "start_date", "end_date"))
+    o = offer.select("offer_id", "start_date", "end_date")
     j = (sale_item.filter(F.col("offer_id").isNotNull()).select("sale_id", "offer_id")
          .join(sale.select("sale_id", "sale_date"), "sale_id").join(o, "offer_id"))
     d = F.col("sale_date")
@@ -437,6 +436,7 @@ def catalog_overlap(a: DataFrame, b: DataFrame, key: str = "product_id") -> Data
 
 def describe(df: DataFrame, columns) -> DataFrame:
     """count, mean, sample std, min, exact quartiles (linear), max per numeric column."""
+    quartiles = quantiles_of(df, {c: c for c in columns}, [0.25, 0.5, 0.75])
     parts = []
     for c in columns:
         x = F.col(c)
@@ -448,8 +448,8 @@ def describe(df: DataFrame, columns) -> DataFrame:
         parts.append(df.agg(
             n.alias("count"), ratio(s1, n).alias("mean"),
             F.when(n > 1, std).alias("std"), F.min(xd).alias("min"),
-            F.percentile(xd, 0.25).alias("p25"), F.percentile(xd, 0.5).alias("p50"),
-            F.percentile(xd, 0.75).alias("p75"), F.max(xd).alias("max")).select(
+            *[constant(q).alias(name) for name, q in zip(("p25", "p50", "p75"), quartiles[c], strict=True)],
+            F.max(xd).alias("max")).select(
             F.lit(c).alias("column_name"), "*"))
     return _union(parts)
 

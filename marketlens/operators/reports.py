@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import MONTH_NAMES, month_abbr, month_label, month_name
 from ..functions.exact import MONEY, ratio, round_div
-from ..functions.joins import broadcast_if_small
 from ..functions.output import attach
 from .warehouse import UNKNOWN_SK, Warehouse
 
@@ -245,7 +244,7 @@ def returns_monthly(w: Warehouse) -> DataFrame:
 
 
 def returns_by_reason(w: Warehouse) -> DataFrame:
-    d = broadcast_if_small(w.dim_return_reason.filter(~F.col("is_unknown")).select("reason_sk", "reason"))
+    d = w.dim_return_reason.filter(~F.col("is_unknown")).select("reason_sk", "reason")
     agg = (w.fact_returns.join(d, "reason_sk", "inner").groupBy("reason")
            .agg(F.count(F.lit(1)).alias("num_returns"),
                 F.sum("returned_qty").cast("long").alias("returned_units")))
@@ -587,7 +586,7 @@ def products_per_brand_category(brand: DataFrame, category: DataFrame,
 
 
 def product_offers(product: DataFrame, product_offer: DataFrame, offer: DataFrame) -> DataFrame:
-    o = broadcast_if_small(offer.select("offer_id", F.col("name").alias("offer_name"), "discount_percent"))
+    o = offer.select("offer_id", F.col("name").alias("offer_name"), "discount_percent")
     return (product.select("product_id", F.col("name").alias("product_name"))
             .join(product_offer, "product_id", "inner").join(o, "offer_id", "inner"))
 

@@ -1,11 +1,10 @@
 """Warehouse operators (W): star schema with surrogate keys and unknown members.
 
-Join strategy: dimensions whose size is bounded by the calendar or by fixed
-code lists (date, zone, offer, return reason) are broadcast explicitly;
-customer, product and store dimensions grow with the data, so they carry no
-hint and the planner (static size estimate, then AQE's runtime statistics
-against ``spark.sql.adaptive.autoBroadcastJoinThreshold``) decides between a
-broadcast and a shuffle join.
+Join strategy: no dimension carries a hint. Dimensions are stored (written by the
+pipeline, or cached and filled when a query first needs them) before a fact joins
+them, so the planner knows their size in bytes and decides between a broadcast and
+a shuffle join by ``spark.sql.autoBroadcastJoinThreshold``; AQE splits skewed keys of
+the latter.
 """
 
 from __future__ import annotations
@@ -20,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import date_key, day_name, iso_dow, month_name
 from ..functions.exact import MONEY, round_div
-from ..functions.joins import broadcast_if_small
 from ..functions.ordering import dense_keys
 from ..sources.binding import Sources
 
+# A line's key: line ids alone may meet those of another order.
+LINE_KEY = ("sale_id", "sale_item_id")
 UNKNOWN_SK = 1
 UNKNOWN_NK = -1
 UNKNOWN_POSTAL = "00000"
@@ -58,12 +58,11 @@ def _small_dim_keys(df: DataFrame, order_col: str, sk: str) -> DataFrame:
 def returns_by_line(return_item: DataFrame) -> DataFrame:
     """Returned quantity per sale line (aggregated before the fact join).
 
-    When the return rows carry their order id, it is kept as a grouping key: the
-    lines are already hash-partitioned by order, so the aggregate and the fact join
-    can reuse that partitioning instead of shuffling the lines by line id.
+    A line is known by (sale_id, sale_item_id). The lines are already partitioned by
+    order, so the aggregate and the fact join reuse that partitioning instead of
+    shuffling the lines by line id.
     """
-    keys = [k for k in ("sale_id", "sale_item_id") if k in return_item.columns]
-    return return_item.groupBy(*keys).agg(F.sum("quantity").cast("long").alias("returned_qty"))
+    return return_item.groupBy(*LINE_KEY).agg(F.sum("quantity").cast("long").alias("returned_qty"))
 
 
 # -- W02 -----------------------------------------------------------------
@@ -190,10 +189,10 @@ def fact_sales(sale_item: DataFrame, sale: DataFrame, d_date: DataFrame,
     the lines meet the headers and their returns on the order key they are already
     partitioned by. Only the product and offer keys are resolved on the line side.
     """
-    dd = broadcast_if_small(d_date.select("date_sk"))
+    dd = d_date.select("date_sk")
     dc = d_customer.filter(~F.col("is_unknown")).select(F.col("customer_nk").alias("customer_id"), "customer_sk")
     dt = d_store.filter(~F.col("is_unknown")).select(F.col("store_nk").alias("store_id"), "store_sk", "postal_code")
-    dz = broadcast_if_small(d_zone.filter(~F.col("is_unknown")).select("postal_code", "zone_sk"))
+    dz = d_zone.filter(~F.col("is_unknown")).select("postal_code", "zone_sk")
     heads = (sale.select("sale_id", "customer_id", "store_id", date_key(F.col("sale_date")).alias("date_sk"))
              .join(dd, "date_sk", "inner")
              .join(dc, "customer_id", "left")
@@ -205,11 +204,9 @@ def fact_sales(sale_item: DataFrame, sale: DataFrame, d_date: DataFrame,
                      F.coalesce("zone_sk", F.lit(UNKNOWN_SK)).alias("zone_sk")))
     dp = d_product.filter(~F.col("is_unknown")).select(F.col("product_nk").alias("product_id"), "product_sk",
                                                        F.col("unit_cost").alias("_cost"))
-    do = broadcast_if_small(d_offer.filter(~F.col("is_no_offer"))
-                            .select(F.col("offer_nk").alias("offer_id"), "offer_sk"))
-    rkeys = [k for k in ("sale_id", "sale_item_id") if k in ret_by_line.columns]
+    do = d_offer.filter(~F.col("is_no_offer")).select(F.col("offer_nk").alias("offer_id"), "offer_sk")
     j = (sale_item.join(heads, "sale_id", "inner")
-         .join(ret_by_line, rkeys, "left")
+         .join(ret_by_line, list(LINE_KEY), "left")
          .join(dp, "product_id", "left")
          .join(do, "offer_id", "left"))
     q, sub, cost, up = F.col("quantity"), F.col("subtotal"), F.col("_cost"), F.col("unit_price")
@@ -238,14 +235,12 @@ def fact_returns(return_item: DataFrame, f_sales: DataFrame, d_product: DataFram
 
     A line is known by (sale_id, sale_item_id): line ids of neighbouring orders can meet.
     """
-    line = [k for k in ("sale_id", "sale_item_id") if k in return_item.columns]
-    fv = f_sales.select(*line, "customer_sk", "product_sk", "store_sk", "unit_price")
+    fv = f_sales.select(*LINE_KEY, "customer_sk", "product_sk", "store_sk", "unit_price")
     dp = d_product.select("product_sk", F.col("unit_cost").alias("_cost"))
-    dm = broadcast_if_small(d_reason.filter(~F.col("is_unknown"))
-                            .select(F.col("reason_nk").alias("reason_id"), "reason_sk"))
-    dd = broadcast_if_small(d_date.select("date_sk"))
+    dm = d_reason.filter(~F.col("is_unknown")).select(F.col("reason_nk").alias("reason_id"), "reason_sk")
+    dd = d_date.select("date_sk")
     r = return_item.withColumn("date_sk", date_key(F.col("return_date")))
-    j = (r.join(fv, line, "left")
+    j = (r.join(fv, list(LINE_KEY), "left")
          .join(dp, "product_sk", "left")
          .join(dm, "reason_id", "left")
          .join(dd, "date_sk", "inner"))
@@ -278,23 +273,30 @@ class Warehouse:
     def _keep(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else df
 
+    def _keep_filled(self, df: DataFrame) -> DataFrame:
+        """A dimension, filled at once where it is kept: its size is known when a fact joins it."""
+        df = self._keep(df)
+        if self.persist:
+            df.count()
+        return df
+
     @cached_property
-    def dim_date(self): return self._keep(dim_date(self.src.sale))
+    def dim_date(self): return self._keep_filled(dim_date(self.src.sale))
     @cached_property
-    def dim_customer(self): return self._keep(dim_customer(self.src.customer, self.rows_per_bucket))
+    def dim_customer(self): return self._keep_filled(dim_customer(self.src.customer, self.rows_per_bucket))
     @cached_property
     def dim_product(self):
         s = self.src
-        return self._keep(dim_product(s.product, s.central_product, s.category, s.brand,
+        return self._keep_filled(dim_product(s.product, s.central_product, s.category, s.brand,
                                       rows_per_bucket=self.rows_per_bucket))
     @cached_property
-    def dim_store(self): return self._keep(dim_store(self.src.store, self.rows_per_bucket))
+    def dim_store(self): return self._keep_filled(dim_store(self.src.store, self.rows_per_bucket))
     @cached_property
-    def dim_zone(self): return self._keep(dim_zone(self.src.city_zone))
+    def dim_zone(self): return self._keep_filled(dim_zone(self.src.city_zone))
     @cached_property
-    def dim_offer(self): return self._keep(dim_offer(self.src.offer))
+    def dim_offer(self): return self._keep_filled(dim_offer(self.src.offer))
     @cached_property
-    def dim_return_reason(self): return self._keep(dim_return_reason(self.src.return_reason))
+    def dim_return_reason(self): return self._keep_filled(dim_return_reason(self.src.return_reason))
     @cached_property
     def returns_by_line(self): return returns_by_line(self.src.return_item)
     @cached_property

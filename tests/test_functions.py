@@ -3,6 +3,7 @@
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -73,13 +74,41 @@ def test_dense_keys(spark):
     assert out == {2: 2, 7: 3, 13: 4, 40: 5, 1000: 6}
 
 
-def test_broadcast_if_small_checks_size(spark):
-    from marketlens.functions.joins import broadcast_if_small
-    big = spark.range(50).withColumnRenamed("id", "k")
-    facts = spark.range(200).select((F.col("id") % 50).alias("k"))
-    hinted = facts.join(broadcast_if_small(big, max_rows=100), "k")
-    plain = facts.join(broadcast_if_small(big, max_rows=10), "k")
-    hint_plan = hinted._jdf.queryExecution().optimizedPlan().toString()
-    plain_plan = plain._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in hint_plan.lower() and "broadcast" not in plain_plan.lower()
-    assert hinted.count() == plain.count() == 200
+@pytest.mark.parametrize("descending", [False, True])
+def test_global_order_nulls_first_and_90_percent_ties(spark, descending):
+    rows = [(k, None if k % 7 == 0 else 5.0 if k % 10 else float(k % 13)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    for per_bucket in (50, 10_000):
+        out = {r.k: r.pos for r in global_order(df, "v", "k", descending=descending, rows_per_bucket=per_bucket).collect()}
+        order = sorted(rows, key=lambda r: (r[1] is not None, (-r[1] if descending else r[1]) if r[1] is not None else 0, r[0]))
+        assert out == {k: i for i, (k, _) in enumerate(order, 1)}
+    nothing = spark.createDataFrame([(k, None) for k in range(300)], "k long, v double")
+    assert {r.k: r.pos for r in global_order(nothing, "v", "k", rows_per_bucket=20).collect()} == {k: k + 1 for k in range(300)}
+    assert global_order(df.limit(0), "v", "k").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["distinct", "ties", "small", "skewed", "edges"])
+def test_exact_quantiles(spark, kind):
+    from marketlens.functions.quantiles import quantiles
+    n = {"distinct": 1_000_000, "small": 7}.get(kind, 60_000)
+    i = F.col("id")
+    x = {"distinct": (i * 7919 % n).cast("double") / 3, "ties": F.when(i % 10 == 0, i * 1.0).otherwise(12_345.0), "small": i * 1.5,
+         "skewed": F.exp((i * 7919 % n) / 3000.0) * F.when(i % 2 == 0, -1).otherwise(1),
+         "edges": F.when(i < n / 4, float("-inf")).when(i % 100 == 0, None).otherwise(i % 5)}[kind]
+    df = spark.range(n).select(x.cast("double").alias("v"))
+    probs = [0.0, 0.05, 1 / 3, 0.5, 0.9, 0.95, 1.0]
+    got = quantiles(df, "v", probs)
+    want = df.agg(F.percentile("v", F.array(*map(F.lit, probs)))).first()[0]
+    assert [g == w or abs(g - w) <= 1e-9 * abs(w) for g, w in zip(got, want, strict=True)] == [True] * len(probs)
+
+
+def test_quantiles_by_group_and_of_nothing(spark):
+    from marketlens.functions.quantiles import quantiles, quantiles_by, quantiles_of
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 3).alias("g"),
+                                    F.when(F.col("id") % 3 == 2, None).otherwise(F.col("id") * F.col("id") % 10_007).alias("v"))
+    got = quantiles_by(df, "v", [0.25, 0.5], ["g"])
+    want = {(r.g,): r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5))).alias("q")).collect()}
+    assert got[(None,)] == want[(None,)] and got[(1,)] == want[(1,)]
+    assert got.get((2,), [None, None]) == [None, None]
+    assert quantiles(df.limit(0), "v", [0.5]) == [None]
+    assert quantiles_of(df, {"v": "v", "none": F.lit(None)}, [0.5])["none"] == [None]
