@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
+from ..functions.moments import correlations, moments
 from ..functions.quantiles import constant, quantiles, quantiles_by, quantiles_of
 from ..functions.output import attach
 from ..functions.ordering import global_order
@@ -268,36 +269,10 @@ CORR_METRICS = ("cltv", "net_revenue", "aov", "num_orders", "monthly_frequency",
 
 
 def metric_correlation(mart: DataFrame, metrics=CORR_METRICS) -> DataFrame:
-    """Pearson matrix from exact sums in one pass: (n Sxy - Sx Sy) / sqrt(...) in doubles."""
-    m = valid(mart)
-    # Exact sums, packed into one array so the consuming stage gets one input
-    # (45 separate columns overflow the JVM's method-parameter limit in codegen).
-    sums = [F.count(F.lit(1))]
-    pos = {}
-    for i, a in enumerate(metrics):
-        pos[("s", i)] = len(sums)
-        sums.append(F.sum(a))
-        for j in range(i, len(metrics)):
-            pos[("p", i, j)] = len(sums)
-            sums.append(F.sum(F.col(a) * F.col(metrics[j])))
-    s = m.agg(F.array(*[x.cast("double") for x in sums]).alias("_v"))
-    # One row per matrix cell, carrying the positions of its sums; the array is
-    # indexed by column values so the optimizer cannot unpack it again.
-    cells = []
-    for i, a in enumerate(metrics):
-        for j, b in enumerate(metrics):
-            lo, hi = min(i, j), max(i, j)
-            cells.append(F.struct(F.lit(a).alias("metric_a"), F.lit(b).alias("metric_b"),
-                                  F.lit(pos[("s", i)]).alias("ia"), F.lit(pos[("s", j)]).alias("ib"),
-                                  F.lit(pos[("p", i, i)]).alias("iaa"),
-                                  F.lit(pos[("p", j, j)]).alias("ibb"),
-                                  F.lit(pos[("p", lo, hi)]).alias("iab")))
-    c = s.select("_v", F.inline(F.array(*cells)))
-    v = F.col("_v")
-    n, sa, sb = v[F.lit(0)], v[F.col("ia")], v[F.col("ib")]
-    den = F.sqrt((n * v[F.col("iaa")] - sa * sa) * (n * v[F.col("ibb")] - sb * sb))
-    return c.select("metric_a", "metric_b",
-                    ((n * v[F.col("iab")] - sa * sb) / F.when(den != 0, den)).alias("pearson"))
+    """Pearson matrix from exact sums in one pass; null where a metric is constant."""
+    c = correlations(moments(valid(mart), metrics))
+    cells = [(a, b, c[i][j]) for i, a in enumerate(metrics) for j, b in enumerate(metrics)]
+    return mart.sparkSession.createDataFrame(cells, "metric_a string, metric_b string, pearson double")
 
 
 def high_return_profile(mart: DataFrame, threshold: int = 50) -> DataFrame:

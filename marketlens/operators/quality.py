@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.exact import MONEY, ratio, round_div
 from ..functions.quantiles import constant, quantiles_of
 from ..functions.output import attach
+from ..sources.profile import subtotal_bad
 
 # Source systems and the tables they own.
 SYSTEMS = {
@@ -62,6 +63,7 @@ CERTIFIED_KEYS = (
     ("central_product", "brand_id", "brand", "brand_id"),
 )
 
+# The formats audited.
 EMAIL_PATTERN = r"^[^@\s]+@[^@\s]+\.[^@\s]{2,}$"
 POSTAL_PATTERN = r"^\d{5}$"
 
@@ -86,38 +88,28 @@ def _system_col(table_col: str = "table_name"):
 
 
 # -- Q01 / Q02 -----------------------------------------------------------------
-def _counts(tables: dict[str, DataFrame]) -> DataFrame:
-    return _union([df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table_name"), "rows")
-                   for t, df in tables.items()])
+# Counts, nulls and ranges come from a profile (``sources.profile``): observed at staging, or one pass a table.
+def _counts(profile: DataFrame) -> DataFrame:
+    return profile.groupBy("table_name").agg(F.max("rows").alias("rows"))
 
 
-def table_row_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    c = _counts(tables)
+def table_row_counts(profile: DataFrame) -> DataFrame:
+    c = _counts(profile)
     tot = c.agg(F.sum("rows").alias("_all"))
     return c.transform(attach, tot).select(
         "table_name", "rows", (ratio(F.col("rows"), F.col("_all")) * 100).alias("pct_of_total"))
 
 
-def rows_by_system(tables: dict[str, DataFrame]) -> DataFrame:
-    c = _counts(tables).withColumn("system", _system_col())
+def rows_by_system(profile: DataFrame) -> DataFrame:
+    c = _counts(profile).withColumn("system", _system_col())
     return c.groupBy("system").agg(F.count(F.lit(1)).alias("tables"), F.sum("rows").alias("rows"))
 
 
 # -- Q05 / Q06 -------------------------------------------------------------------
-def null_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Nulls, total and % per column; one aggregate pass per table."""
-    parts = []
-    for t, df in tables.items():
-        aggs = [F.count(F.lit(1)).alias("__total")] + [
-            F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"__n{i}") for i, c in enumerate(df.columns)]
-        row = df.agg(*aggs)
-        cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"__n{i}").alias("nulls"))
-                          for i, c in enumerate(df.columns)])
-        parts.append(row.select(F.lit(t).alias("table_name"), F.col("__total").alias("total"),
-                                F.explode(cells).alias("c"))
-                     .select("table_name", "c.column_name", "c.nulls", "total"))
-    out = _union(parts)
-    return out.withColumn("pct_nulls", round_div(F.col("nulls") * 100, F.col("total"), 2))
+def null_profile(profile: DataFrame) -> DataFrame:
+    """Nulls, total and % per column."""
+    return profile.select("table_name", "column_name", "nulls", F.col("rows").alias("total")) \
+        .withColumn("pct_nulls", round_div(F.col("nulls") * 100, F.col("total"), 2))
 
 
 def null_summary(profile: DataFrame) -> DataFrame:
@@ -131,11 +123,31 @@ def null_summary(profile: DataFrame) -> DataFrame:
 
 # -- Q07 / Q08 -------------------------------------------------------------------
 def exact_duplicates(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows that equal another row of their table: hash, then verify.
+
+    One scan of every table counts its rows per 128-bit hash. Only a table with repeated hashes is read again, for the rows
+    behind them, which are compared whole.
+    """
+    def hashes(df: DataFrame):
+        cols = [F.col(f"`{c}`") for c in df.columns]
+        return [F.xxhash64(F.lit(k), *cols).alias(f"__h{k}") for k in (1, 2)]
+
+    per_hash = {t: df.select(*hashes(df)).groupBy("__h1", "__h2").agg(F.count(F.lit(1)).alias("n")) for t, df in tables.items()}
+    counted = _union([h.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.when(F.col("n") == 1, 1)).alias("single"),
+                            F.count(F.when(F.col("n") > 1, 1)).alias("repeated")).withColumn("table_name", F.lit(t))
+                      for t, h in per_hash.items()]).collect()
     parts = []
-    for t, df in tables.items():
-        tot = df.agg(F.count(F.lit(1)).alias("total"))
-        uniq = df.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-        parts.append(tot.transform(attach, uniq).select(F.lit(t).alias("table_name"), "total", "distinct_rows"))
+    for r in counted:
+        t = r["table_name"]
+        df = tables[t]
+        kinds = F.lit(0)
+        one = df.sparkSession.range(1)
+        if r["repeated"]:
+            again = df.select("*", *hashes(df)).join(per_hash[t].where("n > 1"), ["__h1", "__h2"], "left_semi").select(*df.columns)
+            one = again.distinct().agg(F.count(F.lit(1)).alias("_kinds"))
+            kinds = F.col("_kinds")
+        parts.append(one.select(F.lit(t).alias("table_name"), F.lit(r["total"]).cast("long").alias("total"),
+                                (F.lit(r["single"]).cast("long") + kinds).alias("distinct_rows")))
     out = _union(parts).withColumn("duplicates", F.col("total") - F.col("distinct_rows"))
     return out.withColumn("pct_duplicates", F.coalesce(ratio(F.col("duplicates"), F.col("total")) * 100,
                                                        F.lit(0.0)))
@@ -200,20 +212,20 @@ def price_ranges(product: DataFrame, central_product: DataFrame) -> DataFrame:
         F.min(cost).alias("cost_min"), F.max(cost).alias("cost_max"))
 
 
-def _subtotal_bad(q="quantity", up="unit_price", sub="subtotal"):
-    return F.abs(F.col(sub) - F.round(F.col(q) * F.col(up), 2)) > F.lit("0.01").cast("decimal(3,2)")
+def _one(profile: DataFrame, table: str, column: str, **wanted: str) -> list:
+    """Aggregates that read measures (alias=measure) of one column off a profile."""
+    mine = (F.col("table_name") == table) & (F.col("column_name") == column)
+    return [F.max(F.when(mine, F.col(measure))).alias(alias) for alias, measure in wanted.items()]
 
 
-def line_ranges(sale_item: DataFrame) -> DataFrame:
-    q, up, sub = F.col("quantity"), F.col("unit_price"), F.col("subtotal")
-    return sale_item.agg(
-        F.count(F.when(q <= 0, 1)).alias("quantity_nonpositive"),
-        F.count(F.when(up <= 0, 1)).alias("unit_price_nonpositive"),
-        F.count(F.when(sub <= 0, 1)).alias("subtotal_nonpositive"),
-        F.count(F.when(_subtotal_bad(), 1)).alias("subtotal_inconsistent"),
-        F.min(q).alias("quantity_min"), F.max(q).alias("quantity_max"),
-        F.min(up).alias("unit_price_min"), F.max(up).alias("unit_price_max"),
-        F.min(sub).alias("subtotal_min"), F.max(sub).alias("subtotal_max"))
+def line_ranges(profile: DataFrame) -> DataFrame:
+    """Ranges of the sale lines, from their profile."""
+    money = profile.agg(
+        *_one(profile, "sale_item", "quantity", quantity_nonpositive="nonpositive", quantity_min="lowest", quantity_max="highest"),
+        *_one(profile, "sale_item", "unit_price", unit_price_nonpositive="nonpositive", unit_price_min="lowest", unit_price_max="highest"),
+        *_one(profile, "sale_item", "subtotal", subtotal_nonpositive="nonpositive", subtotal_inconsistent="violations",
+              subtotal_min="lowest", subtotal_max="highest"))
+    return money.select(*[F.col(c).cast("long") if c in ("quantity_min", "quantity_max") else F.col(c) for c in money.columns])
 
 
 def product_margins(product: DataFrame, central_product: DataFrame, lo: int = 20, hi: int = 60) -> DataFrame:
@@ -226,20 +238,37 @@ def product_margins(product: DataFrame, central_product: DataFrame, lo: int = 20
 
 # -- Q16 -----------------------------------------------------------------------------
 def fk_orphans(tables: dict[str, DataFrame], relations=FOREIGN_KEYS) -> DataFrame:
-    """Non-null child keys without a parent row, per relation present in ``tables``."""
-    parts = []
-    for child, fk, parent, pk in relations:
-        if child not in tables or parent not in tables:
-            continue
-        per_value = (tables[child].filter(F.col(fk).isNotNull())
-                     .groupBy(F.col(fk).alias("_k")).agg(F.count(F.lit(1)).alias("_n")))
-        keys = tables[parent].select(F.col(pk).alias("_k")).filter(F.col("_k").isNotNull())
-        orphans = per_value.join(keys, "_k", "left_anti").agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("orphans"))
-        parts.append(orphans.select(
-            F.lit(f"{child}.{fk} -> {parent}.{pk}").alias("relation"), F.lit(child).alias("child_table"),
-            F.lit(fk).alias("fk_column"), F.lit(parent).alias("parent_table"), "orphans"))
-    return _union(parts)
+    """Non-null child keys without a parent row, per relation present in ``tables``.
+
+    One pass: every child table is read once and unpivoted to its distinct (relation, key) with counts; one anti join meets
+    all of them with the parents' keys.
+    """
+    used = [(i, r) for i, r in enumerate(relations) if r[0] in tables and r[2] in tables]
+    parents = sorted({(r[2], r[3]) for _, r in used})
+
+    def key(column: str):
+        # A sale line is known by its order and line id together.
+        if column == "sale_item_id":
+            return F.concat_ws(":", F.col("sale_id").cast("string"), F.col(column).cast("string"))
+        return F.col(column).cast("string")
+
+    children = []
+    for child in dict.fromkeys(r[0] for _, r in used):
+        own = [F.struct(F.lit(i).alias("relation"), F.lit(parents.index((r[2], r[3]))).alias("parent"),
+                        F.when(F.col(r[1]).isNotNull(), key(r[1])).alias("key")) for i, r in used if r[0] == child]
+        children.append(tables[child].select(F.inline(F.array(*own))).where("key is not null")
+                        .groupBy("relation", "parent", "key").agg(F.count(F.lit(1)).alias("n")))
+    known = []
+    for table in dict.fromkeys(t for t, _ in parents):
+        own = [F.struct(F.lit(i).alias("parent"), key(pk).alias("key")) for i, (t, pk) in enumerate(parents) if t == table]
+        known.append(tables[table].select(F.inline(F.array(*own))))
+    lost = _union(children).join(_union(known), ["parent", "key"], "left_anti") \
+        .groupBy("relation").agg(F.sum("n").alias("orphans"))
+    names = tables[used[0][1][0]].sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("relation"), F.lit(f"{r[0]}.{r[1]} -> {r[2]}.{r[3]}").alias("name"), F.lit(r[0]).alias("child_table"),
+                 F.lit(r[1]).alias("fk_column"), F.lit(r[2]).alias("parent_table")) for i, r in used])))
+    return names.join(lost, "relation", "left").select(
+        F.col("name").alias("relation"), "child_table", "fk_column", "parent_table", F.coalesce("orphans", F.lit(0)).alias("orphans"))
 
 
 # -- Q17 / Q18 / Q19 / Q20 / Q21 -------------------------------------------------------
@@ -254,7 +283,7 @@ def order_total_mismatch(sale: DataFrame, sale_item: DataFrame) -> DataFrame:
 
 def line_subtotal_mismatch(sale_item: DataFrame) -> DataFrame:
     q, up, sub = F.col("quantity"), F.col("unit_price"), F.col("subtotal")
-    return sale_item.filter(_subtotal_bad()).select(
+    return sale_item.filter(subtotal_bad()).select(
         "sale_id", "sale_item_id", "quantity", "unit_price", "subtotal",
         F.round(q * up, 2).cast(MONEY).alias("computed_subtotal"),
         F.round(sub - q * up, 2).cast(MONEY).alias("difference"))
@@ -288,10 +317,10 @@ def sales_outside_offer(sale_item: DataFrame, sale: DataFrame, offer: DataFrame)
 
 
 # -- Q22 / Q24 -----------------------------------------------------------------------------
-def quality_score(tables: dict[str, DataFrame], relations=FOREIGN_KEYS) -> DataFrame:
+def quality_score(tables: dict[str, DataFrame], profile: DataFrame, relations=FOREIGN_KEYS) -> DataFrame:
     """100 - 10/column >10 % nulls - 3/column with some nulls - 15 if exact duplicates
     - 20 per relation with orphans, floored at 0. Failures raise (F28)."""
-    prof = null_profile(tables)
+    prof = null_profile(profile)
     nulls = prof.groupBy("table_name").agg(
         F.count(F.when(F.col("pct_nulls") > 10, 1)).alias("cols_over_10"),
         F.count(F.when((F.col("pct_nulls") > 0) & (F.col("pct_nulls") <= 10), 1)).alias("cols_some"))
@@ -307,9 +336,10 @@ def quality_score(tables: dict[str, DataFrame], relations=FOREIGN_KEYS) -> DataF
         "color", F.when(F.col("score") >= 90, "green").when(F.col("score") >= 70, "yellow").otherwise("red"))
 
 
-def quality_score_delta(before: dict[str, DataFrame], after: dict[str, DataFrame]) -> DataFrame:
-    b = quality_score(before).select("table_name", F.col("score").alias("score_before"))
-    a = quality_score(after).select("table_name", F.col("score").alias("score_after"))
+def quality_score_delta(before: dict[str, DataFrame], profile_before: DataFrame, after: dict[str, DataFrame],
+                        profile_after: DataFrame) -> DataFrame:
+    b = quality_score(before, profile_before).select("table_name", F.col("score").alias("score_before"))
+    a = quality_score(after, profile_after).select("table_name", F.col("score").alias("score_after"))
     j = b.join(a, "table_name", "full")
     means = j.agg(F.avg("score_before").alias("mean_before"), F.avg("score_after").alias("mean_after"))
     return j.withColumn("delta", F.col("score_after") - F.col("score_before")).transform(attach, means)
@@ -323,7 +353,7 @@ def store_opening_check(store: DataFrame, sale: DataFrame) -> DataFrame:
 
 
 # -- Q25 / Q26 / Q27 / Q28 -------------------------------------------------------------------
-def issue_list(src_tables: dict[str, DataFrame]) -> DataFrame:
+def issue_list(src_tables: dict[str, DataFrame], profile: DataFrame) -> DataFrame:
     """Issues found by the other checks, each tagged with a type and a severity."""
     t = src_tables
     fk = fk_orphans(t).select(F.concat(F.lit("orphans "), F.col("relation")).alias("issue"),
@@ -332,7 +362,7 @@ def issue_list(src_tables: dict[str, DataFrame]) -> DataFrame:
     dup = exact_duplicates(t).select(F.concat(F.lit("duplicates "), F.col("table_name")).alias("issue"),
                                      F.lit("duplicates").alias("issue_type"), F.lit("medium").alias("severity"),
                                      F.col("duplicates").alias("affected_rows"))
-    nul = null_profile(t).select(
+    nul = null_profile(profile).select(
         F.concat(F.lit("nulls "), F.col("table_name"), F.lit("."), F.col("column_name")).alias("issue"),
         F.lit("completeness").alias("issue_type"),
         F.when(F.col("pct_nulls") > 10, "medium").otherwise("low").alias("severity"),
@@ -340,10 +370,10 @@ def issue_list(src_tables: dict[str, DataFrame]) -> DataFrame:
     pr = price_ranges(t["product"], t["central_product"]).select(
         F.lit("price below cost").alias("issue"), F.lit("numeric range").alias("issue_type"),
         F.lit("high").alias("severity"), F.col("price_below_cost").alias("affected_rows"))
-    ls = line_subtotal_mismatch(t["sale_item"]).agg(F.count(F.lit(1)).alias("affected_rows")).select(
+    ls = profile.agg(*_one(profile, "sale_item", "subtotal", affected_rows="violations")).select(
         F.lit("line subtotal mismatch").alias("issue"), F.lit("consistency").alias("issue_type"),
         F.lit("high").alias("severity"), "affected_rows")
-    ot = order_total_mismatch(t["sale"], t["sale_item"]).agg(F.count(F.lit(1)).alias("affected_rows")).select(
+    ot = profile.agg(*_one(profile, "sale", "total", affected_rows="violations")).select(
         F.lit("order total mismatch").alias("issue"), F.lit("consistency").alias("issue_type"),
         F.lit("high").alias("severity"), "affected_rows")
     rb = returns_before_sale(t["return_item"], t["sale_item"], t["sale"]).select(
@@ -373,7 +403,7 @@ def issue_impact(sale_item: DataFrame, sale: DataFrame, product: DataFrame,
         F.count(F.lit(1)).alias("lines"),
         F.coalesce(F.sum(F.col("quantity") * F.col("new_price")) - F.sum(F.col("quantity") * F.col("unit_price")),
                    F.lit(0)).cast(MONEY).alias("impact"))
-    s = sale_item.filter(_subtotal_bad()).agg(
+    s = sale_item.filter(subtotal_bad()).agg(
         F.count(F.lit(1)).alias("lines"),
         F.coalesce(F.sum("subtotal") - F.sum(F.round(F.col("quantity") * F.col("unit_price"), 2)),
                    F.lit(0)).cast(MONEY).alias("impact"))
@@ -384,11 +414,10 @@ def issue_impact(sale_item: DataFrame, sale: DataFrame, product: DataFrame,
                    o.select(F.lit("wrong order totals").alias("problem"), "lines", "impact")])
 
 
-def range_battery(product: DataFrame, central_product: DataFrame, sale_item: DataFrame,
-                  sale: DataFrame) -> DataFrame:
+def range_battery(product: DataFrame, central_product: DataFrame, profile: DataFrame) -> DataFrame:
     pr = price_ranges(product, central_product)
-    lr = line_ranges(sale_item)
-    ot = order_total_mismatch(sale, sale_item).agg(F.count(F.lit(1)).alias("order_totals_inconsistent"))
+    lr = line_ranges(profile)
+    ot = profile.agg(*_one(profile, "sale", "total", order_totals_inconsistent="violations"))
     j = pr.transform(attach, lr, ot)
     names = [("product price <= 0", "price_nonpositive"), ("product cost <= 0", "cost_nonpositive"),
              ("price < cost", "price_below_cost"), ("negative margins", "negative_margins"),
@@ -401,21 +430,21 @@ def range_battery(product: DataFrame, central_product: DataFrame, sale_item: Dat
         "ok", F.col("cases") == 0)
 
 
-def certification(tables: dict[str, DataFrame]) -> DataFrame:
+def certification(tables: dict[str, DataFrame], profile: DataFrame) -> DataFrame:
     t = tables
     fk = fk_orphans(t, CERTIFIED_KEYS).agg(
         F.count(F.when(F.col("orphans") > 0, 1)).alias("cases"), F.count(F.lit(1)).alias("checked"))
     fk = fk.select(F.lit("referential integrity").alias("check_name"), "cases", "checked")
     pc = _product_costs(t["product"], t["central_product"]).agg(
         F.count(F.when(F.col("price") < F.col("unit_cost"), 1)).alias("cases"))
-    sub = t["sale_item"].agg(F.count(F.when(_subtotal_bad(), 1)).alias("cases"))
-    tot = order_total_mismatch(t["sale"], t["sale_item"]).agg(F.count(F.lit(1)).alias("cases"))
+    sub = profile.agg(*_one(profile, "sale_item", "subtotal", cases="violations"))
+    tot = profile.agg(*_one(profile, "sale", "total", cases="violations"))
     nos = t["customer"].join(t["sale"].select("customer_id").distinct(), "customer_id", "left_anti") \
         .agg(F.count(F.lit(1)).alias("cases"))
     noc = t["product"].join(t["central_product"].select("product_id", "unit_cost"), "product_id", "left") \
         .agg(F.count(F.when(F.col("unit_cost").isNull() | (F.col("unit_cost") == 0), 1)).alias("cases"))
-    ors = t["return_item"].join(t["sale_item"].select("sale_item_id"), "sale_item_id", "left_anti") \
-        .agg(F.count(F.lit(1)).alias("cases"))
+    line = ["sale_id", "sale_item_id"]
+    ors = t["return_item"].join(t["sale_item"].select(*line), line, "left_anti").agg(F.count(F.lit(1)).alias("cases"))
     rows = [fk] + [d.select(F.lit(n).alias("check_name"), "cases", F.lit(None).cast("long").alias("checked"))
                    for n, d in [("price below cost", pc), ("inconsistent subtotals", sub),
                                 ("inconsistent order totals", tot), ("customers without sales", nos),

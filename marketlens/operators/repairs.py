@@ -6,13 +6,12 @@ matters only for R03, which sums the subtotals already corrected by R02.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY
-from .quality import _subtotal_bad, order_total_mismatch, repaired_prices
+from ..sources.profile import differs, subtotal_bad
+from .quality import repaired_prices
 
 
 def repair_price(product: DataFrame, central_product: DataFrame, target_margin: str = "0.40",
@@ -27,7 +26,7 @@ def repair_price(product: DataFrame, central_product: DataFrame, target_margin:
 def repair_line_subtotal(sale_item: DataFrame) -> DataFrame:
     """Subtotal := round(quantity * unit_price, 2) where it differs by more than 0.01."""
     fixed = F.round(F.col("quantity") * F.col("unit_price"), 2).cast(MONEY)
-    return sale_item.select(*[F.when(_subtotal_bad(), fixed).otherwise(F.col("subtotal")).alias("subtotal")
+    return sale_item.select(*[F.when(subtotal_bad(), fixed).otherwise(F.col("subtotal")).alias("subtotal")
                               if c == "subtotal" else F.col(c) for c in sale_item.columns])
 
 
@@ -56,7 +55,7 @@ def repair_snapshot(tables: dict[str, DataFrame], target_margin: str = "0.40", p
         F.lit("product").alias("table_name"), F.col("product_id").alias("row_id"),
         F.lit("price").alias("column_name"), F.col("old_price").alias("before_value"),
         F.col("new_price").alias("after_value"))
-    li = t["sale_item"].filter(_subtotal_bad()).select(
+    li = t["sale_item"].filter(subtotal_bad()).select(
         F.lit("sale_item").alias("table_name"), F.col("sale_item_id").alias("row_id"),
         F.lit("subtotal").alias("column_name"), F.col("subtotal").alias("before_value"),
         F.round(F.col("quantity") * F.col("unit_price"), 2).cast(MONEY).alias("after_value"))
@@ -71,25 +70,33 @@ def repair_snapshot(tables: dict[str, DataFrame], target_margin: str = "0.40", p
 
 
 def repair_log(tables: dict[str, DataFrame], target_margin: str = "0.40", product_ids=None) -> DataFrame:
-    """Per rule, rows changed and bad rows remaining after the repair."""
-    snap = repair_snapshot(tables, target_margin, product_ids)
-    changed = snap.groupBy("table_name", "column_name").agg(F.count(F.lit(1)).alias("rows_changed"))
-    fixed = repaired_tables(tables, target_margin, product_ids)
-    cp = fixed["central_product"].select("product_id", "unit_cost")
-    rem_price = (fixed["product"].join(cp, "product_id").agg(
-        F.count(F.when(F.col("price") < F.col("unit_cost"), 1)).alias("remaining"))
-        .select(F.lit("product").alias("table_name"), "remaining"))
-    rem_sub = (fixed["sale_item"].agg(F.count(F.when(_subtotal_bad(), 1)).alias("remaining"))
-               .select(F.lit("sale_item").alias("table_name"), "remaining"))
-    rem_tot = (order_total_mismatch(fixed["sale"], fixed["sale_item"]).agg(F.count(F.lit(1)).alias("remaining"))
-               .select(F.lit("sale").alias("table_name"), "remaining"))
-    rules = F.create_map(F.lit("product"), F.lit("R01 price from cost and target margin"),
-                         F.lit("sale_item"), F.lit("R02 subtotal = round(quantity * unit_price, 2)"),
-                         F.lit("sale"), F.lit("R03 total = round(sum of subtotals, 2)"))
-    rem = reduce(lambda a, b: a.unionByName(b), [rem_price, rem_sub, rem_tot])
-    cols = {"product": "price", "sale_item": "subtotal", "sale": "total"}
-    colmap = F.create_map(*[x for k, v in cols.items() for x in (F.lit(k), F.lit(v))])
-    return rem.join(changed.drop("column_name"), "table_name", "left").select(
-        F.element_at(rules, F.col("table_name")).alias("rule"), "table_name",
-        F.element_at(colmap, F.col("table_name")).alias("column_name"),
-        F.coalesce("rows_changed", F.lit(0)).alias("rows_changed"), F.col("remaining").alias("remaining_bad_rows"))
+    """Per rule, rows changed and bad rows remaining after the repair.
+
+    Lines are read once: per order they give the counts of R02 and both sums that R03 compares with the total.
+    """
+    t = tables
+    p = repaired_prices(t["product"], t["central_product"], target_margin, product_ids)
+    price = p.join(t["central_product"].select("product_id", "unit_cost"), "product_id").agg(
+        F.count(F.when(F.col("price_changed"), 1)).alias("rows_changed"),
+        F.count(F.when(F.col("new_price") < F.col("unit_cost"), 1)).alias("remaining"))
+    fixed = F.round(F.col("quantity") * F.col("unit_price"), 2).cast(MONEY)
+    kept = F.when(subtotal_bad(), fixed).otherwise(F.col("subtotal"))
+    per_order = t["sale_item"].groupBy("sale_id").agg(
+        F.count(F.when(subtotal_bad(), 1)).alias("line_changed"),
+        F.count(F.when(differs(kept, F.round(F.col("quantity") * F.col("unit_price"), 2)), 1)).alias("line_left"),
+        F.round(F.sum(kept), 2).cast(MONEY).alias("_sum"))
+    orders = t["sale"].join(per_order, "sale_id", "full")
+    bad = F.coalesce(differs(F.col("total"), F.col("_sum")), F.lit(False))
+    total_after = F.when(bad, F.col("_sum")).otherwise(F.col("total"))
+    s = orders.agg(F.coalesce(F.sum("line_changed"), F.lit(0)).alias("line_changed"), F.coalesce(F.sum("line_left"), F.lit(0)).alias("line_left"),
+                   F.count(F.when(bad, 1)).alias("total_changed"), F.count(F.when(differs(total_after, F.col("_sum")), 1)).alias("total_left"))
+    rows = [price.select(F.lit("R01 price from cost and target margin").alias("rule"), F.lit("product").alias("table_name"),
+                         F.lit("price").alias("column_name"), "rows_changed", F.col("remaining").alias("remaining_bad_rows")),
+            s.select(F.inline(F.array(
+                F.struct(F.lit("R02 subtotal = round(quantity * unit_price, 2)").alias("rule"), F.lit("sale_item").alias("table_name"),
+                         F.lit("subtotal").alias("column_name"), F.col("line_changed").alias("rows_changed"),
+                         F.col("line_left").alias("remaining_bad_rows")),
+                F.struct(F.lit("R03 total = round(sum of subtotals, 2)").alias("rule"), F.lit("sale").alias("table_name"),
+                         F.lit("total").alias("column_name"), F.col("total_changed").alias("rows_changed"),
+                         F.col("total_left").alias("remaining_bad_rows")))))]
+    return rows[0].unionByName(rows[1])

@@ -1,40 +1,36 @@
 """Customer segmentation (S): standardise, PCA, K-Means, labels and segment profiles.
 
-* S02 uses the population standard deviation from exact sums (Spark ML's scaler
-  uses the sample one, F17); a constant feature standardises to 0.
-* S03 uses Spark ML PCA (distributed covariance, 7x7 eigenproblem on the driver).
-* S04 fits all restarts (and, for S06, all K) together: one pass per Lloyd
-  iteration for every run, only the centres on the driver (``kmeans.py``).
-* S06 computes the exact Euclidean silhouette (F18) without emitting pairs: identical
-  points merge into weighted points; when few, they are broadcast and each
-  partition measures its distances with numpy in ``mapInPandas``; beyond that the
-  points are hashed into bounded tiles and every (query tile, reference tile) pair
-  is one ``cogroup`` group whose per-cluster sums a ``groupBy`` adds up. The work
-  is quadratic by definition of the metric, but no task holds more than two tiles.
+* S02 and C16 share one aggregate of exact decimal sums and products (``functions.moments``); S02 uses the population
+  standard deviation (Spark ML's scaler uses the sample one, F17); a constant feature standardises to 0.
+* S03 takes the principal axes from the same sums: the correlation matrix of the features, 7 x 7, is decomposed on the
+  driver; rows are projected by an expression.
+* S04 fits Spark ML's K-Means once per seed, seeds side by side, and keeps the lowest inertia (F19).
+* S06 measures Spark ML's silhouette, which needs per-cluster sums only: its distance is the squared Euclidean one. This is
+  a deviation from the plain Euclidean silhouette (F18), whose work grows with the square of the customers.
 """
 
 from __future__ import annotations
 
-import math
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, ratio, round_div
+from ..functions.moments import correlations, moments
 from ..functions.output import attach
-from . import kmeans as KM
 from .customers import LABELS, valid
 
 # The seven clustering features.
 FEATURES = ("cltv", "net_revenue", "aov", "monthly_frequency", "recency_days", "return_rate", "tenure_days")
 PROFILE_FEATURES = FEATURES + ("num_orders", "margin_pct")
 
-EXACT_SILHOUETTE_POINTS = 20_000     # distinct points broadcast at once; also the tile size
+FITS_AT_ONCE = 8     # concurrent K-Means fits (Spark jobs of small aggregates)
 
 
 # -- S01 / S02 --------------------------------------------------------------------
@@ -45,48 +41,69 @@ def features(mart: DataFrame, cols=FEATURES) -> DataFrame:
 
 def standardize(feats: DataFrame, cols=FEATURES) -> DataFrame:
     """z = (x - mean) / population std; a constant column gives 0."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
-    for c in cols:
-        aggs += [F.sum(c).alias(f"_s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"_q_{c}")]
-    st = feats.agg(*aggs)
+    m = moments(feats, cols)
     out = []
-    for c in cols:
-        n = F.col("_n").cast("double")
-        mean = F.col(f"_s_{c}").cast("double") / n
-        var = F.col(f"_q_{c}").cast("double") / n - mean * mean
-        std = F.sqrt(F.greatest(var, F.lit(0.0)))
-        out.append(F.when(std > 0, (F.col(c).cast("double") - mean) / std).otherwise(F.lit(0.0)).alias(f"z_{c}"))
-    return feats.transform(attach, st).select("customer_sk", *out)
+    for i, c in enumerate(cols):
+        std = m.std(i)
+        z = (F.col(c).cast("double") - F.lit(m.mean(i))) / F.lit(std) if std else F.lit(0.0)
+        out.append(z.alias(f"z_{c}"))
+    return feats.select("customer_sk", *out)
 
 
 # -- S03 ---------------------------------------------------------------------------
-def pca_2d(z: DataFrame, cols=None, k: int = 2):
-    """Project standardised features on k principal components.
+def pca_2d(feats: DataFrame, cols=FEATURES, k: int = 2):
+    """Project the standardised features on their k principal components.
 
     Returns (points: customer_sk, pc1..pck; variance: component, explained_variance).
     Component signs are fixed so the largest absolute loading is positive (K20).
     """
-    cols = cols or [c for c in z.columns if c.startswith("z_")]
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(z)
-    model = PCA(k=k, inputCol="_v", outputCol="_pc").fit(vec)
-    pcs = model.pc.toArray()                         # d x k, tiny
-    signs = [1.0 if pcs[np.argmax(np.abs(pcs[:, j])), j] >= 0 else -1.0 for j in range(k)]
-    arr = vector_to_array(F.col("_pc"))
-    pts = model.transform(vec).select(
-        "customer_sk", *[(arr[j] * F.lit(signs[j])).alias(f"pc{j + 1}") for j in range(k)])
-    ev = [float(x) for x in model.explainedVariance.toArray()]
-    var = z.sparkSession.createDataFrame([(f"pc{j + 1}", ev[j]) for j in range(k)],
+    m = moments(feats, cols)
+    # The covariance of standardised columns is their correlation; a constant column has no share.
+    c = np.nan_to_num(np.array(correlations(m), float))
+    values, axes = np.linalg.eigh(c)
+    order = np.argsort(-values)[:k]
+    axes = axes[:, order]
+    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), range(k)] >= 0, 1.0, -1.0)
+    z = standardize(feats, cols)
+    pts = z.select("customer_sk", *[sum(F.col(f"z_{col}") * F.lit(float(axes[i, j])) for i, col in enumerate(cols)).alias(f"pc{j + 1}")
+                                    for j in range(k)])
+    total = values.sum()
+    var = z.sparkSession.createDataFrame([(f"pc{j + 1}", float(values[order[j]] / total) if total else 0.0) for j in range(k)],
                                          "component string, explained_variance double")
     return pts, var
 
 
 # -- S04 / S05 ---------------------------------------------------------------------
+def _vectors(points: DataFrame, cols) -> DataFrame:
+    return VectorAssembler(inputCols=list(cols), outputCol="_features").transform(points)
+
+
+def best_fits(vectors: DataFrame, ks, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
+              seed0: int = 42) -> dict[int, tuple[KMeansModel, float]]:
+    """Per K the K-Means model of lowest inertia over ``n_init`` seeds, and that inertia."""
+    def fit(job: tuple[int, int]) -> tuple[int, float, int, KMeansModel]:
+        k, seed = job
+        model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features", predictionCol="_cluster").fit(vectors)
+        return k, model.summary.trainingCost, seed, model
+
+    with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
+        fits = list(pool.map(fit, [(k, seed0 + i) for k in ks for i in range(n_init)]))
+    best: dict[int, tuple[float, int, KMeansModel]] = {}
+    for k, cost, seed, model in fits:
+        if k not in best or (cost, seed) < best[k][:2]:
+            best[k] = (cost, seed, model)
+    return {k: (model, cost) for k, (cost, _, model) in best.items()}
+
+
 def kmeans(points: DataFrame, k: int = 3, n_init: int = 10, cols=("pc1", "pc2"), max_iter: int = 300,
            tol: float = 1e-4, seed0: int = 42) -> DataFrame:
-    """K-Means with ``n_init`` k-means++ seeds fitted together; lowest inertia wins."""
-    best = KM.best_per_k(points, [k], n_init=n_init, seed0=seed0, cols=cols, max_iter=max_iter, tol=tol)
-    out = KM.assign(points, {k: best[k][0]}, cols=cols)
-    return out.withColumnRenamed(f"cluster_k{k}", "cluster_raw")
+    """Spark ML K-Means with ``n_init`` seeds; lowest inertia wins."""
+    vectors = _vectors(points, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        model, _ = best_fits(vectors, [k], n_init, max_iter, tol, seed0)[k]
+    finally:
+        vectors.unpersist()
+    return model.transform(_vectors(points, cols)).select(*points.columns, F.col("_cluster").cast("long").alias("cluster_raw"))
 
 
 def cluster_labels(assigned: DataFrame, mart: DataFrame, names=LABELS) -> DataFrame:
@@ -104,168 +121,37 @@ def cluster_labels(assigned: DataFrame, mart: DataFrame, names=LABELS) -> DataFr
 
 def segment(mart: DataFrame, k: int = 3, n_init: int = 10):
     """S01-S05 end to end: returns (labels, pca points, explained variance)."""
-    z = standardize(features(mart))
-    pts, var = pca_2d(z)
+    pts, var = pca_2d(features(mart))
     pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
     assigned = kmeans(pts, k=k, n_init=n_init)
     return cluster_labels(assigned, mart), pts, var
 
 
 # -- S06 ----------------------------------------------------------------------------
-def _distance_sums(px, py, rx, ry, rw, starts, q_chunk: int = 2048, r_chunk: int = 4096):
-    """Weighted Euclidean distance sums from each query point to each cluster.
+def silhouette(points: DataFrame, cluster: str = "cluster_raw", cols=("pc1", "pc2")) -> float:
+    """Mean silhouette over all points, by squared Euclidean distance; a single cluster or no point gives 0."""
+    if points.select(cluster).distinct().limit(2).count() < 2:
+        return 0.0
+    return ClusteringEvaluator(predictionCol=cluster, featuresCol="_features").evaluate(_vectors(points, cols))
 
-    The reference points are sorted by cluster; ``starts`` holds the k+1 slice bounds.
-    Work is chunked so the temporary matrix stays near q_chunk x r_chunk doubles.
-    """
-    k = len(starts) - 1
-    out = np.zeros((len(px), k))
-    for q0 in range(0, len(px), q_chunk):
-        qx, qy = px[q0:q0 + q_chunk, None], py[q0:q0 + q_chunk, None]
-        for j in range(k):
-            for r0 in range(starts[j], starts[j + 1], r_chunk):
-                r1 = min(r0 + r_chunk, starts[j + 1])
-                d = np.sqrt((qx - rx[None, r0:r1]) ** 2 + (qy - ry[None, r0:r1]) ** 2)
-                out[q0:q0 + q_chunk, j] += d @ rw[r0:r1]
-    return out
-
-
-def _sorted_reference(cl, x, y, w, k):
-    order = np.argsort(cl, kind="stable")
-    starts = np.searchsorted(cl[order], np.arange(k + 1))
-    return x[order], y[order], w[order], starts
-
-
-def _silhouette_from_sums(sums, own, size):
-    """Per-point silhouette from its distance sums to every cluster (own point included, at 0)."""
-    n, k = sums.shape
-    idx = np.arange(n)
-    n_own = size[own]
-    a = np.where(n_own > 1, sums[idx, own] / np.maximum(n_own - 1, 1), 0.0)
-    other = sums / size[None, :]
-    other[idx, own] = np.inf
-    b = other.min(axis=1) if k > 1 else np.zeros(n)
-    m = np.maximum(a, b)
-    return np.where((n_own > 1) & (k > 1) & (m > 0), (b - a) / np.where(m > 0, m, 1.0), 0.0)
-
-
-def _silhouette_broadcast(points, distinct, cluster, cols, labels, sizes):
-    """Few distinct points: the weighted distinct points of every cluster (bounded by
-    ``exact_limit``) are broadcast and each partition measures against all of them."""
-    x, y = cols
-    cells = distinct.toPandas()
-    cl = np.searchsorted(labels, cells[cluster].to_numpy())
-    rx, ry, rw, starts = _sorted_reference(cl, cells[x].to_numpy(float), cells[y].to_numpy(float),
-                                           cells["w"].to_numpy(float), len(labels))
-    bc = points.sparkSession.sparkContext.broadcast((labels, sizes, rx, ry, rw, starts))
-
-    def per_partition(batches):
-        lab, size, bx, by, bw, st = bc.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            sums = _distance_sums(pdf[x].to_numpy(float), pdf[y].to_numpy(float), bx, by, bw, st)
-            own = np.searchsorted(lab, pdf[cluster].to_numpy())
-            yield pd.DataFrame({"s": _silhouette_from_sums(sums, own, size)})
-
-    val = (points.select(cluster, x, y).mapInPandas(per_partition, "s double")
-           .agg(F.avg("s").alias("v")).first()["v"])
-    bc.unpersist()
-    return float(val)
-
-
-def _silhouette_tiled(distinct, cluster, cols, labels, sizes, tiles: int):
-    """Many distinct points: exact all-cluster distance sums in bounded groups.
-
-    Distinct weighted points are hashed into ``tiles`` tiles. Group (q, r) holds the
-    query points of tile q and the reference points of tile r, so no group exceeds
-    two tiles whatever the data size; every point meets every reference tile once.
-    Partial sums per (point, cluster) are added up by a ``groupBy``; the silhouette
-    of a distinct point counts ``w`` times in the mean.
-    """
-    x, y = cols
-    k = len(labels)
-    tile = F.pmod(F.xxhash64(F.col(cluster), F.col(x), F.col(y)), F.lit(tiles)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    q = distinct.select(tile.alias("_qt"), every.alias("_rt"), cluster, x, y, "w")
-    r = distinct.select(every.alias("_qt"), tile.alias("_rt"), F.col(cluster).alias("_rc"),
-                        F.col(x).alias("_rx"), F.col(y).alias("_ry"), F.col("w").alias("_rw"))
-    lab = np.asarray(labels)
-    dcols = [f"_d{j}" for j in range(k)]
-
-    def kernel(qp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if qp.empty:
-            return pd.DataFrame({c: [] for c in [cluster, x, y, "w", *dcols]})
-        if rp.empty:
-            sums = np.zeros((len(qp), k))
-        else:
-            cl = np.searchsorted(lab, rp["_rc"].to_numpy())
-            rx, ry, rw, st = _sorted_reference(cl, rp["_rx"].to_numpy(float), rp["_ry"].to_numpy(float),
-                                               rp["_rw"].to_numpy(float), k)
-            sums = _distance_sums(qp[x].to_numpy(float), qp[y].to_numpy(float), rx, ry, rw, st)
-        out = qp[[cluster, x, y, "w"]].reset_index(drop=True)
-        for j in range(k):
-            out[dcols[j]] = sums[:, j]
-        return out
-
-    schema = (f"{cluster} {distinct.schema[cluster].dataType.simpleString()}, {x} double, {y} double, "
-              "w long, " + ", ".join(f"{c} double" for c in dcols))
-    parts = (q.groupBy("_qt", "_rt").cogroup(r.groupBy("_qt", "_rt"))
-             .applyInPandas(kernel, schema))
-    per = parts.groupBy(cluster, x, y, "w").agg(*[F.sum(c).alias(c) for c in dcols])
-    own = (F.array_position(F.array(*[F.lit(v) for v in labels.tolist()]), F.col(cluster)) - 1).cast("int")
-    n_own = F.element_at(F.array(*[F.lit(float(v)) for v in sizes]), own + 1)
-    a_sum = F.coalesce(*[F.when(own == j, F.col(dcols[j])) for j in range(k)])
-    a = F.when(n_own > 1, a_sum / F.greatest(n_own - 1, F.lit(1.0))).otherwise(0.0)
-    b = (F.least(*[F.when(own != j, F.col(dcols[j]) / float(sizes[j])) for j in range(k)])
-         if k > 1 else F.lit(0.0))
-    m = F.greatest(a, b)
-    sil = F.when((n_own > 1) & F.lit(k > 1) & (m > 0), (b - a) / m).otherwise(0.0)
-    row = per.select((sil * F.col("w")).alias("sw"), "w").agg(
-        (F.sum("sw") / F.sum("w")).alias("v")).first()
-    return float(row["v"])
-
-
-def silhouette(points: DataFrame, cluster: str = "cluster_raw", cols=("pc1", "pc2"),
-               exact_limit: int = EXACT_SILHOUETTE_POINTS):
-    """Mean Euclidean silhouette over all points, exact; returns (value, method).
-
-    Identical points of a cluster are merged into one weighted point (their
-    silhouettes are equal). Up to ``exact_limit`` distinct points the weighted
-    points are broadcast ("exact"); beyond, the tiled job bounds every group at
-    two tiles of that size ("exact-tiled-T").
-    """
-    x, y = cols
-    distinct = points.groupBy(cluster, x, y).agg(F.count(F.lit(1)).alias("w"))
-    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
+
+def silhouette_sweep(points: DataFrame, ks=range(2, 9), n_init: int = 10, cols=("pc1", "pc2")) -> DataFrame:
+    """Mean silhouette of K-Means for each K; flags the best K."""
+    vectors = _vectors(points, cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        per = distinct.groupBy(cluster).agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("nd")).collect()
-        per = sorted(per, key=lambda r: r[cluster])
-        labels = np.array([r[cluster] for r in per])
-        sizes = np.array([float(r["n"]) for r in per])
-        n_distinct = sum(int(r["nd"]) for r in per)
-        if n_distinct <= exact_limit:
-            return _silhouette_broadcast(points, distinct, cluster, cols, labels, sizes), "exact"
-        tiles = math.ceil(n_distinct / exact_limit)
-        return _silhouette_tiled(distinct, cluster, cols, labels, sizes, tiles), f"exact-tiled-{tiles}"
-    finally:
-        distinct.unpersist()
+        best = best_fits(vectors, list(ks), n_init)
 
+        def measure(k: int) -> tuple[int, float, float]:
+            model, cost = best[k]
+            return int(k), silhouette(model.transform(vectors).select(*cols, F.col("_cluster").alias("cluster_raw")), cols=cols), float(cost)
 
-def silhouette_sweep(points: DataFrame, ks=range(2, 9), n_init: int = 10) -> DataFrame:
-    """Mean silhouette of K-Means for each K (all K and seeds fitted together); flags the best K."""
-    best = KM.best_per_k(points, list(ks), n_init=n_init)
-    labelled = KM.assign(points, {k: c for k, (c, _) in best.items()}).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    try:
-        for k in ks:
-            val, method = silhouette(labelled, cluster=f"cluster_k{k}")
-            rows.append((int(k), val, method, float(best[k][1])))
+        with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
+            rows = list(pool.map(measure, ks))
     finally:
-        labelled.unpersist()
+        vectors.unpersist()
     top = max(rows, key=lambda r: r[1])[0]
     return points.sparkSession.createDataFrame(
-        [(k, v, m, e, k == top) for k, v, m, e in rows],
+        [(k, v, "squared-euclidean", e, k == top) for k, v, e in rows],
         "k long, silhouette double, method string, inertia double, is_best boolean")
 
 

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import mart as M
 from ..operators.warehouse import Warehouse
-from ..sources.binding import Sources
+from ..session import own_session, scratch_path
+from ..sources.binding import Sources, roles
+from ..sources.profile import profile_of
+from ..sources.staging import stage
 from ..sources.tables import Tables
 
 
 class Context:
     """Sources, warehouse and mart for one scale-factor folder.
 
-    ``Context.shared`` memoises one persisted context per (session, folder), so the
-    registered queries of one run share a single warehouse build.
+    ``Context.shared`` memoises one context per (session, folder): its sources are staged once, in a folder of its own
+    under the shared checkpoint folder, and its tables persisted, so the registered queries of one run share them.
+    Contexts of an application that has ended are let go.
     """
 
     _shared: dict = {}
@@ -27,16 +32,25 @@ class Context:
         self.sf_dir = sf_dir
         self.persist = persist
         self.raw = Tables(spark, sf_dir)
-        self.src = Sources(self.raw)
+        bound = Sources(self.raw)
+        self.src = stage(bound, scratch_path(spark, f"staged-{uuid.uuid4().hex}")) if persist else bound
         self.wh = Warehouse(self.src, rows_per_bucket, persist)
 
     @classmethod
     def shared(cls, spark: SparkSession, sf_dir: str) -> "Context":
-        key = (id(spark._jsparkSession), sf_dir)
+        app = spark.sparkContext.applicationId
+        key = (app, spark._jsparkSession.sessionUUID(), sf_dir)
         if key not in cls._shared:
-            cls._shared[key] = cls(spark, sf_dir, persist=True)
+            for old in [k for k in cls._shared if k[0] != app]:
+                del cls._shared[old]
+            cls._shared[key] = cls(own_session(spark), sf_dir, persist=True)
         return cls._shared[key]
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        """Profile of the sources: observed where they were staged, else one pass a table."""
+        return self.src.profile if self.persist else profile_of(roles(self.src))
+
     @cached_property
     def mart(self) -> DataFrame:
         w = self.wh

@@ -11,7 +11,7 @@ from .registry import register
 # ---------------------------------------------------------------- warehouse
 @register("stage_snapshot")
 def q_stage_snapshot(c):
-    return W.stage_snapshot(c.src)
+    return W.stage_snapshot(c.profile)
 
 
 @register("dim_date")
@@ -154,6 +154,7 @@ def q_product_offers(c):
 from ..operators import quality as Q  # noqa: E402
 from ..operators import repairs as R  # noqa: E402
 from ..sources.binding import roles  # noqa: E402
+from ..sources.profile import profile_of  # noqa: E402
 
 DESCRIBE_COLUMNS = ("quantity", "unit_price", "subtotal")
 
@@ -162,11 +163,16 @@ def _t(c):
     return roles(c.src)
 
 
+def _delta(c):
+    after = R.repaired_tables(_t(c))
+    return Q.quality_score_delta(_t(c), c.profile, after, profile_of(after))
+
+
 for _name, _fn in {
-    "table_row_counts": lambda c: Q.table_row_counts(_t(c)),
-    "rows_by_system": lambda c: Q.rows_by_system(_t(c)),
-    "null_profile": lambda c: Q.null_profile(_t(c)),
-    "null_summary": lambda c: Q.null_summary(Q.null_profile(_t(c))),
+    "table_row_counts": lambda c: Q.table_row_counts(c.profile),
+    "rows_by_system": lambda c: Q.rows_by_system(c.profile),
+    "null_profile": lambda c: Q.null_profile(c.profile),
+    "null_summary": lambda c: Q.null_summary(Q.null_profile(c.profile)),
     "exact_duplicates": lambda c: Q.exact_duplicates(_t(c)),
     # customer first/last names are unique in the binding; product (name, category) repeats
     "logical_duplicates": lambda c: Q.logical_duplicates(c.src.product, ("name", "category")),
@@ -175,7 +181,7 @@ for _name, _fn in {
     "postal_format": lambda c: Q.postal_format(c.src.city_zone, "postal_code"),
     "date_range": lambda c: Q.date_range(c.src.sale),
     "price_ranges": lambda c: Q.price_ranges(c.src.product, c.src.central_product),
-    "line_ranges": lambda c: Q.line_ranges(c.src.sale_item),
+    "line_ranges": lambda c: Q.line_ranges(c.profile),
     "product_margins": lambda c: Q.product_margins(c.src.product, c.src.central_product),
     "fk_orphans": lambda c: Q.fk_orphans(_t(c)),
     "order_total_mismatch": lambda c: Q.order_total_mismatch(c.src.sale, c.src.sale_item),
@@ -183,13 +189,13 @@ for _name, _fn in {
     "margin_by_category": lambda c: Q.margin_by_category(c.src.product, c.src.central_product, c.src.category),
     "returns_before_sale": lambda c: Q.returns_before_sale(c.src.return_item, c.src.sale_item, c.src.sale),
     "sales_outside_offer": lambda c: Q.sales_outside_offer(c.src.sale_item, c.src.sale, c.src.offer),
-    "quality_score": lambda c: Q.quality_score(_t(c)),
+    "quality_score": lambda c: Q.quality_score(_t(c), c.profile),
     "store_opening_check": lambda c: Q.store_opening_check(c.src.store, c.src.sale),
-    "quality_score_delta": lambda c: Q.quality_score_delta(_t(c), R.repaired_tables(_t(c))),
-    "issue_rollup": lambda c: Q.issue_rollup(Q.issue_list(_t(c))),
+    "quality_score_delta": lambda c: _delta(c),
+    "issue_rollup": lambda c: Q.issue_rollup(Q.issue_list(_t(c), c.profile)),
     "issue_impact": lambda c: Q.issue_impact(c.src.sale_item, c.src.sale, c.src.product, c.src.central_product),
-    "range_battery": lambda c: Q.range_battery(c.src.product, c.src.central_product, c.src.sale_item, c.src.sale),
-    "certification": lambda c: Q.certification(_t(c)),
+    "range_battery": lambda c: Q.range_battery(c.src.product, c.src.central_product, c.profile),
+    "certification": lambda c: Q.certification(_t(c), c.profile),
     "catalog_overlap": lambda c: Q.catalog_overlap(c.src.product, c.src.central_product),
     "describe": lambda c: Q.describe(c.src.sale_item, DESCRIBE_COLUMNS),
     "price_points": lambda c: Q.price_points(c.src.sale_item),
@@ -213,7 +219,7 @@ from ..operators import checks as V  # noqa: E402
 
 
 def _checks(c):
-    return V.all_checks(c.wh, c.src, c.src)
+    return V.all_checks(c.wh, c.src)
 
 
 for _name, _ids in V.GROUPS.items():
@@ -281,8 +287,8 @@ def _xy(c):
 for _name, _fn in {
     "features": lambda c: S.features(c.mart),
     "standardize": _z,
-    "pca_2d": lambda c: c.segmentation[1],
-    "pca_variance": lambda c: c.segmentation[2],
+    "pca_2d": lambda c: c.segmentation[1].select("customer_sk", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2")),
+    "pca_variance": lambda c: c.segmentation[2].withColumn("explained_variance", F.round("explained_variance", 6)),
     "kmeans": lambda c: S.kmeans(c.segmentation[1]),
     "cluster_labels": lambda c: c.segmentation[0],
     "silhouette_sweep": lambda c: S.silhouette_sweep(c.segmentation[1]),
@@ -300,6 +306,7 @@ for _name, _fn in {
 
 # ------------------------------------------------------- keys and pipelines
 import hashlib  # noqa: E402
+import uuid  # noqa: E402
 
 from ..session import scratch_path  # noqa: E402
 from . import pipeline as P  # noqa: E402
@@ -331,20 +338,35 @@ def q_build_warehouse(c):
 # Report sections of the bundle (the export's business and customer sections).
 BUNDLE_SECTIONS = (
     "global_kpis", "month_comparison", "trailing_12_months", "top_products_latest_month", "peak_month",
-    "findings", "monthly_evolution", "top_products", "sales_by_store", "seasonality", "return_kpis",
+    "monthly_evolution", "top_products", "sales_by_store", "seasonality", "return_kpis",
     "returns_monthly", "returns_by_reason", "returns_by_product", "product_margin_rank",
     "product_return_rate", "product_seasonality", "brands", "brand_returns", "categories",
     "category_by_year", "profit_monthly", "profit_by_category", "profit_yearly", "store_kpis",
     "store_monthly", "store_top_products", "year_over_year", "annual_growth", "best_worst_months",
     "product_growth", "product_detail", "brand_detail", "category_by_brand",
     "cltv_kpis", "cltv_top_share", "cltv_log_histogram", "cltv_by_tenure", "orders_band", "pareto_curve",
-    "pareto_80", "rfm_matrix", "cohorts", "top_customers", "customer_export", "health_light",
-    "cluster_distribution", "cluster_profile", "cluster_profile_norm")
+    "pareto_80", "rfm_matrix", "cohorts", "health_light", "pca_variance")
+# Sections over the segments, with the mart's own labels (K-Means, beyond SQL).
+SEGMENT_SECTIONS = {
+    "findings": lambda c: B.findings(c.wh, c.mart, c.segmentation[0]),
+    "top_customers": lambda c: C.top_customers(c.mart, c.segmentation[0]),
+    "customer_export": lambda c: C.customer_export(c.mart, c.segmentation[0]),
+    "cltv_scatter": lambda c: C.cltv_scatter(c.mart, c.segmentation[0]),
+    "cluster_scatter": lambda c: S.pca_sample(c.segmentation[1], c.segmentation[0]),
+    "cluster_distribution": lambda c: S.cluster_distribution(c.mart, c.segmentation[0]),
+    "cluster_profile": lambda c: S.cluster_profile(c.mart, c.segmentation[0]),
+    "cluster_profile_norm": lambda c: S.cluster_profile_norm(c.mart, c.segmentation[0]),
+}
+
+
+def bundle_sections() -> dict:
+    from ..functions.output import finalize
+    fns = {**{k: REGISTRY[k] for k in BUNDLE_SECTIONS}, **SEGMENT_SECTIONS}
+    return {k: (lambda fn: lambda ctx: finalize(fn(ctx)))(fn) for k, fn in fns.items()}
 
 
 @register("report_bundle")
 def q_report_bundle(c):
-    """Every section written as JSON; rows per section counted from the output."""
-    from ..functions.output import finalize
-    sections = {k: (lambda fn: lambda ctx: finalize(fn(ctx)))(REGISTRY[k]) for k in BUNDLE_SECTIONS}
-    return P.report_bundle(c, _run_dir(c, "report-bundle"), sections)
+    """Every section written as JSON in one job; the values of the sections without segments, added up from the output."""
+    out = P.report_bundle(c, f"{_run_dir(c, 'report-bundle')}/{uuid.uuid4().hex}", bundle_sections())
+    return P.bundle_values(out.where(F.col("section").isin(list(BUNDLE_SECTIONS))))

@@ -19,17 +19,8 @@ def register(name: str):
     return deco
 
 
-# Plans over cached warehouse tables print every cached plan again, and Spark keeps
-# the description of each SQL execution (up to spark.sql.ui.retainedExecutions):
-# unbounded, they can fill a small driver heap.
-MAX_PLAN_STRING = 100_000
-
-
 def as_query(fn: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cur = spark.conf.get("spark.sql.maxPlanStringLength", None)
-        if not cur or int(str(cur).rstrip("bB") or 0) > MAX_PLAN_STRING:
-            spark.conf.set("spark.sql.maxPlanStringLength", str(MAX_PLAN_STRING))
         return finalize(fn(Context.shared(spark, sf_dir)))
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__

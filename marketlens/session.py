@@ -54,6 +54,17 @@ def get_session(master: str | None = None, app: str = "marketlens",
     return spark
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session beside the caller's: its catalog, cache and settings, plus the settings that the plans here rely on.
+
+    The caller's own settings stay as they are.
+    """
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for key in ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.maxPlanStringLength"):
+        own.conf.set(key, DEFAULT_CONF[key])
+    return own
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

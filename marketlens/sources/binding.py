@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import MONEY, round_div
+from .bucketed import buckets
 from .tables import Tables
 
 # Fixed values of the binding.
@@ -61,7 +62,8 @@ class Sources:
         li = self.raw.lineitem.select(
             F.col("l_orderkey").alias("sale_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
             "l_quantity", "l_extendedprice", "l_discount", "l_returnflag")
-        # One hash exchange by order key; every derived role keeps that partitioning.
+        # One hash exchange by order key, as the staged tables are bucketed; every derived role keeps that partitioning.
+        li = li.repartition(buckets(self.spark), "sale_id")
         by_order = Window.partitionBy("sale_id")
         pos = F.row_number().over(by_order.orderBy(
             "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
@@ -87,14 +89,19 @@ class Sources:
 
     @cached_property
     def sale(self) -> DataFrame:
-        store = self._lines.groupBy("sale_id").agg(F.min("order_store_id").alias("store_id"))
+        return self.sale_with_lines_total.drop("lines_total")
+
+    @cached_property
+    def sale_with_lines_total(self) -> DataFrame:
+        """Orders with the sum of their lines (null without lines)."""
+        store = self._lines.groupBy("sale_id").agg(F.min("order_store_id").alias("store_id"), F.sum("subtotal").alias("lines_total"))
         o = self.raw.orders.select(
             F.col("o_orderkey").alias("sale_id"),
             F.col("o_custkey").alias("customer_id"),
             F.to_date("o_orderdate").alias("sale_date"),
             F.col("o_totalprice").cast(MONEY).alias("total"))
         return o.join(store, "sale_id", "left").select(
-            "sale_id", "customer_id", "store_id", "sale_date", "total")
+            "sale_id", "customer_id", "store_id", "sale_date", "total", "lines_total")
 
     @cached_property
     def return_item(self) -> DataFrame:

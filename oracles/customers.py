@@ -141,14 +141,9 @@ FROM mz GROUP BY area_type, orientation""", ZONE,
 CM = ["cltv", "net_revenue", "aov", "num_orders", "monthly_frequency", "tenure_days", "recency_days", "return_rate"]
 
 
-def _cov(a, b):
-    return (f"(CAST(COUNT(*) AS DOUBLE) * CAST(SUM({a} * {b}) AS DOUBLE) - "
-            f"CAST(SUM({a}) AS DOUBLE) * CAST(SUM({b}) AS DOUBLE))")
-
-
 oracle("metric_correlation", " UNION ALL ".join(
-    f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, {_cov(a, b) if CM.index(a) <= CM.index(b) else _cov(b, a)} / "
-    f"NULLIF(sqrt({_cov(a, a)} * {_cov(b, b)}), 0) AS pearson FROM {V} v" for a in CM for b in CM))
+    f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS pearson FROM {V} v"
+    for a in CM for b in CM))
 oracle("high_return_profile", f"""
 SELECT COUNT(*) FILTER (WHERE return_rate > 50) AS customers,
        CAST(COUNT(*) FILTER (WHERE return_rate > 50) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100 AS pct_customers,

@@ -20,6 +20,7 @@ SELECT 'central_product', COUNT(*) FROM central_product UNION ALL
 SELECT 'brand', COUNT(*) FROM brand UNION ALL
 SELECT 'category', COUNT(*) FROM category UNION ALL
 SELECT 'offer', COUNT(*) FROM offer UNION ALL
+SELECT 'product_offer', COUNT(*) FROM product_offer UNION ALL
 SELECT 'store', COUNT(*) FROM store UNION ALL
 SELECT 'customer', COUNT(*) FROM customer_src UNION ALL
 SELECT 'city_zone', COUNT(*) FROM city_zone UNION ALL

@@ -1,6 +1,6 @@
 """Oracles for segmentation (S) fed with the deterministic tercile labels.
 
-PCA, K-Means, the silhouette sweep and the hash samples have no SQL form; they are
+K-Means, the silhouette sweep and the hash samples have no SQL form; they are
 checked by properties in tests/ (rows-only in the driver check).
 """
 
@@ -17,17 +17,33 @@ MEAN = lambda c: f"CAST(SUM({c}) AS DOUBLE) / CAST(COUNT({c}) AS DOUBLE)"  # noq
 
 FE = "fe AS (SELECT customer_sk, " + ", ".join(f"COALESCE({c}, 0) AS {c}" for c in FEATS) + \
      " FROM customer_360 WHERE cltv IS NOT NULL)"
-ST = "st AS (SELECT COUNT(*) AS n, " + ", ".join(
-    f"SUM({c}) AS s_{c}, SUM({c} * {c}) AS q_{c}" for c in FEATS) + " FROM fe)"
+ST = "st AS (SELECT " + ", ".join(
+    f"AVG(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS d_{c}" for c in FEATS) + " FROM fe)"
+ZT = "zt AS (SELECT fe.customer_sk, " + ", ".join(
+    f"CASE WHEN d_{c} > 0 THEN (CAST(fe.{c} AS DOUBLE) - m_{c}) / d_{c} ELSE 0.0 END AS z_{c}" for c in FEATS) + " FROM fe, st)"
+# Principal axes of the 7 x 7 correlation matrix by power iteration; the second after taking the first out of the matrix.
+_N = len(FEATS)
 
 
-def _z(c):
-    mean = f"(CAST(st.s_{c} AS DOUBLE) / CAST(st.n AS DOUBLE))"
-    std = f"sqrt(GREATEST(CAST(st.q_{c} AS DOUBLE) / CAST(st.n AS DOUBLE) - {mean} * {mean}, 0.0))"
-    return f"CASE WHEN {std} > 0 THEN (CAST(fe.{c} AS DOUBLE) - {mean}) / {std} ELSE 0.0 END"
+def _axis(name: str, matrix: str) -> str:
+    """The axis after 400 steps, its largest loading made positive, and its eigenvalue."""
+    times = f"list_transform({matrix}.m, lambda r: list_dot_product(r, v))"
+    return f"""{name} AS (
+  WITH RECURSIVE steps(t, v) AS (
+    SELECT 0, {[1.0 - k / 10 for k in range(_N)]}::DOUBLE[]
+    UNION ALL
+    SELECT t + 1, list_transform(w, lambda x: x / sqrt(list_dot_product(w, w)))
+    FROM (SELECT t, {times} AS w FROM steps, {matrix} WHERE t < 400)),
+  done AS (SELECT v, list_dot_product(v, {times}) AS l, list_transform(v, lambda y: abs(y)) AS sizes FROM steps, {matrix} WHERE t = 400)
+  SELECT list_transform(v, lambda x: x * sign(v[list_position(sizes, list_max(sizes))])) AS v, l FROM done)"""
 
 
-ZT = "zt AS (SELECT fe.customer_sk, " + ", ".join(f"{_z(c)} AS z_{c}" for c in FEATS) + " FROM fe, st)"
+PCA = f"""corr_matrix AS (SELECT [{", ".join("[" + ", ".join(
+    f"COALESCE(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 0)" for b in FEATS) + "]" for a in FEATS)}] AS m FROM fe),
+{_axis("axis1", "corr_matrix")},
+rest_matrix AS (SELECT list_transform(range(1, {_N + 1}), lambda i: list_transform(range(1, {_N + 1}), lambda j: m[i][j] - l * v[i] * v[j])) AS m
+                FROM corr_matrix, axis1),
+{_axis("axis2", "rest_matrix")}"""
 
 
 def oracle(name, body, *extra):
@@ -37,6 +53,13 @@ def oracle(name, body, *extra):
 oracle("features", "SELECT customer_sk, " + ", ".join(D(c) + f" AS {c}" if c not in ("recency_days", "tenure_days")
                                                         else f"CAST({c} AS BIGINT) AS {c}" for c in FEATS) + " FROM fe", FE)
 oracle("standardize", "SELECT * FROM zt", FE, ST, ZT)
+_Z = "[" + ", ".join(f"z_{c}" for c in FEATS) + "]"
+oracle("pca_2d", f"""
+SELECT customer_sk, ROUND(list_dot_product({_Z}, axis1.v), 6) AS pc1, ROUND(list_dot_product({_Z}, axis2.v), 6) AS pc2
+FROM zt, axis1, axis2""", FE, ST, ZT, PCA)
+oracle("pca_variance", f"""
+SELECT 'pc1' AS component, ROUND(l / {_N}, 6) AS explained_variance FROM axis1
+UNION ALL SELECT 'pc2', ROUND(l / {_N}, 6) FROM axis2""", FE, PCA)
 oracle("cluster_distribution", f"""
 SELECT cluster_id, cluster_label, COUNT(*) AS customers,
        {D(rdiv('COUNT(*) * 100', '(SELECT COUNT(*) FROM lm)', 1))} AS pct_customers,

@@ -8,8 +8,7 @@ from marketlens.operators import segmentation as S
 
 
 def _brute_silhouette(x, lab):
-    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
-    ks = np.unique(lab)
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(-1)
     s = []
     for i in range(len(x)):
         own = lab == lab[i]
@@ -17,37 +16,53 @@ def _brute_silhouette(x, lab):
             s.append(0.0)
             continue
         a = d[i, own].sum() / (own.sum() - 1)
-        b = min(d[i, lab == k].mean() for k in ks if k != lab[i])
+        b = min(d[i, lab == k].mean() for k in np.unique(lab) if k != lab[i])
         s.append((b - a) / max(a, b))
     return float(np.mean(s))
 
 
-def test_silhouette_exact_matches_brute_force(spark):
+def _points(spark, x, lab):
+    return spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, lab))],
+                                 "customer_sk long, pc1 double, pc2 double, cluster_raw long")
+
+
+def test_silhouette_matches_brute_force(spark):
     rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(0, 1, (60, 2)), rng.normal(5, 1, (50, 2)), rng.normal((0, 6), 1, (40, 2))])
-    lab = np.repeat([0, 1, 2], [60, 50, 40])
-    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, lab))],
-                               "customer_sk long, pc1 double, pc2 double, cluster_raw long")
-    val, method = S.silhouette(df)
-    assert method == "exact"
-    assert abs(val - _brute_silhouette(x, lab)) < 1e-9
-    tiled, m2 = S.silhouette(df, exact_limit=16)
-    assert m2 == "exact-tiled-10"
-    assert abs(tiled - val) < 1e-9
-
-
-def test_silhouette_tiled_with_duplicates_and_singletons(spark):
-    rng = np.random.default_rng(11)
-    x = np.vstack([np.round(rng.normal(0, 1, (70, 2)), 1), np.round(rng.normal(4, 1, (50, 2)), 1),
-                   [[9.0, 9.0]]])                     # rounded: repeated points; last: a singleton cluster
-    lab = np.repeat([2, 5, 7], [70, 50, 1])
-    df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, lab))],
-                               "customer_sk long, pc1 double, pc2 double, cluster_raw long")
-    brute = _brute_silhouette(x, lab)
-    for limit in (1000, 7, 40):
-        val, method = S.silhouette(df, exact_limit=limit)
-        assert method.startswith("exact")
-        assert abs(val - brute) < 1e-9, (limit, method)
+    x = np.vstack([rng.normal(0, 1, (60, 2)), rng.normal(5, 1, (50, 2)), rng.normal((0, 6), 1, (40, 2)), [[9.0, 9.0]]])
+    lab = np.repeat([0, 1, 2, 7], [60, 50, 40, 1])                # the last: a cluster of one
+    assert abs(S.silhouette(_points(spark, x, lab)) - _brute_silhouette(x, lab)) < 1e-9
+    assert S.silhouette(_points(spark, x, np.zeros(len(x)))) == 0.0
+
+
+def test_pca_axes_match_numpy(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(0, 1, (200, 3))
+    x = np.round(np.c_[base, base[:, 0] * 2 + rng.normal(0, 0.2, 200), np.full(200, 5.0)], 2)
+    cols = ("a", "b", "c", "d", "e")
+    df = spark.createDataFrame([(i, *[D(str(v)) for v in r]) for i, r in enumerate(x)],
+                               "customer_sk long, " + ", ".join(f"{c} decimal(18,2)" for c in cols))
+    pts, var = S.pca_2d(df, cols)
+    got = pts.toPandas().sort_values("customer_sk")[["pc1", "pc2"]].to_numpy()
+    sd = x.std(0)
+    z = np.where(sd > 0, (x - x.mean(0)) / np.where(sd > 0, sd, 1), 0)
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    v = vt[:2].T * np.where(vt[:2].T[np.abs(vt[:2].T).argmax(0), [0, 1]] > 0, 1, -1)
+    assert np.allclose(got, z @ v, atol=1e-8)
+    assert np.allclose([r.explained_variance for r in var.orderBy("component").collect()], (s ** 2 / (s ** 2).sum())[:2])
+
+
+def test_moments_of_constant_and_close_values_do_not_cancel(spark):
+    from marketlens.functions.moments import correlations, moments
+    constants = ["0.1", "0.01", "0.07", "123456.78", "99999999.99", "3.33", "-7.77", "1e6", "0.3", "33.33", "66.67", "0.02", "1.1", "2.2", "-0.1"]
+    for v in constants:
+        df = spark.createDataFrame([(D(v), D(str(i))) for i in range(11)], "a decimal(18,2), b decimal(18,2)")
+        m = moments(df, ("a", "b"))
+        assert m.std(0) == 0.0 and correlations(m)[0][1] is None and m.correlation(1, 1) == 1.0
+    close = [D("90000000.00") + D(i) / 100 for i in range(10)]
+    df = spark.createDataFrame([(v, None if i == 3 else i) for i, v in enumerate(close)], "a decimal(18,2), b long")
+    m = moments(df, ("a", "b"))
+    assert abs(m.std(0) - np.std(np.arange(10) / 100)) < 1e-12 and abs(m.correlation(0, 1) - 1.0) < 1e-12
+    assert moments(df.limit(0), ("a", "b")).std(0) == 0.0
 
 
 def test_standardize_population_std(spark):
@@ -76,16 +91,13 @@ def test_kmeans_and_labels_properties(spark):
 
 
 def test_best_of_restarts_is_no_worse_than_any_seed(spark):
-    from marketlens.operators import kmeans as KM
     rng = np.random.default_rng(3)
     pts = np.vstack([rng.normal(c, 0.8, (50, 2)) for c in ((0, 0), (3, 0), (0, 3), (3, 3))])
-    df = spark.createDataFrame([(i + 2, float(a), float(b)) for i, (a, b) in enumerate(pts)],
-                               "customer_sk long, pc1 double, pc2 double")
-    runs = [KM.Run(i, 3, 42 + i) for i in range(6)]
-    fitted = KM.fit_many(df, runs)
-    best = KM.best_per_k(df, [3], n_init=6)[3]
-    assert best[1] == min(e for _, e in fitted.values())
-    # Inertia equals the squared distances to the final centres, recomputed by brute force.
-    c = best[0]
+    vectors = S._vectors(_points(spark, pts, np.zeros(len(pts))), ("pc1", "pc2")).persist()
+    model, cost = S.best_fits(vectors, [3], n_init=4)[3]
+    assert cost == min(S.best_fits(vectors, [3], n_init=1, seed0=42 + i)[3][1] for i in range(4))
+    c = np.array(model.clusterCenters())
     d2 = ((pts[:, None, :] - c[None, :, :]) ** 2).sum(-1).min(1).sum()
-    assert abs(d2 - best[1]) < 1e-6 * max(1.0, d2)
+    assert abs(d2 - cost) < 1e-6 * max(1.0, d2)
+    sweep = S.silhouette_sweep(_points(spark, pts, np.zeros(len(pts))), ks=(2, 4), n_init=2).collect()
+    assert {r.k: r.is_best for r in sweep} == {2: False, 4: True}
