@@ -26,7 +26,6 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,17 +175,15 @@ def pack(table: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROW
     shards = max(1, math.ceil(table.count() / shard_rows))
     cols = table.columns
 
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        seq, offset = best_fit(frame["length"].to_numpy(np.int64), capacity)
-        out = frame[cols].copy()
-        out["sequence_id"] = frame["shard"].to_numpy(np.int64) * (1 << 32) + seq
-        out["offset"] = offset
-        return out
+    def work(shard: pa.Table) -> pa.Table:
+        shard = shard.sort_by([(c, "ascending") for c in ("length", "id", "piece", "ids_crc32")])
+        seq, offset = best_fit(shard["length"].to_numpy(), capacity)
+        numbers = shard["shard"].to_numpy().astype(np.int64) * (1 << 32) + seq
+        return shard.select(cols).append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(offset))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema) + ", sequence_id long, offset long"
     shard = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
-    return table.withColumn("shard", shard).groupBy("shard").applyInPandas(work, schema)
+    return table.withColumn("shard", shard).groupBy("shard").applyInArrow(work, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY,
