@@ -3,10 +3,10 @@
 Only rows whose length is shared go on to the prefix hash, and only rows whose
 (length, prefix hash) is shared have their whole text hashed. Each step is a scan that
 counts with map-side aggregation, so a group holding a third of all rows costs one
-partial row per task, and hands the next a table of the shared values' slots (fixed size;
-it lets few others through, which the next step sorts out). Only texts of rows in a
-group cross the network, and only where the rows themselves are wanted. DataFrame
-functions only.
+partial row per task, and hands the next a bit table of the shared values (fixed size; it lets
+few others through, which the next step sorts out). A bit table is one array, built by an aggregate,
+written once and read as a scalar subquery: it is no part of the plan's text. Only texts of rows in a
+group cross the network, and only where the rows themselves are wanted. DataFrame functions only.
 
 Null text counts as empty. Rows repeating both text and id share one decision;
 ``deduplicate`` keeps one of them. A null id stays only if its whole group has null
@@ -22,7 +22,8 @@ from .common import materialize, sha256_text
 
 PREFIX_CHARS = 256
 SALTS = 16
-FILTER_SLOTS = 1 << 18
+FILTER_WORDS = 1 << 18
+FILTER_BITS = FILTER_WORDS * 64
 
 
 def normalized(text: Column) -> Column:
@@ -30,22 +31,27 @@ def normalized(text: Column) -> Column:
 
 
 def _slot(*cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_SLOTS))
+    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
 
 
 def _may_be_in(shared: DataFrame):
     """Column condition, true for every row whose columns are a row of ``shared`` (and for few others).
 
-    One byte for each of FILTER_SLOTS slots (256 KB) at any data size, held as a constant of the
-    plan. Where it fills up at very large sizes, more rows go on to the next step; the groups stay exact.
+    One bit for each of FILTER_BITS slots (2 MB of 64-bit words) at any data size. Where it fills up, beyond
+    some million shared values, more rows go on to the next step; the groups stay exact.
     """
-    table = bytearray(FILTER_SLOTS)
-    for r in shared.select(_slot(*[F.col(c) for c in shared.columns]).alias("s")).distinct().collect():
-        table[r["s"]] = 1
-    full = F.lit(bytes(table))
+    slot = _slot(*[F.col(c) for c in shared.columns])
+    words = shared.select(slot.alias("s")) \
+        .groupBy(F.shiftright("s", 6).cast("int").alias("word")) \
+        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("mask"))
+    every = shared.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("mask"))
+    table = words.unionByName(every).groupBy("word").agg(F.bit_or("mask").alias("mask")) \
+        .agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("bits"))
+    bits = materialize(table, "copy-filter").scalar()
 
     def test(*cols: Column) -> Column:
-        return F.substring(full, (_slot(*cols) + 1).cast("int"), F.lit(1)) == F.lit(b"\x01")
+        word = F.get(bits, F.shiftright(_slot(*cols), 6).cast("int"))
+        return F.call_function("shiftright", word, _slot(*cols).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
     return test
 
