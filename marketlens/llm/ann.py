@@ -13,10 +13,10 @@ so far: a nearer vector would then have shown up with that probability. Blocks'
 merge by exact score.
 
 Query blocks meet vector blocks as bounded pairs; neither side is broadcast. Vectors
-that are null, zero, or hold null or non-finite components take no part, nor do
-vectors whose length is not the table's commonest (ties: the longest). Rows that share a
-query's id are the query's own and are skipped; of repeated query ids one vector asks;
-repeated candidates each count. Scores are double inner products of the original
+that are null, zero, or hold null or non-finite components take no part; a query is answered
+among the vectors of its own length, which have blocks of their own. Rows that share a
+query's id are the query's own and are skipped; of repeated query ids the least vector asks
+(the shortest, then by components); repeated candidates each count. Scores are double inner products of the original
 vectors; ties go to the smaller id. An empty table gives no row.
 """
 
@@ -142,29 +142,34 @@ def search_block(ids: np.ndarray, vectors: np.ndarray, qids: np.ndarray, queries
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, v) of the vectors that take part."""
+    """(id, dim, v) of the vectors that take part; dim is their length."""
     v = F.col("v")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")) \
-        .where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0)).where(good)
-    top = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("dim")).first()
-    return rows.where(F.size("v") == (top["dim"] if top else 0))
+    return df.select(F.col(id_col).cast("long").alias("id"), F.size(vec_col).alias("dim"), F.col(vec_col).cast("array<double>").alias("v")) \
+        .where(F.col("id").isNotNull() & v.isNotNull() & (F.col("dim") > 0)).where(good)
 
 
 def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20,
             block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, confidence: float = CONFIDENCE) -> DataFrame:
     """Each query's ``k`` nearest found: query_id, rank (from 1), id, score. ``is_query`` is a condition on ``id``."""
     rows = materialize(usable(df, id_col, vec_col), "vectors")
-    queries = rows.where(is_query).dropDuplicates(["id"])
+    queries = rows.where(is_query).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("q")).select("id", "q.dim", "q.v")
     norm2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    stats = rows.agg(F.count("*"), F.max(norm2)).first()
-    blocks = max(1, math.ceil(stats[0] / block_rows))
-    query_blocks = max(1, math.ceil(queries.count() / query_rows))
-    longest = float(stats[1] or 0.0)
+    # One row per vector length: block counts and the largest norm.
+    stats = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max(norm2).alias("norm")).collect()
+    asked = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    longest = {r["dim"]: float(r["norm"]) for r in stats}
 
-    def deal(x: DataFrame, own: str, own_n: int, other: str, other_n: int) -> DataFrame:
-        return x.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_n)).cast("int")) \
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
+    def per_length(counts: dict[int, int], size: int) -> Column:
+        pairs = [F.lit(x) for d, n in counts.items() for x in (d, max(1, math.ceil(n / size)))]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("dim")), F.lit(1)) if pairs else F.lit(1)
+
+    blocks = per_length({r["dim"]: r["n"] for r in stats}, block_rows)
+    query_blocks = per_length(asked, query_rows)
+
+    def deal(x: DataFrame, own: str, own_n: Column, other: str, other_n: Column) -> DataFrame:
+        return x.withColumn(own, F.pmod(F.xxhash64("id"), own_n).cast("int")) \
+            .withColumn(other, F.explode(F.sequence(F.lit(0), other_n - 1)))
 
     def work(cand: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         if not len(cand) or not len(ask):
@@ -172,11 +177,11 @@ def nearest(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: st
         cand, ask = cand.sort_values("id"), ask.sort_values("id")
         qids = ask["id"].to_numpy(np.int64)
         q, i, s = search_block(cand["id"].to_numpy(np.int64), np.stack(cand["v"].to_list()), qids,
-                               np.stack(ask["v"].to_list()), longest, k, confidence)
+                               np.stack(ask["v"].to_list()), longest[int(ask["dim"].iloc[0])], k, confidence)
         return pd.DataFrame({"query_id": qids[q], "id": i, "score": s})
 
-    left = deal(rows, "b", blocks, "qb", query_blocks).groupBy("b", "qb")
-    right = deal(queries, "qb", query_blocks, "b", blocks).groupBy("b", "qb")
+    left = deal(rows, "b", blocks, "qb", query_blocks).groupBy("dim", "b", "qb")
+    right = deal(queries, "qb", query_blocks, "b", blocks).groupBy("dim", "b", "qb")
     found = left.cogroup(right).applyInPandas(work, "query_id long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

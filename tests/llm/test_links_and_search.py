@@ -107,3 +107,24 @@ def test_deduplicate_decides_by_text_not_by_id(spark):
     got = sorted(r.kept for r in simhash.deduplicate(df).collect())
     assert got in (["a", "c", "e", "f", "h", "i"], ["a", "c", "e", "g", "h", "i"])
     assert simhash.deduplicate(df.limit(0)).columns == df.columns
+
+
+def test_search_answers_every_length_and_repeats_itself(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=6 if i % 3 else 4).tolist(), "clash") for i in range(240)]
+    rows += [(20, [9.0] * 6, "clash"), (300, [0.0] * 6, "x"), (320, None, "x"), (340, [float("nan")] * 6, "x"), (None, [1.0] * 6, "x"), (360, [], "x")]
+    rows += [(500 + i, rows[40][1], "tie") for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").repartition(4)
+    ask = F.col("id") % 20 == 0
+    got = [[tuple(r) for r in ann.nearest(x, ask, k=5, block_rows=40, query_rows=4, confidence=0.999999).orderBy("query_id", "rank").collect()]
+           for x in (df, df.repartition(3, "vec_id"))]
+    assert got[0] == got[1]
+    good = [(i, np.array(v)) for i, v, _ in rows if i is not None and v and np.isfinite(v).all() and np.any(v)]
+    want = []
+    for q in sorted({i for i, _ in good if i % 20 == 0}):
+        own = min((v for i, v in good if i == q), key=lambda v: (len(v), v.tolist()))
+        near = sorted((-float(np.dot(v, own)), i) for i, v in good if i != q and len(v) == len(own))[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(near, 1)]
+    assert [(q, k, i) for q, k, i, _ in got[0]] == [(q, k, i) for q, k, i, _ in want]
+    assert np.allclose([x[3] for x in got[0]], [x[3] for x in want])
+    assert ann.nearest(df.limit(0), ask).count() == 0
