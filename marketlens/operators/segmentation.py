@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -31,6 +32,7 @@ FEATURES = ("cltv", "net_revenue", "aov", "monthly_frequency", "recency_days", "
 PROFILE_FEATURES = FEATURES + ("num_orders", "margin_pct")
 
 FITS_AT_ONCE = 8     # concurrent K-Means fits (Spark jobs of small aggregates)
+ROWS_PER_TASK = 100_000
 
 
 # -- S01 / S02 --------------------------------------------------------------------
@@ -78,6 +80,12 @@ def _vectors(points: DataFrame, cols) -> DataFrame:
     return VectorAssembler(inputCols=list(cols), outputCol="_features").transform(points)
 
 
+def _kept_vectors(points: DataFrame, cols) -> DataFrame:
+    """The vectors of the points, persisted for the many passes of the fits, in partitions of about ROWS_PER_TASK rows."""
+    tasks = math.ceil(points.count() / ROWS_PER_TASK)
+    return _vectors(points, cols).coalesce(max(1, tasks)).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def best_fits(vectors: DataFrame, ks, n_init: int = 10, max_iter: int = 300, tol: float = 1e-4,
               seed0: int = 42) -> dict[int, tuple[KMeansModel, float]]:
     """Per K the K-Means model of lowest inertia over ``n_init`` seeds, and that inertia."""
@@ -98,7 +106,7 @@ def best_fits(vectors: DataFrame, ks, n_init: int = 10, max_iter: int = 300, tol
 def kmeans(points: DataFrame, k: int = 3, n_init: int = 10, cols=("pc1", "pc2"), max_iter: int = 300,
            tol: float = 1e-4, seed0: int = 42) -> DataFrame:
     """Spark ML K-Means with ``n_init`` seeds; lowest inertia wins."""
-    vectors = _vectors(points, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _kept_vectors(points, cols)
     try:
         model, _ = best_fits(vectors, [k], n_init, max_iter, tol, seed0)[k]
     finally:
@@ -135,9 +143,9 @@ def silhouette(points: DataFrame, cluster: str = "cluster_raw", cols=("pc1", "pc
     return ClusteringEvaluator(predictionCol=cluster, featuresCol="_features").evaluate(_vectors(points, cols))
 
 
-def silhouette_sweep(points: DataFrame, ks=range(2, 9), n_init: int = 10, cols=("pc1", "pc2")) -> DataFrame:
+def silhouette_sweep(points: DataFrame, ks=range(2, 9), n_init: int = 4, cols=("pc1", "pc2")) -> DataFrame:
     """Mean silhouette of K-Means for each K; flags the best K."""
-    vectors = _vectors(points, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = _kept_vectors(points, cols)
     try:
         best = best_fits(vectors, list(ks), n_init)
 
