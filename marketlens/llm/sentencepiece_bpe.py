@@ -6,9 +6,11 @@ until no adjacent pair is a piece. Characters outside the vocabulary become byte
 
 A merge never crosses two adjacent characters that stand together in no piece, so a
 text is cut there first: before white space marks, at newlines and between letters and
-other characters, each only where the vocabulary proves it. Segments recur, so their
-result is remembered per worker (bounded). Every segment that is computed is checked,
-in batches, against the sentencepiece library; a difference raises.
+other characters, each only where the vocabulary proves it. The cuts of a group of texts
+come from one table of character classes; Arrow's dictionary encoding leaves every
+segment of the group once, and the results return to the texts by index. Segments recur
+between groups, so they are remembered per worker (bounded). Every segment that is
+computed is checked, in batches, against the sentencepiece library; a difference raises.
 
 Null and empty texts have no ids and decode to the empty string. Repeated rows encode
 alike; other columns pass through; very long texts are encoded whole.
@@ -18,8 +20,11 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +32,10 @@ from .textbatch import Remembered
 
 SPACE = "▁"
 CACHE_SEGMENTS = 300_000
-CACHE_WORDS = 100_000
-SLICE = 1 << 14
+GROUP_CHARS = 1 << 20
+ANY, LETTER, MARK, NEWLINE = range(4)
+BREAK = re.compile(f"[^ {SPACE}][ {SPACE}]")
+RESULT = pa.struct([("n", pa.int64()), ("ids", pa.string()), ("surface", pa.string())])
 _MODELS: dict[str, "Bpe"] = {}
 
 
@@ -52,66 +59,66 @@ class Bpe:
             raise ValueError("models with unused pieces are not supported")
         self.ids = {sp.id_to_piece(i): i for i in plain}
         self.piece = {i: p for p, i in self.ids.items()}
-        self.score = {p: sp.get_score(i) for p, i in self.ids.items()}
-        self.segments = re.compile(self._pattern())
+        # Equal scores share a rank, so that the leftmost pair goes first among them.
+        score = {p: sp.get_score(i) for p, i in self.ids.items()}
+        order = {x: r for r, x in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: order[x] for p, x in score.items()}
+        self.classes = self._classes()
         self.known = Remembered(CACHE_SEGMENTS)
-        self.words = Remembered(CACHE_WORDS)
 
-    def _pattern(self) -> str:
-        """Cut points no piece spans."""
+    def _classes(self) -> np.ndarray | None:
+        """Class of every character: no piece spans two classes, but marks lead pieces. None: no cut is proven."""
         inner = [p.lstrip(SPACE) for p in self.ids]
         if any(SPACE in p for p in inner):
-            return "(?s).+"
-        newline = any("\n" in p and len(p) > 1 for p in self.ids)
+            return None
         pairs = {p[i:i + 2] for p in inner for i in range(len(p) - 1)}
-        letters = {c for p in inner for c in p if re.match(r"[^\W\d_]", c)}
-        # Numerals such as superscripts, which the expression takes for letters, count as others.
-        odd = {c for c in letters if not c.isalpha()}
-        letters -= odd
-        mixed = any((a in letters) != (b in letters) for a, b in pairs)
-        parts = [] if newline else ["\n"]
-        rest = f"[^{SPACE}" + ("" if newline else "\n") + "]"
-        if not mixed:  # letters and other characters never share a piece
-            letter = f"(?![{SPACE}{re.escape(''.join(sorted(odd)))}])[^\\W\\d_]"
-            parts += [f"{SPACE}*(?:{letter})+"]
-            rest = f"(?:(?!{letter}){rest})"
-        return "|".join([*parts, f"{SPACE}*{rest}+", f"{SPACE}+", "(?s:.)"])
+        chars = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        letters = {c for c in re.findall(r"[^\W\d_]", chars) if c.isalpha()}
+        table = np.full(0x110000, ANY, np.uint8)
+        if not any((a in letters) != (b in letters) for a, b in pairs):
+            table[[ord(c) for c in letters]] = LETTER
+        if not any("\n" in p and len(p) > 1 for p in self.ids):
+            table[ord("\n")] = NEWLINE
+        table[[ord(" "), ord(SPACE)]] = MARK
+        return table
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by the score-ordered agenda."""
-        whole = self.ids.get(segment)
-        if whole is not None and len(segment) == 1:
-            return [whole]
-        sym: list[str | None] = list(segment)
-        nxt = list(range(1, len(sym) + 1))
-        prv = list(range(-1, len(sym) - 1))
-        agenda: list[tuple[float, int, str]] = []
-        score = self.score
-        for i in range(len(sym) - 1):
-            pair = segment[i:i + 2]
-            if pair in score:
-                agenda.append((-score[pair], i, pair))
+        n = len(segment)
+        if n == 1 and segment in self.ids:
+            return [self.ids[segment]]
+        sym: list[str] = list(segment)
+        nxt = list(range(1, n + 1))
+        prv = list(range(-1, n - 1))
+        rank = self.rank.get
+        # An entry is the rank of a pair and its place in one number; it is stale once the pair there has another rank.
+        agenda = [r << 32 | i for i in range(n - 1) if (r := rank(segment[i:i + 2])) is not None]
         heapq.heapify(agenda)
-        n = len(sym)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, pair = heapq.heappop(agenda)
+            e = pop(agenda)
+            i = e & 0xFFFFFFFF
             j = nxt[i]
-            if sym[i] is None or j >= n or sym[i] + sym[j] != pair:  # type: ignore[operator]
+            if j >= n or not sym[i]:
                 continue
-            sym[i], sym[j] = pair, None
-            nxt[i] = nxt[j]
-            if nxt[i] < n:
-                prv[nxt[i]] = i
-                right = pair + sym[nxt[i]]  # type: ignore[operator]
-                if right in score:
-                    heapq.heappush(agenda, (-score[right], i, right))
-            if prv[i] >= 0:
-                left = sym[prv[i]] + pair  # type: ignore[operator]
-                if left in score:
-                    heapq.heappush(agenda, (-score[left], prv[i], left))
+            pair = sym[i] + sym[j]
+            if rank(pair) != e >> 32:
+                continue
+            sym[i], sym[j] = pair, ""
+            j = nxt[i] = nxt[j]
+            if j < n:
+                prv[j] = i
+                r = rank(pair + sym[j])
+                if r is not None:
+                    push(agenda, r << 32 | i)
+            h = prv[i]
+            if h >= 0:
+                r = rank(sym[h] + pair)
+                if r is not None:
+                    push(agenda, r << 32 | h)
         out = []
         for s in sym:
-            if s is not None:
+            if s:
                 i = self.ids.get(s)
                 if i is None:
                     out += [self.bytes[b] for b in s.encode()]
@@ -124,6 +131,8 @@ class Bpe:
         return self.surface(ids).removeprefix(" ")
 
     def surface(self, ids: list[int]) -> str:
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.piece[i] for i in ids]).replace(SPACE, " ")
         out = bytearray()
         for i in ids:
             b = self.byte_of.get(i)
@@ -134,21 +143,11 @@ class Bpe:
         return out.decode("utf-8", "replace").replace(SPACE, " ")
 
     def _learn(self, segments: list[str]) -> list[tuple[int, str, str]]:
+        segments = [s.replace(" ", SPACE) for s in segments]
         found = [self.merge(s) for s in segments]
         self._check(segments, found)
         return [(len(ids), ",".join(map(str, ids)), self.surface(ids)) for ids in found]
 
-    def _learn_words(self, words: list[str]) -> list[tuple[int, str, str]]:
-        """Results of words that stand after one space."""
-        split = [self.segments.findall(SPACE + w) for w in words]
-        parts = self.known.get_all([s for x in split for s in x], self._learn)
-        out, at = [], 0
-        for x in split:
-            n, ids, surface = zip(*parts[at:at + len(x)], strict=True)
-            out.append((sum(n), ",".join(ids), "".join(surface)))
-            at += len(x)
-        return out
-
     def _check(self, segments: list[str], found: list[list[int]]) -> None:
         """Compare with the library, which puts a space mark before every text: only segments that carry one."""
         own = [(s[1:].replace(SPACE, " "), ids) for s, ids in zip(segments, found, strict=True) if s[0] == SPACE and len(s) > 1]
@@ -164,19 +163,72 @@ class Bpe:
                 if theirs[theirs.index(gap) + 1:] != ids:
                     raise ValueError(f"encoding of {t!r} differs from the library")
 
-    def encode_parts(self, text: str) -> list[tuple[int, str, str]]:
-        """(number of ids, ids joined by commas, surface) of the text's segments."""
-        if not text:
-            return []
-        # Between single spaces every word stands for itself; else runs of space marks belong together.
-        single = "  " not in text and SPACE not in text and text[0] != " " and text[-1] != " "
-        items = text.split(" ") if single else self.segments.findall(SPACE + text.replace(" ", SPACE))
-        known, learn = (self.words, self._learn_words) if single else (self.known, self._learn)
-        # A slice at a time, so that one long text fits the cache.
-        return [x for a in range(0, len(items), SLICE) for x in known.get_all(items[a:a + SLICE], learn)]
+    def _segments(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Segments of not empty texts in order, and the number of the first segment of each text."""
+        data = "".join(texts)
+        chars = np.frombuffer(data.encode("utf-32-le"), np.uint32)
+        starts = np.cumsum([0, *map(len, texts)])
+        cut = np.zeros(len(chars) + 1, bool)
+        if self.classes is not None:
+            c = self.classes[chars]
+            # A class ends where another begins, but marks go with what follows; newlines stand alone.
+            cut[1:-1] = (c[1:] != c[:-1]) & ((c[:-1] != MARK) | (c[1:] == NEWLINE)) | (c[1:] == NEWLINE)
+        cut[starts] = True
+        at = np.zeros(len(chars) + 1, np.int64)
+        np.cumsum(1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000), out=at[1:])
+        bounds = np.flatnonzero(cut)
+        parts = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(at[bounds]), pa.py_buffer(data.encode())])
+        return parts, np.searchsorted(bounds, starts)
+
+    def _results(self, texts: list[str]) -> pa.StructArray:
+        """Number of ids, ids joined by commas and surface of texts that begin with their space mark."""
+        if not texts:
+            return pa.array([], RESULT)
+        parts, first = self._segments(texts)
+        coded = parts.dictionary_encode()
+        n, ids, surface = zip(*self.known.get_all(coded.dictionary.to_pylist(), self._learn), strict=True)
+        lists = pa.array(first, pa.int32())
+        joined = [pc.binary_join(pa.ListArray.from_arrays(lists, pa.array(x, pa.string()).take(coded.indices)), sep)
+                  for x, sep in ((ids, ","), (surface, ""))]
+        counts = np.add.reduceat(np.array(n, np.int64)[coded.indices.to_numpy()], first[:-1])
+        return pa.StructArray.from_arrays([pa.array(counts), *joined], fields=list(RESULT))
+
+    def _cuts(self, text: str) -> Iterator[str]:
+        """A long text in pieces of about ``GROUP_CHARS``, each begun by a mark after another character."""
+        while self.classes is not None and (m := BREAK.search(text, GROUP_CHARS)):
+            yield text[:m.end() - 1]
+            text = text[m.end() - 1:]
+        yield text
+
+    def round_trip(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], list[str]]:
+        """Number of ids, ids joined by commas and decoded text of each text, groups of about ``GROUP_CHARS`` at a time."""
+        n, ids, surface = np.zeros(len(texts), np.int64), [""] * len(texts), [""] * len(texts)
+        group: list[int] = []
+        size = 0
+
+        def end_group() -> None:
+            found = self._results([" " + texts[k] for k in group]).flatten()  # type: ignore[operator]
+            n[group] = found[0].to_numpy()
+            for k, i, s in zip(group, found[1].to_pylist(), found[2].to_pylist(), strict=True):
+                ids[k], surface[k] = i, s
+
+        for k, t in enumerate(texts):
+            if t and len(t) > GROUP_CHARS:
+                found = [self._results([x]).to_pylist()[0] for x in self._cuts(" " + t)]
+                n[k] = sum(x["n"] for x in found)
+                ids[k], surface[k] = ",".join(x["ids"] for x in found), "".join(x["surface"] for x in found)
+            elif t:
+                group.append(k)
+                size += len(t)
+                if size > GROUP_CHARS:
+                    end_group()
+                    group, size = [], 0
+        end_group()
+        return n, ids, [s.removeprefix(" ") for s in surface]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for p in self.encode_parts(text) for i in p[1].split(",")]
+        ids = self.round_trip([text])[1][0]
+        return [int(i) for i in ids.split(",")] if ids else []
 
 
 def model(path: str) -> Bpe:
@@ -210,13 +262,8 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     @F.arrow_udf("struct<n_tokens: long, ids_text: binary, decoded: string>")
     def work(text: pa.Array) -> pa.Array:
         m = model(model_path)
-        n, ids, decoded = [], [], []
-        for t in text:
-            parts = m.encode_parts(t.as_py() or "")
-            n.append(sum([p[0] for p in parts]))
-            ids.append(",".join([p[1] for p in parts]).encode())
-            decoded.append("".join([p[2] for p in parts]).removeprefix(" "))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())],
+        n, ids, decoded = m.round_trip(text.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(n), pa.array(ids, pa.string()).cast(pa.binary()), pa.array(decoded, pa.string())],
                                           ["n_tokens", "ids_text", "decoded"])
 
     return docs.select(F.col(id_col), work(F.col(text_col)).alias("e")).select(id_col, "e.n_tokens", "e.ids_text", "e.decoded")
