@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .textbatch import Remembered
 
 SPACE = "▁"
-CACHE_SEGMENTS = 300_000
+CACHE_SEGMENTS = 200_000
 GROUP_CHARS = 1 << 20
 ANY, LETTER, MARK, NEWLINE = range(4)
 BREAK = re.compile(f"[^ {SPACE}][ {SPACE}]")
