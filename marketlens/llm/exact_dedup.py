@@ -3,10 +3,12 @@
 Only rows whose length is shared go on to the prefix hash, and only rows whose
 (length, prefix hash) is shared have their whole text hashed. Each step is a scan that
 counts with map-side aggregation, so a group holding a third of all rows costs one
-partial row per task, and hands the next a bit table of the shared values (fixed size; it lets
+partial row per task, and hands the next a bit table of the shared values (of bounded size; it lets
 few others through, which the next step sorts out). A bit table is one array, built by an aggregate,
-written once and read as a scalar subquery: it is no part of the plan's text. Only texts of rows in a
-group cross the network, and only where the rows themselves are wanted. DataFrame functions only.
+written once and read as a scalar subquery: it is no part of the plan's text, but every use of it is
+part of the tasks, so ``deduplicate`` writes its rows with their digests instead of asking the tables in
+every branch. Only texts of rows in a group cross the network, and only where the rows themselves are
+wanted. DataFrame functions only.
 
 Null text counts as empty. Rows repeating both text and id share one decision;
 ``deduplicate`` keeps one of them. A null id stays only if its whole group has null
@@ -23,35 +25,36 @@ from .common import materialize, sha256_text
 PREFIX_CHARS = 256
 SALTS = 16
 FILTER_WORDS = 1 << 18
-FILTER_BITS = FILTER_WORDS * 64
 
 
 def normalized(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
-def _slot(*cols: Column) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
+def _slot(words: int, *cols: Column) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(words * 64))
 
 
 def _may_be_in(shared: DataFrame):
     """Column condition, true for every row whose columns are a row of ``shared`` (and for few others).
 
-    One bit for each of FILTER_BITS slots (2 MB of 64-bit words) at any data size. Where it fills up, beyond
+    One 64-bit word for each shared value, FILTER_WORDS words (2 MB) at most. Where that fills up, beyond
     some million shared values, more rows go on to the next step; the groups stay exact.
     """
-    slot = _slot(*[F.col(c) for c in shared.columns])
+    shared = materialize(shared, "shared-values")
+    n_words = max(1, min(FILTER_WORDS, shared.count()))
+    slot = _slot(n_words, *[F.col(c) for c in shared.columns])
     words = shared.select(slot.alias("s")) \
         .groupBy(F.shiftright("s", 6).cast("int").alias("word")) \
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(F.lit(63)).cast("int"))).alias("mask"))
-    every = shared.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("mask"))
+    every = shared.sparkSession.range(n_words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("mask"))
     table = words.unionByName(every).groupBy("word").agg(F.bit_or("mask").alias("mask")) \
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("bits"))
     bits = materialize(table, "copy-filter").scalar()
 
     def test(*cols: Column) -> Column:
-        word = F.get(bits, F.shiftright(_slot(*cols), 6).cast("int"))
-        return F.call_function("shiftright", word, _slot(*cols).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        word = F.get(bits, F.shiftright(_slot(n_words, *cols), 6).cast("int"))
+        return F.call_function("shiftright", word, _slot(n_words, *cols).bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
     return test
 
@@ -67,9 +70,9 @@ def _suspects(docs: DataFrame, text_col: str) -> Column:
     return shares_length & _may_be_in(two)(length, prefix)
 
 
-def _groups(docs: DataFrame, suspect: Column, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(suspect).select(F.col(id_col).alias("id"), sha256_text(normalized(F.col(text_col))).alias("digest")) \
-        .groupBy("digest", "id").agg(F.count("*").alias("c")) \
+def _groups(suspects: DataFrame) -> DataFrame:
+    """Groups of two or more equal digests among ``suspects`` (id, digest)."""
+    return suspects.groupBy("digest", "id").agg(F.count("*").alias("c")) \
         .groupBy("digest") \
         .agg(F.min("id").alias("keep_id"), F.sum("c").alias("group_size"),
              F.coalesce(F.min_by(F.col("c"), F.col("id")), F.max("c")).alias("keep_rows")) \
@@ -81,7 +84,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``keep_rows`` counts the rows that carry the kept id.
     """
-    return _groups(docs, _suspects(docs, text_col), id_col, text_col)
+    return _groups(docs.where(_suspects(docs, text_col))
+                   .select(F.col(id_col).alias("id"), sha256_text(normalized(F.col(text_col))).alias("digest")))
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,14 +103,13 @@ def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns kept.
 
-    The groups are written once; only rows that may be in one cross the network to meet them.
-    The second branch runs only where rows repeat both id and text.
+    The rows are written once with the digests of those that may be in a group, and the groups are written once; only
+    rows that may be in one cross the network to meet them. The second branch runs only where rows repeat both id and text.
     """
-    suspect = _suspects(docs, text_col)
-    groups = materialize(_groups(docs, suspect, id_col, text_col), "copy-groups")
     digest = sha256_text(normalized(F.col(text_col)))
     # A null digest stands for a row that no other can equal; its text is not hashed whole.
-    marked = docs.withColumn("__d", F.when(suspect, digest))
+    marked = materialize(docs.withColumn("__d", F.when(_suspects(docs, text_col), digest)), "copy-digests")
+    groups = materialize(_groups(marked.where("__d is not null").select(F.col(id_col).alias("id"), F.col("__d").alias("digest"))), "copy-groups")
     grouped = F.coalesce(_may_be_in(groups.select("digest"))(F.col("__d")) & F.col("__d").isNotNull(), F.lit(False))
     salted = groups.select(
         F.col("digest").alias("__dg"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"),

@@ -164,3 +164,12 @@ def test_exact_dedup_plan_is_small_and_keeps_unlike_texts(spark):
     for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         kept.setdefault(t, i)
     assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted((i, t) for t, i in kept.items())
+
+
+def test_exact_dedup_decides_each_row_once(spark):
+    df = spark.createDataFrame([(i, f"text {i % 7}") for i in range(40)], "doc_id long, text string")
+    out = exact_dedup.deduplicate(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Texts are normalised and hashed before the branches; the tables of the first steps are no part of them.
+    assert "regexp_replace" not in plan and "sha2" not in plan, plan
+    assert sorted(r.doc_id for r in out.collect()) == list(range(7))
