@@ -7,12 +7,14 @@ from decimal import Decimal as D
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.operators import checks as V
 from marketlens.operators import customers as C
 from marketlens.operators import reports as B
 from marketlens.operators.warehouse import Warehouse
 from marketlens.plans.context import Context
+from marketlens.plans.pipeline import report_bundle
 from marketlens.session import own_session
 from marketlens.sources.binding import ROLES, Sources
 from marketlens.sources.profile import profile_of
@@ -126,3 +128,19 @@ def test_zone_groupings_share_one_aggregate(spark):
     got = {(r.grouping, r.area_type, r.orientation): (r.customers, r.mean_cltv) for r in out.collect()}
     assert got[("area", "A", None)] == (2, 1.5) and got[("area", None, None)] == (1, 6.0)
     assert got[("orientation", None, "South")] == (1, 2.0) and got[("area_x_orientation", "A", "North")] == (1, 1.0)
+
+
+def test_bundle_sections_leave_no_shuffle_files(spark, tmp_path):
+    s = own_session(spark)
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return sum(f.startswith("shuffle_") and f.endswith(".data") for d in dirs for _, _, names in os.walk(d) for f in names)
+
+    def section(k):
+        return lambda ctx: ctx.spark.range(0, 2000, 1, 4).groupBy((F.col("id") % k).alias("g")).count()
+
+    before = files()
+    out = report_bundle(SimpleNamespace(spark=s), str(tmp_path / "bundle"), {f"s{k}": section(k) for k in range(2, 8)})
+    assert out.groupBy("section").count().count() == 6 and out.count() == sum(range(2, 8))
+    assert files() - before <= 8  # of the two reads above; a job of all sections left those of six
