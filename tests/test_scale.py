@@ -130,6 +130,16 @@ def test_zone_groupings_share_one_aggregate(spark):
     assert got[("orientation", None, "South")] == (1, 2.0) and got[("area_x_orientation", "A", "North")] == (1, 1.0)
 
 
+def test_the_mart_alone_does_not_keep_the_fact(spark):
+    c = Context(own_session(spark), SF001, persist=True)
+    rows = C.return_rate_anomalies(c.mart).count()
+    assert "fact_sales" not in c.wh.__dict__
+    both = Context(own_session(spark), SF001, persist=True).with_fact()
+    assert both.wh.fact_sales.storageLevel.useMemory
+    assert C.return_rate_anomalies(both.mart).count() == rows
+    assert both.mart.exceptAll(c.mart).count() == c.mart.exceptAll(both.mart).count() == 0
+
+
 def test_bundle_sections_leave_no_shuffle_files(spark, tmp_path):
     s = own_session(spark)
     dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
