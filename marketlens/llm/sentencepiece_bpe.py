@@ -3,6 +3,8 @@
 Encoding keeps an agenda of adjacent symbol pairs ordered by the merged piece's score
 (ties: leftmost first); the best pair is merged, its new neighbours enter the agenda,
 until no adjacent pair is a piece. Characters outside the vocabulary become byte pieces.
+Segments of up to ``ROW_CHARS`` known characters have their agendas in the rows of an array: every
+turn merges the best pair of each row.
 
 A merge never crosses two adjacent characters that stand together in no piece, so a
 text is cut there first: before white space marks, at newlines and between letters and
@@ -33,6 +35,8 @@ from .textbatch import Remembered
 SPACE = "▁"
 CACHE_SEGMENTS = 200_000
 GROUP_CHARS = 1 << 20
+ROW_CHARS = 48
+_NO_PAIR = np.int32(2**31 - 1)
 ANY, LETTER, MARK, NEWLINE = range(4)
 BREAK = re.compile(f"[^ {SPACE}][ {SPACE}]")
 RESULT = pa.struct([("n", pa.int64()), ("ids", pa.string()), ("surface", pa.string())])
@@ -63,6 +67,7 @@ class Bpe:
         score = {p: sp.get_score(i) for p, i in self.ids.items()}
         order = {x: r for r, x in enumerate(sorted(set(score.values()), reverse=True))}
         self.rank = {p: order[x] for p, x in score.items()}
+        self._number_symbols()
         self.classes = self._classes()
         self.known = Remembered(CACHE_SEGMENTS)
 
@@ -82,6 +87,88 @@ class Bpe:
         table[[ord(" "), ord(SPACE)]] = MARK
         return table
 
+    def _number_symbols(self) -> None:
+        """Numbers of the pieces (0 for whatever else), and by two of them the rank and number of the piece they make."""
+        names = ["", *self.ids]
+        number = {p: i for i, p in enumerate(names)}
+        self.symbol_ids = np.array([-1, *self.ids.values()], np.int64)
+        self.id_texts = pa.array(["", *map(str, self.ids.values())])
+        self.surfaces = pa.array([p.replace(SPACE, " ") for p in names])
+        self.char_symbols = np.zeros(0x110000, np.int32)
+        for p, i in number.items():
+            if len(p) == 1:
+                self.char_symbols[ord(p)] = i
+        # A piece with a character that is no piece is left to ``merge``, with all segments that hold such characters.
+        pairs = sorted((number[p[:k]] * len(names) + number[p[k:]], self.rank[p], i) for p, i in number.items()
+                       for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.pair_keys, ranks, made = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.pair_ranks, self.pair_made = ranks.astype(np.int32), made.astype(np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and number of the piece that each two symbols make; _NO_PAIR where they make none."""
+        key = left.astype(np.int64) * len(self.symbol_ids) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NO_PAIR), self.pair_made[at]
+
+    def _merge_rows(self, sym: np.ndarray) -> np.ndarray:
+        """Merged symbols of segments, one a row, padded with 0 (the last column at least); -1 where a symbol went into the one before."""
+        n, width = sym.shape
+        rank, made = self._pairs(sym[:, :-1], sym[:, 1:])
+        rank, made = (np.hstack([x, np.full((n, 1), _NO_PAIR)]).ravel() for x in (rank, made))
+        sym = sym.ravel()
+        nxt = np.tile(np.arange(1, width + 1), n)
+        prv = np.tile(np.arange(-1, width - 1), n)
+        first = np.arange(n) * width
+        while len(first):
+            best = rank.reshape(n, width)[first // width].argmin(axis=1)
+            i = first + best
+            some = rank[i] != _NO_PAIR
+            first, i, best = first[some], i[some], best[some]
+            j = first + nxt[i]
+            k = nxt[j]
+            sym[i] = made[i]
+            sym[j] = -1
+            rank[j] = _NO_PAIR
+            nxt[i] = k
+            prv[first + k] = best
+            rank[i], made[i] = self._pairs(sym[i], sym[first + k])
+            h = prv[i]
+            led = h >= 0
+            h = first[led] + h[led]
+            rank[h], made[h] = self._pairs(sym[h], sym[i[led]])
+        return sym.reshape(n, width)
+
+    def _merge_all(self, segments: list[str]) -> tuple[list[list[int]], list[str], list[str]]:
+        """Ids of each segment, the same joined by commas, and their surface."""
+        chars = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        start = np.cumsum(size) - size
+        symbols = self.char_symbols[chars]
+        plain = (np.minimum.reduceat(symbols, start) > 0) & (size <= ROW_CHARS)
+        ids: list[list[int]] = [[]] * len(segments)
+        joined, surface = [""] * len(segments), [""] * len(segments)
+        for x in np.flatnonzero(~plain).tolist():
+            ids[x] = self.merge(segments[x])
+            joined[x], surface[x] = ",".join(map(str, ids[x])), self.surface(ids[x])
+        rows = np.flatnonzero(plain)
+        rows = rows[np.argsort(size[rows], kind="stable")]
+        for a in range(0, len(rows), 8192):
+            some = rows[a:a + 8192]
+            place = np.arange(size[some[-1]] + 1)
+            inside = place < size[some, None]
+            sym = np.zeros(inside.shape, np.int32)
+            sym[inside] = symbols[(start[some, None] + place)[inside]]
+            sym = self._merge_rows(sym)
+            left = sym > 0
+            flat, ends = sym[left], np.cumsum(np.concatenate(([0], left.sum(axis=1))))
+            lists = pa.array(ends, pa.int32())
+            own, bounds = self.symbol_ids[flat].tolist(), ends.tolist()
+            texts, faces = (pc.binary_join(pa.ListArray.from_arrays(lists, names.take(pa.array(flat))), sep).to_pylist()
+                            for names, sep in ((self.id_texts, ","), (self.surfaces, "")))
+            for x, b, e, t, f in zip(some.tolist(), bounds, bounds[1:], texts, faces, strict=False):
+                ids[x], joined[x], surface[x] = own[b:e], t, f
+        return ids, joined, surface
+
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by the score-ordered agenda."""
         n = len(segment)
@@ -144,9 +231,9 @@ class Bpe:
 
     def _learn(self, segments: list[str]) -> list[tuple[int, str, str]]:
         segments = [s.replace(" ", SPACE) for s in segments]
-        found = [self.merge(s) for s in segments]
+        found, joined, surface = self._merge_all(segments)
         self._check(segments, found)
-        return [(len(ids), ",".join(map(str, ids)), self.surface(ids)) for ids in found]
+        return list(zip(map(len, found), joined, surface, strict=True))
 
     def _check(self, segments: list[str], found: list[list[int]]) -> None:
         """Compare with the library, which puts a space mark before every text: only segments that carry one."""

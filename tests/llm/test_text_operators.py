@@ -40,6 +40,19 @@ def test_sentencepiece_groups_of_texts_match_the_library(monkeypatch):
     assert m.round_trip([])[1] == [] and m.round_trip([None, ""])[1] == ["", ""]
 
 
+def test_sentencepiece_segments_merge_together(monkeypatch):
+    m = sentencepiece_bpe.Bpe(public_tokenizers.path("piece_bpe_32k.model"))
+    segments = sorted({p for t in EDGE + fuzz(400, 5) if t for p in m._segments([" " + t])[0].to_pylist()})
+    segments = [s.replace(" ", "▁") for s in segments]
+    by_agenda = [m.merge(s) for s in segments]
+    rows = sum(len(s) <= sentencepiece_bpe.ROW_CHARS and (m.char_symbols[[ord(c) for c in s]] > 0).all() for s in segments)
+    calls, merge = [], m.merge
+    monkeypatch.setattr(m, "merge", lambda s: calls.append(s) or merge(s))
+    ids, joined, surface = m._merge_all(segments)
+    assert ids == by_agenda and rows > 100 and len(calls) == len(segments) - rows
+    assert joined == [",".join(map(str, x)) for x in ids] and surface == [m.surface(x) for x in ids]
+
+
 def test_word_cache_matches_the_library():
     c = packing.WordCache(public_tokenizers.path("word_bpe_49k.json"))
     assert c.plain
