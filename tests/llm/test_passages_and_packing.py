@@ -5,7 +5,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.llm import exact_dedup, packing, substring_dedup
 from marketlens.llm import substring_dedup as S
@@ -173,3 +175,43 @@ def test_exact_dedup_decides_each_row_once(spark):
     # Texts are normalised and hashed before the branches; the tables of the first steps are no part of them.
     assert "regexp_replace" not in plan and "sha2" not in plan, plan
     assert sorted(r.doc_id for r in out.collect()) == list(range(7))
+
+
+def test_signatures_pass_every_pair_that_holds_a_span():
+    rng = random.Random(8)
+    line = [f"c{i}" for i in range(44)]
+    texts = []
+    for i in range(60):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(40, 500))]
+        if i % 3 == 0 and len(w) > 60:
+            w[10:10] = line[:rng.randrange(30, 45)]
+        if texts and i % 2:
+            other = rng.choice(texts).split()
+            part = other[:rng.randrange(40, 200)]
+            w[5:5] = [x if rng.random() > 0.03 else "edit" for x in part]
+        texts.append(" ".join(w[:561]))
+    sigs = S._signatures(pa.array(texts))
+    words = [S.tb.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), whitespace=True)[0] for t in texts]
+    pairs = [(i, j) for i in range(60) for j in range(60) if i != j]
+    a, b = (pa.array(x, pa.int64()) for x in zip(*pairs))
+    batch = pa.RecordBatch.from_arrays([a, a, b, b, sigs.take(a), sigs.take(b)], ["id", "block", "rep", "rep_block", "sig", "rep_sig"])
+    kept = {(r["id"], r["rep"]) for out in S._may_repeat(iter([batch])) for r in out.to_pylist()}
+    held = {p for p in pairs if S.common_spans(words[p[0]], words[p[1]])}
+    assert held and held <= kept and len(kept) < len(pairs) // 4
+
+
+def test_shuffle_files_of_written_tables_go_and_workers_get_small_batches(spark):
+    from marketlens.llm import common
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before, rows = spark.conf.get(common.SHUFFLE_CLEANUP), spark.conf.get(common.ARROW_KEY)
+    held = tracker.shuffleStatuses().size()
+    out = common.materialize(spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "cleanup-test")
+    assert out.count() == 7 and tracker.shuffleStatuses().size() <= held + 1  # that of the count
+    assert spark.conf.get(common.SHUFFLE_CLEANUP) == before
+    try:
+        for given, kept in (("10000", "1000"), ("50", "50"), ("0", "1000")):
+            spark.conf.set(common.ARROW_KEY, given)
+            common.workers_find_package(spark)
+            assert spark.conf.get(common.ARROW_KEY) == kept
+    finally:
+        spark.conf.set(common.ARROW_KEY, rows)
