@@ -215,3 +215,60 @@ def test_shuffle_files_of_written_tables_go_and_workers_get_small_batches(spark)
             assert spark.conf.get(common.ARROW_KEY) == kept
     finally:
         spark.conf.set(common.ARROW_KEY, rows)
+
+
+def test_a_word_said_over_and_over_is_one_passage():
+    rng = random.Random(31)
+
+    def hashes(w):
+        t = " ".join(w)
+        return S.tb.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), whitespace=True)[0]
+
+    def own(n):
+        return [f"q{rng.randrange(10**6)}" for _ in range(n)]
+
+    for la, lb, unit in ((120, 90, ["the"]), (300, 60, ["the"]), (60, 300, ["so"]), (120, 100, ["la", "li", "lo"])):
+        a, b = own(20) + (unit * la)[:la] + own(30), own(50) + (unit * lb)[:lb] + own(10)
+        cut = np.zeros(len(a), bool)
+        for s, e, rs, re in S.common_spans(hashes(a), hashes(b)):
+            cut[s:e] = True
+            assert 50 <= rs < re <= 50 + lb
+        assert all(e - s < 50 for s, e in S._runs(~cut[20:20 + la])), (la, lb, S._runs(cut))  # no paragraph of the run is left
+        assert not cut[:20].any() and not cut[20 + la:].any()
+    assert S.common_spans(hashes(own(20) + ["the"] * 60), hashes(own(20) + ["the"] * 30 + own(40))) == []
+
+
+def test_repeats_of_one_word_leave_with_the_first_representative(spark, pairs_compared):
+    rnd = random.Random(32)
+    rows = [(i, f"{words(rnd, 40)} {'the ' * rnd.randint(60, 140)}{words(rnd, 40)}") for i in range(60)]
+    got = {r.doc_id: r for r in substring_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), report=True).collect()}
+    assert got[0].text == rows[0][1] and all(got[i].removed_words >= 56 and got[i].component_id == 0 for i in range(1, 60))
+    assert sum(pairs_compared) < 60 * 2
+
+
+def test_only_paragraphs_whose_shingles_two_blocks_hold_are_compared_further(spark, pairs_compared):
+    rnd = random.Random(33)
+    lines = [words(rnd, 20) for _ in range(6)]
+    rows = [(i, " ".join(f"{words(rnd, 60)} {line}" for line in rnd.sample(lines, 3)) + " " + words(rnd, 60)) for i in range(60)]
+    assert sorted(map(tuple, substring_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == rows
+    assert sum(pairs_compared[1:]) == 0  # nothing is left after the first representatives
+
+
+def test_spent_tables_are_deleted(spark, monkeypatch):
+    from pathlib import Path
+
+    from marketlens.llm import common
+    folders, real = [], S.materialize
+
+    def spy(df, name):
+        out = real(df, name)
+        folders.append((name, Path(common._FOLDERS[out].removeprefix("file:"))))
+        return out
+
+    monkeypatch.setattr(S, "materialize", spy)
+    rnd = random.Random(34)
+    passage = words(rnd, 80)
+    rows = [(i, f"{words(rnd, 30)} {passage} {words(rnd, 30)}") for i in range(20)]
+    out = substring_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(folders) > 10 and {name for name, f in folders if f.exists()} == {"cuts"}
+    assert sum(passage in r.text for r in out.collect()) == 1
