@@ -35,7 +35,7 @@ from .textbatch import Remembered
 
 CAPACITY = 4096
 SHARD_ROWS = 50_000
-CACHE_WORDS, CACHE_PARTS = 60_000, 120_000
+CACHE_WORDS, CACHE_PARTS = 250_000, 250_000
 LATIN_END = 0x250
 # Latin letters (checked further by isalpha), then ASCII punctuation without the apostrophe.
 _PLAIN = re.compile(r"([A-Za-z\u00C0-\u024F]+)([!-&(-/:-@\[-`{-~]*)")

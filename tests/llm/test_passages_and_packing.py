@@ -254,6 +254,15 @@ def test_only_paragraphs_whose_shingles_two_blocks_hold_are_compared_further(spa
     assert sum(pairs_compared[1:]) == 0  # nothing is left after the first representatives
 
 
+def test_words_of_a_large_vocabulary_are_tokenised_once():
+    cache = packing.WordCache(public_tokenizers.path("word_bpe_49k.json"))
+    learned, real = [], cache._learn
+    cache._learn = lambda new: (learned.extend(new), real(new))[1]
+    text = " ".join(f"{'abcdefghij'[i % 10]}{i * 7919 % 100_003}" for i in range(100_000))
+    first = cache.encode(text)
+    assert cache.encode(text) == first and len(learned) == 100_000
+
+
 def test_spent_tables_are_deleted(spark, monkeypatch):
     from pathlib import Path
 
