@@ -6,8 +6,9 @@ counts with map-side aggregation, so a group holding a third of all rows costs o
 partial row per task, and hands the next a bit table of the shared values (of bounded size; it lets
 few others through, which the next step sorts out). A bit table is one array, built by an aggregate,
 written once and read as a scalar subquery: it is no part of the plan's text, but every use of it is
-part of the tasks, so ``deduplicate`` writes its rows with their digests instead of asking the tables in
-every branch. Only texts of rows in a group cross the network, and only where the rows themselves are
+part of the tasks, so rows are written with their digests instead of asking the tables in every branch.
+A scan normalises each text once: what follows are columns of it, never conditions, which Spark would
+move below the columns and so repeat them. Only texts of rows in a group cross the network, and only where the rows themselves are
 wanted. DataFrame functions only.
 
 Null text counts as empty. Rows repeating both text and id share one decision;
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sha256_text
+from .common import discard, materialize, sha256_text
 
 PREFIX_CHARS = 256
 SALTS = 16
@@ -51,6 +52,7 @@ def _may_be_in(shared: DataFrame):
     table = words.unionByName(every).groupBy("word").agg(F.bit_or("mask").alias("mask")) \
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "mask"))), lambda x: x["mask"]).alias("bits"))
     bits = materialize(table, "copy-filter").scalar()
+    discard(shared)
 
     def test(*cols: Column) -> Column:
         word = F.get(bits, F.shiftright(_slot(n_words, *cols), 6).cast("int"))
@@ -59,15 +61,16 @@ def _may_be_in(shared: DataFrame):
     return test
 
 
-def _suspects(docs: DataFrame, text_col: str) -> Column:
-    """True for every row that shares length and prefix hash with another, and for few others."""
-    norm = normalized(F.col(text_col))
-    length, prefix = F.length(norm), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS))
-    one = docs.select(length.alias("len")).groupBy("len").agg(F.count("*").alias("c")).where("c > 1").select("len")
-    shares_length = _may_be_in(one)(length)
-    two = docs.where(shares_length).select(length.alias("len"), prefix.alias("prefix")) \
+def _suspects(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with __n, the normalised text, and __may: true for every row that shares length and prefix hash with another, and for few others."""
+    sized = docs.withColumn("__n", normalized(F.col(text_col))) \
+        .withColumns({"__len": F.length("__n"), "__prefix": F.xxhash64(F.substring("__n", 1, PREFIX_CHARS))})
+    one = sized.select(F.col("__len").alias("len")).groupBy("len").agg(F.count("*").alias("c")).where("c > 1").select("len")
+    sized = sized.withColumn("__may", _may_be_in(one)(F.col("__len")))
+    # Rows of a length of their own count as one null group.
+    two = sized.select(F.when(F.col("__may"), F.col("__len")).alias("len"), F.when(F.col("__may"), F.col("__prefix")).alias("prefix")) \
         .groupBy("len", "prefix").agg(F.count("*").alias("c")).where("c > 1").select("len", "prefix")
-    return shares_length & _may_be_in(two)(length, prefix)
+    return sized.withColumn("__may", F.col("__may") & _may_be_in(two)(F.col("__len"), F.col("__prefix"))).drop("__len", "__prefix")
 
 
 def _groups(suspects: DataFrame) -> DataFrame:
@@ -84,14 +87,20 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     ``keep_rows`` counts the rows that carry the kept id.
     """
-    return _groups(docs.where(_suspects(docs, text_col))
-                   .select(F.col(id_col).alias("id"), sha256_text(normalized(F.col(text_col))).alias("digest")))
+    return _groups(_digests(docs, id_col, text_col).where("may").select("id", "digest"))
+
+
+def _digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every row's id and digest, and whether it may be in a group; written once."""
+    return materialize(_suspects(docs, text_col).select(F.col(id_col).alias("id"), sha256_text(F.col("__n")).alias("digest"),
+                                                        F.col("__may").alias("may")), "text-digests")
 
 
 def mark(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's decision: id, keep_id, group_size, kept, text_sha256, keep_rows."""
-    groups = copy_groups(docs, id_col, text_col).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = docs.select(F.col(id_col).alias("id"), sha256_text(normalized(F.col(text_col))).alias("digest")) \
+    digests = _digests(docs, id_col, text_col)
+    groups = _groups(digests.where("may").select("id", "digest")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = digests.select("id", "digest") \
         .withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     j = rows.join(groups, ["digest", "salt"], "left")
     keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
@@ -106,9 +115,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The rows are written once with the digests of those that may be in a group, and the groups are written once; only
     rows that may be in one cross the network to meet them. The second branch runs only where rows repeat both id and text.
     """
-    digest = sha256_text(normalized(F.col(text_col)))
     # A null digest stands for a row that no other can equal; its text is not hashed whole.
-    marked = materialize(docs.withColumn("__d", F.when(_suspects(docs, text_col), digest)), "copy-digests")
+    marked = materialize(_suspects(docs, text_col).select(*docs.columns, F.when(F.col("__may"), sha256_text(F.col("__n"))).alias("__d")), "copy-digests")
     groups = materialize(_groups(marked.where("__d is not null").select(F.col(id_col).alias("id"), F.col("__d").alias("digest"))), "copy-groups")
     grouped = F.coalesce(_may_be_in(groups.select("digest"))(F.col("__d")) & F.col("__d").isNotNull(), F.lit(False))
     salted = groups.select(

@@ -263,6 +263,21 @@ def test_words_of_a_large_vocabulary_are_tokenised_once():
     assert cache.encode(text) == first and len(learned) == 100_000
 
 
+def test_exact_dedup_normalises_a_text_once_a_scan(spark, monkeypatch):
+    seen, real = {}, exact_dedup.materialize
+
+    def spy(df, name):
+        seen.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace("))
+        return real(df, name)
+
+    monkeypatch.setattr(exact_dedup, "materialize", spy)
+    df = spark.createDataFrame([(i, f"text  {i % 7}\t") for i in range(30)] + [(30, None), (31, ""), (32, "alone")], "doc_id long, text string")
+    got = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.mark(df).collect()}
+    assert got == {**{i: (i % 7, 5 if i % 7 < 2 else 4, i < 7) for i in range(30)}, 30: (30, 2, True), 31: (30, 2, False), 32: (32, 1, True)}
+    assert sorted(r.doc_id for r in exact_dedup.deduplicate(df).collect()) == [*range(7), 30, 32]
+    assert seen["text-digests"] == seen["copy-digests"] == 1 and seen["shared-values"] == 1
+
+
 def test_spent_tables_are_deleted(spark, monkeypatch):
     from pathlib import Path
 
