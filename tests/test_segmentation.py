@@ -102,3 +102,29 @@ def test_best_of_restarts_is_no_worse_than_any_seed(spark):
     assert abs(d2 - cost) < 1e-6 * max(1.0, d2)
     sweep = S.silhouette_sweep(_points(spark, pts, np.zeros(len(pts))), ks=(2, 4), n_init=2).collect()
     assert {r.k: r.is_best for r in sweep} == {2: False, 4: True}
+
+
+def test_fits_are_those_of_spark_ml_in_common_passes(spark):
+    from pyspark.ml.clustering import KMeans
+    pts = np.random.default_rng(11).uniform(0, 1, (3000, 2))
+    vectors = S._kept_vectors(_points(spark, pts, np.zeros(len(pts))), ("pc1", "pc2"))
+    tracker = spark.sparkContext.statusTracker()
+    before = max(tracker.getJobIdsForGroup())
+    fits = S.best_fits(vectors, [2, 5, 8], n_init=4)
+    # Five jobs or so a start and one a pass; a job for every iteration of every fit would be several times as many.
+    assert max(tracker.getJobIdsForGroup()) - before < 300
+    for k, (model, cost) in fits.items():
+        each = [KMeans(k=k, seed=s, maxIter=300, tol=1e-4, featuresCol="_features").fit(vectors) for s in range(42, 46)]
+        want = min(each, key=lambda m: m.summary.trainingCost)
+        assert abs(cost - want.summary.trainingCost) < 1e-9 * cost
+        assert np.allclose(model.clusterCenters(), want.clusterCenters(), atol=1e-9)
+        got = vectors.select("_features", model.nearest(("pc1", "pc2")).alias("near"))
+        assert want.transform(got).where("near != prediction").count() == 0
+
+
+def test_a_center_without_points_stays_and_few_points_get_few_centers(spark):
+    vectors = S._vectors(_points(spark, np.array([[0.0, 0.0], [1.0, 0.0]]), np.zeros(2)), ("pc1", "pc2")).persist()
+    (centers, cost), = S._improved(S._blocks(vectors), [np.array([[0.0, 0.0], [1.0, 0.0], [9.0, 9.0]])], 10, 1e-4)
+    assert centers.tolist() == [[0.0, 0.0], [1.0, 0.0], [9.0, 9.0]] and cost == 0.0
+    model, cost = S.best_fits(vectors, [4], n_init=2)[4]
+    assert len(model.clusterCenters()) <= 2 and cost == 0.0
