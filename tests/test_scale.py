@@ -15,6 +15,7 @@ from marketlens.operators import reports as B
 from marketlens.operators.warehouse import Warehouse
 from marketlens.plans.context import Context
 from marketlens.plans.pipeline import report_bundle
+from marketlens.plans.registry import REGISTRY, queries
 from marketlens.session import own_session
 from marketlens.sources.binding import ROLES, Sources
 from marketlens.sources.profile import profile_of
@@ -154,3 +155,20 @@ def test_bundle_sections_leave_no_shuffle_files(spark, tmp_path):
     out = report_bundle(SimpleNamespace(spark=s), str(tmp_path / "bundle"), {f"s{k}": section(k) for k in range(2, 8)})
     assert out.groupBy("section").count().count() == 6 and out.count() == sum(range(2, 8))
     assert files() - before <= 8  # of the two reads above; a job of all sections left those of six
+
+
+def test_lines_of_a_kept_fact_do_not_travel_to_their_products(large):
+    queries()
+    kept = Context(large, SF001, persist=True)
+    plain = Context(large, SF001)
+    for report in (B.top_products, B.product_growth, B.category_by_year, B.brand_detail, B.store_top_products):
+        got = report(kept.wh)
+        assert sorted(map(str, got.collect())) == sorted(map(str, report(plain.wh).collect())), report
+        # Lines meet the few groups of products; only returns meet products.
+        assert "Join [product_group#" in _plan(got) and (report is B.brand_detail or "Join [product_sk#" not in _plan(got)), report
+    assert "product_group" in kept.wh.fact_sales.columns and "product_group" not in REGISTRY["fact_sales"](kept).columns
+
+
+def test_store_of_an_order_needs_no_window_over_its_lines(spark):
+    lines = Sources(Tables(spark, SF001))._lines
+    assert _plan(lines).count("Window [") == 1
